@@ -78,6 +78,20 @@ def _checked(df: DataFrame, rule: Rule) -> Rule:
     return rule
 
 
+def static_error(df: DataFrame, rule: Rule) -> str | None:
+    """Why a rule cannot work on this table, found without reading any row."""
+    try:
+        _checked(df, rule)
+        if rule.type == "regex":
+            # Folded on the driver: fails here if the pattern does not compile.
+            df.sparkSession.range(1).select(F.lit("").rlike(rule.pattern)).collect()
+        if _is_local(rule):
+            df.select(violation(df, rule))
+    except (PySparkException, RuleError) as error:
+        return first_line(error)
+    return None
+
+
 def violation(df: DataFrame, rule: Rule) -> Column:
     """True for rows that break a row-local rule; nulls break only ``not_null``."""
     value = col(_checked(df, rule).column)
@@ -133,10 +147,10 @@ def measure_isolated(df: DataFrame, rules: list[Rule]) -> Measured:
     failing, details = [], []
     for rule in rules:
         try:
-            one = measure(df, [_checked(df, rule)])
+            one = measure(df, [rule])
             failing.append(one.failing[0])
             details.append(one.details[0])
-        except (PySparkException, RuleError) as error:
+        except PySparkException as error:
             failing.append(-1)
             details.append(first_line(error))
     return Measured(total, failing, details, {})
@@ -152,11 +166,27 @@ def evaluate(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
     return df.sparkSession.createDataFrame(_result_rows(df, table, rules), RESULT_SCHEMA)
 
 
-def _result_rows(df: DataFrame, table: str, rules: list[Rule]) -> list[tuple]:
+def measure_safely(df: DataFrame, rules: list[Rule], extra: Mapping[object, Column] | None = None) -> Measured:
+    """``measure``, with -1 and a message for every rule that cannot be evaluated.
+
+    ``extra`` aggregates must work whatever becomes of the rules; their own
+    failure is passed on.
+    """
+    errors = [static_error(df, r) for r in rules]
+    sound = [r for r, error in zip(rules, errors) if error is None]
     try:
-        found = measure(df, rules)
-    except (PySparkException, RuleError):
-        found = measure_isolated(df, rules)
+        found = measure(df, sound, extra)
+    except PySparkException:
+        extras = one_row(df, extra or {})
+        found = measure_isolated(df, sound)
+        found.extra = extras
+    outcomes = iter(zip(found.failing, found.details))
+    merged = [next(outcomes) if error is None else (-1, error) for error in errors]
+    return Measured(found.total, [f for f, _ in merged], [d for _, d in merged], found.extra)
+
+
+def _result_rows(df: DataFrame, table: str, rules: list[Rule]) -> list[tuple]:
+    found = measure_safely(df, rules)
     return [
         (table, r.id, r.type, r.column, failing == 0, failing, found.total, detail, describe(r))
         for r, failing, detail in zip(rules, found.failing, found.details)

@@ -163,13 +163,11 @@ class Encoder:
         inputs = [f"__num{i}" for i in range(len(numbers))]
         if texts:
             ids = range(len(texts))
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                [self._labels(n, levels) for n, levels in self.levels.items()],
-                inputCols=[f"__cat{i}" for i in ids],
-                outputCols=[f"__id{i}" for i in ids],
-                handleInvalid="error",
-            )
-            wide = indexer.transform(wide)
+            for i, (name, levels) in enumerate(self.levels.items()):
+                indexer = StringIndexerModel.from_labels(
+                    self._labels(name, levels), inputCol=f"__cat{i}", outputCol=f"__id{i}", handleInvalid="error"
+                )
+                wide = indexer.transform(wide)
             hot = OneHotEncoder(
                 inputCols=[f"__id{i}" for i in ids], outputCols=[f"__hot{i}" for i in ids], dropLast=False
             )
@@ -379,14 +377,14 @@ def train(
         baseline = {"accuracy": _primary(guessed, task)}
         matrix = confusion(texts)
     else:
-        primary_name = "r2"
+        primary_name = "R2"
         metrics = as_dict(regression_metrics(scored))
         against = as_dict(regression_metrics(guessed))
         baseline = {"r2": against["r2"], "mae": against["mae"]}
         matrix = None
     ranked = importances(model, encoder.slots)
     top = encoder.slots.index(ranked[0][0]) if ranked else None
-    clean = metrics[primary_name]
+    clean = metrics[primary_name.lower()]
     titles = {
         "noise": "+10% gaussian noise",
         "zeroed": "10% values zeroed",
@@ -407,8 +405,8 @@ def train(
         "predictions": scored,
         "metrics": metrics,
         "baseline": baseline,
-        "primary": {"name": primary_name, "model": clean, "baseline": baseline[primary_name]},
-        "beats_baseline": clean > baseline[primary_name] + GATE_MARGIN,
+        "primary": {"name": primary_name, "model": clean, "baseline": baseline[primary_name.lower()]},
+        "beats_baseline": clean > baseline[primary_name.lower()] + GATE_MARGIN,
         "confusion": matrix,
         "importances": spark.createDataFrame(ranked, "feature string, value double"),
         "leakage": leaks,

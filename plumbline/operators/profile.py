@@ -116,10 +116,11 @@ def histogram(df: DataFrame, bins: int = 20, extent: dict[str, tuple] | None = N
     if regular:
         low = {n: float(extent[n][0]) for n in regular}
         width = {n: (float(extent[n][1]) - low[n]) / bins for n in regular}
-        cells = {
-            n: F.least(F.lit(bins - 1), F.floor((as_double(n) - F.lit(low[n])) / F.lit(width[n])).cast("int"))
-            for n in regular
-        }
+        cells = {}
+        for n in regular:
+            place = F.floor((as_double(n) - F.lit(low[n])) / F.lit(width[n])).cast("int")
+            # ``least`` alone would turn a null into the last bin.
+            cells[n] = F.when(place >= bins, F.lit(bins - 1)).otherwise(place)
         counted = melt(df, cells).groupBy("column_id", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
         lows = double_lookup([low[n] for n in regular], F.col("column_id"))
         widths = double_lookup([width[n] for n in regular], F.col("column_id"))

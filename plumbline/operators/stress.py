@@ -10,15 +10,14 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import NUMERIC, col, kind_of
-from plumbline.operators.contracts import Rule, RuleError, first_line, measure, measure_isolated
+from plumbline.operators.contracts import Rule, first_line, measure_safely
 from plumbline.operators.indexing import dense_index, total_order
-from plumbline.plans.aggregates import one_row, row_fingerprint
+from plumbline.plans.aggregates import row_fingerprint
 
 INDEX = "row_index"
 
@@ -139,13 +138,7 @@ def sql_transform(sql: str, reads: str = "input") -> Callable[[DataFrame], DataF
 
 def _judge(out: DataFrame, rules: list[Rule]) -> tuple[int, int]:
     """Output rows and failed rules; every column of every row is computed."""
-    forced = {"fingerprint": row_fingerprint(out)}
-    try:
-        found = measure(out, rules, forced)
-    except (PySparkException, RuleError):
-        # Either the transform or a rule failed; the first is passed on.
-        one_row(out, forced)
-        found = measure_isolated(out, rules)
+    found = measure_safely(out, rules, {"fingerprint": row_fingerprint(out)})
     return found.total, sum(1 for failing in found.failing if failing != 0)
 
 
