@@ -108,9 +108,9 @@ def _welch(pairs: DataFrame) -> DataFrame:
 def ab_srm(variants: DataFrame) -> DataFrame:
     """(chi2, df, p_value, mismatch, expected_share) against an equal split."""
     expected = variants.agg(F.sum("n") / F.count(F.lit(1))).scalar()
-    gap = F.col("n") - expected
-    scored = variants.agg(
-        F.sum(gap * gap / expected).alias("chi2"),
+    gap = F.col("n") - F.col("expected")
+    scored = variants.select("n", expected.alias("expected")).agg(
+        F.sum(gap * gap / F.col("expected")).alias("chi2"),
         (F.count(F.lit(1)) - 1).cast("int").alias("df"),
         (F.lit(1.0) / F.count(F.lit(1))).alias("expected_share"),
     ).withColumn("p_value", chi_square_p(F.col("chi2"), F.col("df")))

@@ -84,7 +84,7 @@ def static_error(df: DataFrame, rule: Rule) -> str | None:
         _checked(df, rule)
         if rule.type == "regex":
             # Folded on the driver: fails here if the pattern does not compile.
-            df.sparkSession.range(1).select(F.lit("").rlike(rule.pattern)).collect()
+            df.sparkSession.sql("SELECT '' RLIKE :pattern", args={"pattern": rule.pattern}).collect()
         if _is_local(rule):
             df.select(violation(df, rule))
     except (PySparkException, RuleError) as error:

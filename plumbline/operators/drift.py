@@ -1,22 +1,22 @@
 """Drift between a baseline and a current table, column by column.
 
-Both tables are read side by side under a ``side`` flag, so each step is one
-job for all columns: counts and means, baseline deciles, bin counts, category
-counts.  The full outer match of categories is a by-product of counting both
-sides in the same grouping.
+Each step is one job for all columns: counts and means of both tables side by
+side, baseline deciles, bin counts of both, category counts of both.  Only
+each side's most frequent categories meet in the full outer match.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import NUMERIC, as_double, as_text, kind_of, name_lookup
+from plumbline.functions.columns import NUMERIC, as_double, col, kind_of, name_lookup
 from plumbline.operators.contracts import first_line
-from plumbline.plans.aggregates import melt
+from plumbline.plans.aggregates import melt, value_counts, wide_codegen
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.ranking import top_by_count
 
@@ -50,12 +50,16 @@ def shared_columns(
     return numeric, [f.name for f in shared if f.name not in numeric]
 
 
-def _side_by_side(base: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+def _side_by_side(
+    base: DataFrame, cur: DataFrame, numeric: list[str], null_flags: Sequence[str] = ()
+) -> DataFrame:
+    """Both tables under a ``side`` flag: numbers as doubles, null flags of the rest."""
+
     def side(df: DataFrame, is_current: bool) -> DataFrame:
         return df.select(
             F.lit(is_current).alias("side"),
             *[as_double(n).alias(f"n{i}") for i, n in enumerate(numeric)],
-            *[as_text(df, n).alias(f"c{i}") for i, n in enumerate(categorical)],
+            *[col(n).isNull().alias(f"c{i}") for i, n in enumerate(null_flags)],
         )
 
     return side(base, False).unionAll(side(cur, True))
@@ -63,12 +67,14 @@ def _side_by_side(base: DataFrame, cur: DataFrame, numeric: list[str], categoric
 
 def _stats(both: DataFrame, numeric: list[str], categorical: list[str]) -> dict[bool, dict]:
     """Row counts, nulls, means and approximate distinct counts per side."""
-    slots = {n: f"n{i}" for i, n in enumerate(numeric)} | {n: f"c{i}" for i, n in enumerate(categorical)}
     exprs: dict[object, Column] = {"rows": F.count(F.lit(1))}
-    exprs |= {("nulls", n): F.count_if(F.col(s).isNull()) for n, s in slots.items()}
-    for n in numeric:
-        exprs |= {("mean", n): F.avg(slots[n]), ("distinct", n): F.approx_count_distinct(slots[n])}
-    row_per_side = both.groupBy("side").agg(*[e.alias(f"v{i}") for i, e in enumerate(exprs.values())]).collect()
+    for i, n in enumerate(numeric):
+        value = F.col(f"n{i}")
+        exprs |= {("nulls", n): F.count_if(value.isNull()), ("mean", n): F.avg(value)}
+        exprs |= {("distinct", n): F.approx_count_distinct(value)}
+    exprs |= {("nulls", n): F.count_if(F.col(f"c{i}")) for i, n in enumerate(categorical)}
+    with wide_codegen(both.sparkSession):
+        row_per_side = both.groupBy("side").agg(*[e.alias(f"v{i}") for i, e in enumerate(exprs.values())]).collect()
     found = {r.side: dict(zip(exprs, list(r)[1:])) for r in row_per_side}
     empty = {key: None if key[0] == "mean" else 0 for key in exprs}
     return {side: found.get(side, empty) for side in (False, True)}
@@ -88,7 +94,7 @@ def bin_counts(base: DataFrame, cur: DataFrame, edges: dict[str, list[float]]) -
     spark = base.sparkSession
     if not numeric:
         return spark.createDataFrame([], "column string, bin int, base_count bigint, cur_count bigint")
-    both = _side_by_side(base, cur, numeric, [])
+    both = _side_by_side(base, cur, numeric)
     cells = {}
     for i, n in enumerate(numeric):
         value = F.col(f"n{i}")
@@ -114,20 +120,13 @@ def category_counts(base: DataFrame, cur: DataFrame, names: list[str], max_categ
 
     A side's count is 0 where the value is not among that side's top values.
     """
-    both = _side_by_side(base, cur, [], names)
-    cells = {n: F.col(f"c{i}") for i, n in enumerate(names)}
-    counted = (
-        melt(both, cells, F.col("side"))
-        .groupBy("column_id", "value")
-        .agg(F.count_if(~F.col("side")).alias("base_count"), F.count_if("side").alias("cur_count"))
-        .select(name_lookup(names, F.col("column_id")).alias("column"), "value", "base_count", "cur_count")
-    )
 
-    def top(count: str) -> DataFrame:
-        ranked = top_by_count(counted.where(F.col(count) > 0), max_categories, count)
-        return ranked.select("column", "value", count, F.col("rank").alias(count.replace("count", "rank")))
+    def top(df: DataFrame, side: str) -> DataFrame:
+        ranked = top_by_count(value_counts(df, names), max_categories)
+        return ranked.select("column", "value", F.col("count").alias(f"{side}_count"), F.col("rank").alias(f"{side}_rank"))
 
-    joined = top("base_count").join(top("cur_count"), ["column", "value"], "full")
+    # At most max_categories rows per column and side reach the join.
+    joined = top(base, "base").join(top(cur, "cur"), ["column", "value"], "full")
     return joined.select(
         "column",
         "value",

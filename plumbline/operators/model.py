@@ -245,13 +245,16 @@ def baseline_prediction(train: DataFrame, task: str) -> object:
     return counts.orderBy(F.col("n").desc(), LABEL).first()[LABEL]
 
 
-def _estimator(task: str, algo: str, seed: int, max_depth: int, trees: int):
+def _estimator(task: str, algo: str, seed: int, max_depth: int, trees: int, rows: int):
+    """The logistic penalty has unit weight against the summed loss of all rows."""
     if algo not in ("linear", "tree", "forest"):
         raise ValueError(f"unknown algorithm: {algo}")
     columns = {"featuresCol": FEATURES, "labelCol": LABEL}
     if task == CLASSIFICATION:
         if algo == "linear":
-            return C.LogisticRegression(maxIter=LINEAR_ITERATIONS, **columns)
+            return C.LogisticRegression(
+                maxIter=LINEAR_ITERATIONS, regParam=1.0 / rows, standardization=False, **columns
+            )
         if algo == "tree":
             return C.DecisionTreeClassifier(seed=seed, maxDepth=max_depth, **columns)
         return C.RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth, **columns)
@@ -259,7 +262,9 @@ def _estimator(task: str, algo: str, seed: int, max_depth: int, trees: int):
         return R.LinearRegression(**columns)
     if algo == "tree":
         return R.DecisionTreeRegressor(seed=seed, maxDepth=max_depth, **columns)
-    return R.RandomForestRegressor(numTrees=trees, seed=seed, maxDepth=max_depth, **columns)
+    return R.RandomForestRegressor(
+        numTrees=trees, seed=seed, maxDepth=max_depth, featureSubsetStrategy="all", **columns
+    )
 
 
 def importances(model: Model, slots: list[str], k: int = TOP_IMPORTANCES) -> list[tuple[str, float]]:
@@ -362,7 +367,7 @@ def train(
     if not n_train or not n_test:
         raise ValueError("the split left one side empty; pass other split_keys")
 
-    model = _estimator(task, algo, seed, max_depth, trees).fit(encoded_train)
+    model = _estimator(task, algo, seed, max_depth, trees, n_train).fit(encoded_train)
     scored = model.transform(encoded_test).select(INDEX, LABEL, "prediction")
     guess = baseline_prediction(encoded_train, task)
     guessed = encoded_test.select(LABEL, F.lit(guess).alias("prediction"))

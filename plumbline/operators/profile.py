@@ -152,27 +152,32 @@ def top_values(df: DataFrame, k: int = 10) -> DataFrame:
     return top_by_count(value_counts(df, names), k).select("column", "rank", "value", "count")
 
 
-def correlation(df: DataFrame, max_cols: int = 8) -> DataFrame:
+def correlation(df: DataFrame, max_cols: int = 8, complete: set[str] | None = None) -> DataFrame:
     """Pearson correlation of the first ``max_cols`` numeric columns, long form.
 
     Computed from covariance and the deviations over rows where both sides are
     present; undefined pairs (no variance, too few rows) count as 0.
+    ``complete`` names columns known to hold no nulls: pairs of them share one
+    deviation per column.
     """
     names = numeric_columns(df)[:max_cols]
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], CORRELATION_SCHEMA)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    seen = one_row(df, {pair: guarded_correlation(as_double(pair[0]), as_double(pair[1])) for pair in pairs})
+    full = complete or set()
+    seen = one_row(
+        df, {(a, b): guarded_correlation(as_double(a), as_double(b), {a, b} <= full) for a, b in pairs}
+    )
     rows = [(n, n, 1.0) for n in names]
     for (a, b), r in seen.items():
         rows += [(a, b, r), (b, a, r)]
     return df.sparkSession.createDataFrame(rows, CORRELATION_SCHEMA)
 
 
-def guarded_correlation(a: Column, b: Column) -> Column:
+def guarded_correlation(a: Column, b: Column, complete: bool = False) -> Column:
     """Correlation that is 0 where ``corr`` would divide by zero."""
-    spread_a = F.stddev_samp(F.when(b.isNotNull(), a))
-    spread_b = F.stddev_samp(F.when(a.isNotNull(), b))
+    spread_a = F.stddev_samp(a if complete else F.when(b.isNotNull(), a))
+    spread_b = F.stddev_samp(b if complete else F.when(a.isNotNull(), b))
     return F.coalesce(F.covar_samp(a, b) / F.nullif(spread_a * spread_b, F.lit(0.0)), F.lit(0.0))
 
 
@@ -184,7 +189,7 @@ def profile_table(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
         "columns": df.sparkSession.createDataFrame(rows, STATS_SCHEMA),
         "histogram": histogram(df, extent=extent),
         "top_values": top_values(df),
-        "correlation": correlation(df),
+        "correlation": correlation(df, complete={r[0] for r in rows if r[4] == 0}),
     }
 
 

@@ -123,7 +123,7 @@ def sql_transform(sql: str, reads: str = "input") -> Callable[[DataFrame], DataF
     def run(df: DataFrame) -> DataFrame:
         spark: SparkSession = df.sparkSession
         before = spark.table(reads) if spark.catalog.tableExists(reads) else None
-        was_view = before is not None and any(t.name == reads and t.isTemporary for t in spark.catalog.listTables())
+        was_view = before is not None and spark.catalog.getTable(reads).isTemporary
         df.createOrReplaceTempView(reads)
         try:
             return spark.sql(sql.strip().rstrip(";"))

@@ -9,19 +9,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="plumbline-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; a local one only where none is set."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set(CHECKPOINT_DIR, root)
-    return f"{root.rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; a local one only where none is set.
+
+    Everything an application writes sits under its own id, so it can be
+    dropped as a whole once the application has ended.
+    """
+    root = spark.conf.get(CHECKPOINT_DIR, None) or _local_folder()
+    app = spark.conf.get("spark.app.id", "application")
+    return f"{root.rstrip('/')}/plumbline/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import as_double
 from plumbline.plans.aggregates import melt, one_row
 
-# Distinct values that a single task may hold at once.
-FEW_VALUES = 100_000
+# Distinct values that a single task may hold at once, over all columns.
+FEW_VALUES = 500_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -67,8 +67,12 @@ def quantiles(
         return {n: list(v) if v else [None] * len(probabilities) for n, v in found.items()}
     if distinct is None:
         distinct = one_row(df, {n: F.approx_count_distinct(as_double(n)) for n in columns})
-    small = [n for n in columns if distinct[n] <= few_values]
-    large = [n for n in columns if distinct[n] > few_values]
+    small, room = [], few_values
+    for n in sorted(columns, key=lambda n: distinct[n]):
+        if distinct[n] <= room:
+            small.append(n)
+            room -= distinct[n]
+    large = [n for n in columns if n not in small]
     found = one_row(df, {n: F.percentile(as_double(n), wanted) for n in small})
     result = {n: list(v) if v else [None] * len(probabilities) for n, v in found.items()}
     if large:
@@ -79,7 +83,11 @@ def quantiles(
 def _narrow(
     df: DataFrame, columns: list[str], probabilities: list[float], few_values: int
 ) -> dict[str, list[float | None]]:
-    rows = one_row(df, {n: F.count(as_double(n)) for n in columns})
+    first = {("rows", n): F.count(as_double(n)) for n in columns}
+    first |= {("cuts", n): _cut_points(as_double(n), probabilities) for n in columns}
+    seen = one_row(df, first)
+    rows = {n: seen["rows", n] for n in columns}
+    cuts = {n: seen["cuts", n] for n in columns}
     ranks = {
         n: sorted({r for p in probabilities for r in (math.floor(p * (rows[n] - 1)), math.ceil(p * (rows[n] - 1)))})
         for n in columns
@@ -90,7 +98,9 @@ def _narrow(
         ready = [i for i in open_intervals if i.distinct <= few_values]
         if ready:
             known |= _read_off(df, ready)
-        open_intervals = _split(df, [i for i in open_intervals if i.distinct > few_values], known)
+        wide = [i for i in open_intervals if i.distinct > few_values]
+        open_intervals = _split(df, wide, known, cuts)
+        cuts = {}
 
     def interpolate(name: str, p: float) -> float | None:
         if not rows[name]:
@@ -102,19 +112,28 @@ def _narrow(
     return {n: [interpolate(n, p) for p in probabilities] for n in columns}
 
 
-def _split(df: DataFrame, intervals: list[_Interval], known: dict) -> list[_Interval]:
-    """Cut each interval close to its ranks; settle ranks that hit a cut point."""
+def _cut_points(value: Column, shares: list[float]) -> Column:
+    """Sketched values just below and just above the given shares of the rows."""
+    margin = 2.0 / SKETCH_ACCURACY
+    around = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-margin, margin)})
+    return F.percentile_approx(value, F.array(*[F.lit(a) for a in around]), SKETCH_ACCURACY)
+
+
+def _split(df: DataFrame, intervals: list[_Interval], known: dict, sketched: dict) -> list[_Interval]:
+    """Cut each interval close to its ranks; settle ranks that hit a cut point.
+
+    ``sketched`` has the cut points of whole columns when they are known already.
+    """
     if not intervals:
         return []
-    margin = 2.0 / SKETCH_ACCURACY
     sketches = {}
     for k, interval in enumerate(intervals):
-        centres = [(r - interval.below + 0.5) / interval.rows for r in interval.ranks]
-        around = sorted({min(1.0, max(0.0, c + d)) for c in centres for d in (-margin, margin)})
-        value = as_double(interval.column)
-        inside = F.when(interval.contains(value), value)
-        sketches[k] = F.percentile_approx(inside, F.array(*[F.lit(a) for a in around]), SKETCH_ACCURACY)
-    cuts = {k: _ascending_unique(v) for k, v in one_row(df, sketches).items()}
+        if interval.column not in sketched:
+            value = as_double(interval.column)
+            shares = [(r - interval.below + 0.5) / interval.rows for r in interval.ranks]
+            sketches[k] = _cut_points(F.when(interval.contains(value), value), shares)
+    found = one_row(df, sketches)
+    cuts = {k: _ascending_unique(found[k] if k in found else sketched[i.column]) for k, i in enumerate(intervals)}
 
     # A value's code counts the cut points it reaches and those it passes: odd
     # codes are the cut points themselves, even codes the gaps around them.

@@ -128,18 +128,34 @@ sql_query(
     "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000",
     "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000",
 )
+# Matching on the hour as well keeps a busy user's events from meeting all of
+# that user's sign-ups.
 sql_query(
     "sql_join_range",
     "events",
+    """WITH signup AS (SELECT user_id, event_id, ts, explode(array(date_trunc('hour', ts),
+ date_trunc('hour', ts) + INTERVAL 1 HOUR)) AS hour FROM events WHERE event_type = 'signup'),
+ seen AS (SELECT user_id, event_id, ts, date_trunc('hour', ts) AS hour FROM events)
+ SELECT s.user_id, s.event_id AS signup, e.event_id FROM signup s JOIN seen e ON s.user_id = e.user_id
+ AND s.hour = e.hour AND e.ts > s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR""",
     """SELECT s.user_id, s.event_id AS signup, e.event_id FROM events s JOIN events e ON s.user_id = e.user_id
  AND e.ts > s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR WHERE s.event_type = 'signup'""",
 )
+# The latest earlier view: first within the day, else carried over from the
+# days before, so that no task sorts a busy user's whole history.
 sql_query(
     "sql_asof_rewrite",
     "events",
-    """SELECT user_id, event_id AS purchase, seen.event_id AS last_view FROM (SELECT *, last_value(CASE WHEN
- event_type = 'view' THEN named_struct('event_id', event_id) END) IGNORE NULLS OVER (PARTITION BY user_id
- ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events)
+    """WITH marked AS (SELECT user_id, event_id, event_type, ts, date_trunc('day', ts) AS day, CASE WHEN
+ event_type = 'view' THEN named_struct('ts', ts, 'event_id', event_id) END AS seen FROM events
+ WHERE event_type IN ('view', 'purchase')),
+ daily AS (SELECT user_id, day, max(seen) AS latest FROM marked GROUP BY user_id, day),
+ carried AS (SELECT user_id, day, max(latest) OVER (PARTITION BY user_id ORDER BY day
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM daily),
+ today AS (SELECT *, max(seen) OVER (PARTITION BY user_id, day ORDER BY ts, event_id
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_day FROM marked)
+ SELECT today.user_id, event_id AS purchase, coalesce(same_day, earlier).event_id AS last_view
+ FROM today JOIN carried ON today.user_id = carried.user_id AND today.day = carried.day
  WHERE event_type = 'purchase'""",
     """SELECT p.user_id, p.event_id AS purchase, (SELECT v.event_id FROM events v WHERE v.user_id = p.user_id
  AND v.event_type = 'view' AND (v.ts, v.event_id) < (p.ts, p.event_id) ORDER BY v.ts DESC, v.event_id DESC LIMIT 1)
