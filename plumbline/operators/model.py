@@ -64,8 +64,13 @@ NULL_LEVEL, OTHER_LEVEL = "__null__", "__other__"
 LABEL, FEATURES, INDEX = "label", "features", "row_index"
 
 
-def prepare(df: DataFrame, target: str, features: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Rows with a target, and the usable feature names."""
+def prepare(
+    df: DataFrame, target: str, features: list[str] | None = None, keep: list[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Rows with a target, and the usable feature names.
+
+    ``keep`` names columns to carry along that are not features.
+    """
     if target not in df.columns:
         raise ValueError(f"target column not found: {target}")
     same = target.lower()
@@ -75,7 +80,8 @@ def prepare(df: DataFrame, target: str, features: list[str] | None = None) -> tu
         kept = [c for c in df.columns if c.lower() != same]
     if not kept:
         raise ValueError("no feature columns selected")
-    rows = df.where(col(target).isNotNull()).select(*[col(c) for c in kept], col(target))
+    carried = [c for c in keep or [] if c not in kept and c != target]
+    rows = df.where(col(target).isNotNull()).select(*[col(c) for c in [*kept, target, *carried]])
     if len(rows.limit(MIN_ROWS).collect()) < MIN_ROWS:
         raise ValueError(f"need at least {MIN_ROWS} non-null target rows to train")
     return rows, kept
@@ -348,7 +354,7 @@ def train(
     """Fit, grade and stress one model; small results come back as DataFrames."""
     spark = df.sparkSession
     leaks = leakage(df, target, features)
-    rows, names = prepare(df, target, features)
+    rows, names = prepare(df, target, features, split_keys)
     task = detect_task(rows, target).first().task
     encoder = fit_encoder(rows, names, max_levels)
     labels: list[str] = []

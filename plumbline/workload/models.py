@@ -219,45 +219,114 @@ def baseline(read):
     )
 
 
-# -- fitting: no SQL counterpart, checked for repeatability in the tests -------
+# -- fitting -------------------------------------------------------------------
 
 
-def _classifier(read, algo: str = "tree") -> dict:
-    return model.train(labelled(read), "quality", ["n_chars", "lang", "source"], algo, max_depth=5, split_keys=["n_chars"])
+def _ols_sql(features: str) -> str:
+    """Least squares on the training parts in closed form, scored on the others.
 
+    One row: coefficients, r2, mae and rmse of the fit and of the mean, sizes.
+    """
+    if features == "p_size":
+        slopes = "regr_slope(y, p_size) AS b1, 0.0 AS b2"
+    else:
+        det = "(var_samp(p_size) * var_samp(p_partkey) - covar_samp(p_size, p_partkey) ** 2)"
+        slopes = f"""(covar_samp(p_size, y) * var_samp(p_partkey) - covar_samp(p_partkey, y) * covar_samp(p_size, p_partkey))
+ / {det} AS b1, (covar_samp(p_partkey, y) * var_samp(p_size) - covar_samp(p_size, y) * covar_samp(p_size, p_partkey))
+ / {det} AS b2"""
+    source = f"""(SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, p_retailprice AS y,
+ {bucket_sql("p_partkey")} AS t FROM part)"""
+    return f"""(WITH fit AS (SELECT {slopes}, avg(p_size) AS m1, avg(p_partkey) AS m2, avg(y) AS my, count(*) AS n_train
+ FROM {source} WHERE NOT t)
+ SELECT any_value(b1) AS b1, any_value(b2) AS b2, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, avg(abs(e)) AS mae,
+ sqrt(avg(e * e)) AS rmse, 1 - sum((y - my) ** 2) / (var_pop(y) * count(*)) AS baseline_r2, avg(abs(y - my)) AS baseline_mae,
+ any_value(n_train)::DOUBLE AS n_train, count(*)::DOUBLE AS n_test, {2 - (features == "p_size")}.0 AS n_features
+ FROM (SELECT *, y - (my + b1 * (p_size - m1) + b2 * (p_partkey - m2)) AS e FROM {source}, fit WHERE t))"""
 
-@query("model_train_classify")
-def train_classify(read):
-    data = labelled(read)
-    result = model.train(data, "quality", ["n_chars", "lang", "source"], "forest", max_depth=5)
-    return model.model_table(result)
+
+def _price_model(read, features: list[str], algo: str = "linear") -> dict:
+    return model.train(read("part"), "p_retailprice", features, algo, max_depth=5, split_keys=["p_partkey"])
 
 
-@query("model_train_regress")
+@query(
+    "model_train_regress",
+    f"""SELECT metric, round(value, 4) AS value FROM (SELECT r2, mae, rmse, baseline_r2, baseline_mae, n_train, n_test,
+ n_features::DOUBLE AS n_features, (r2 > baseline_r2 + 1e-9)::INTEGER::DOUBLE AS beats_baseline
+ FROM {_ols_sql("p_size, p_partkey")}) UNPIVOT (value FOR metric IN (r2, mae, rmse, baseline_r2, baseline_mae,
+ n_train, n_test, n_features, beats_baseline))""",
+)
 def train_regress(read):
-    result = model.train(read("part"), "p_retailprice", ["p_partkey", "p_size", "p_brand"], "linear")
-    return model.model_table(result)
+    return rounded(model.model_table(_price_model(read, ["p_size", "p_partkey"])), 4, "value")
 
 
-@query("model_importances")
+@query(
+    "model_importances",
+    f"""SELECT 'p_size' AS feature, round(abs(b1), 6) AS value FROM {_ols_sql("p_size, p_partkey")}
+ UNION ALL SELECT 'p_partkey', round(abs(b2), 6) FROM {_ols_sql("p_size, p_partkey")}""",
+)
 def model_importances(read):
-    return model.train(read("orders"), "o_totalprice", ["o_custkey", "o_orderdate", "o_orderpriority"], "tree", max_depth=5)["importances"]
+    return rounded(_price_model(read, ["p_size", "p_partkey"])["importances"], 6, "value")
+
+
+# A tree deep enough to separate every (event_type, big) cell predicts the most
+# frequent class of the cell.
+CELLS = f"""(SELECT event_type, value > 60 AS big, CASE WHEN value > 50 + user_id % 9 THEN 'high' WHEN value > 25
+ THEN 'mid' ELSE 'low' END AS y, {bucket_sql("event_id")} AS t FROM events)"""
+TREE_PREDICTIONS = f"""(SELECT y, g FROM {CELLS} JOIN (SELECT event_type, big, y AS g FROM (SELECT event_type, big, y,
+ row_number() OVER (PARTITION BY event_type, big ORDER BY count(*) DESC, y) AS r FROM {CELLS} WHERE NOT t
+ GROUP BY event_type, big, y) WHERE r = 1) USING (event_type, big) WHERE t)"""
+TREE_CLASSES = f"""(SELECT c, count(*) FILTER (WHERE y = c) AS s, count(*) FILTER (WHERE g = c) AS p,
+ count(*) FILTER (WHERE y = c AND g = c) AS h FROM {TREE_PREDICTIONS}, (SELECT DISTINCT y AS c FROM {CELLS})
+ GROUP BY c)"""
+HITS = f"""(SELECT avg((y = common)::INTEGER) AS share FROM {CELLS},
+ (SELECT y AS common FROM {CELLS} WHERE NOT t GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) WHERE t)"""
+
+
+def _event_model(read, algo: str = "tree") -> dict:
+    level = F.when(F.col("value") > 50 + F.col("user_id") % 9, "high").when(F.col("value") > 25, "mid").otherwise("low")
+    events = read("events").select("event_id", "event_type", (F.col("value") > 60).alias("big"), level.alias("level"))
+    return model.train(events, "level", ["event_type", "big"], algo, max_depth=10, split_keys=["event_id"])
+
+
+@query(
+    "model_train_classify",
+    f"""SELECT metric, round(value, 6) AS value FROM (
+ SELECT 'accuracy' AS metric, sum(h) / sum(s) AS value FROM {TREE_CLASSES}
+ UNION ALL SELECT 'precision', sum(s * coalesce(h / nullif(p, 0), 0)) / sum(s) FROM {TREE_CLASSES}
+ UNION ALL SELECT 'recall', sum(s * coalesce(h / nullif(s, 0), 0)) / sum(s) FROM {TREE_CLASSES}
+ UNION ALL SELECT 'f1', sum(s * coalesce(2 * h / nullif(p + s, 0), 0)) / sum(s) FROM {TREE_CLASSES}
+ UNION ALL SELECT 'baseline_accuracy', share FROM {HITS}
+ UNION ALL SELECT 'n_train', count(*) FROM {CELLS} WHERE NOT t
+ UNION ALL SELECT 'n_test', count(*) FROM {CELLS} WHERE t
+ UNION ALL SELECT 'n_features', count(DISTINCT event_type) + 2 FROM events
+ UNION ALL SELECT 'beats_baseline', (sum(h) / sum(s) > 1e-9 + any_value(share))::INTEGER FROM {TREE_CLASSES}, {HITS})""",
+)
+def train_classify(read):
+    return rounded(model.model_table(_event_model(read)), 6, "value")
 
 
 @query("model_stress")
 def model_stress(read):
-    return _classifier(read, "linear")["stress"]
+    """Scores under perturbation: hash-based draws have no SQL counterpart."""
+    return _event_model(read, "linear")["stress"]
 
 
-@query("experiment_log")
+@query(
+    "experiment_log",
+    f"""SELECT id, algo, n_features, n_train::BIGINT AS n_train, n_test::BIGINT AS n_test, round(r2, 6) AS primary_model,
+ round(baseline_r2, 6) AS primary_baseline, round(r2 - baseline_r2, 6) AS lift, r2 > baseline_r2 + 1e-9 AS beats_baseline,
+ row_number() OVER (ORDER BY r2 DESC, id) = 1 AS is_best FROM (
+ SELECT 'size' AS id, 'linear' AS algo, 1 AS n_features, r2, baseline_r2, n_train, n_test FROM {_ols_sql("p_size")}
+ UNION ALL SELECT 'size_key', 'linear', 2, r2, baseline_r2, n_train, n_test FROM {_ols_sql("p_size, p_partkey")})""",
+)
 def experiment_log(read):
-    spark = read("labels").sparkSession
+    spark = read("part").sparkSession
     path = scratch_path(spark, "experiments")
-    parts = read("part")
-    for i, algo in enumerate(("linear", "tree")):
-        result = model.train(parts, "p_retailprice", ["p_partkey", "p_size"], algo, max_depth=5)
-        tracking.log_run(result, path, "part", source=algo, run_id=f"run{i}", ts=f"2024-01-0{i + 1}")
-    return tracking.best_runs(tracking.read_runs(spark, path)).drop("metrics")
+    for day, (name, features) in enumerate({"size": ["p_size"], "size_key": ["p_size", "p_partkey"]}.items(), 1):
+        tracking.log_run(_price_model(read, features), path, "part", run_id=name, ts=f"2024-01-0{day}")
+    runs = tracking.best_runs(tracking.read_runs(spark, path))
+    shown = ["id", "algo", "n_features", "n_train", "n_test", "primary_model", "primary_baseline", "lift"]
+    return rounded(runs.select(*shown, "beats_baseline", "is_best"), 6, "primary_model", "primary_baseline", "lift")
 
 
 # One run per month, priority and status: a log that grows with the orders.
