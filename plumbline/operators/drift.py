@@ -1,14 +1,13 @@
 """Drift between a baseline and a current table, column by column.
 
-Each step is one job for all columns: counts and means of both tables side by
-side, baseline deciles, bin counts of both, category counts of both.  Only
-each side's most frequent categories meet in the full outer match.
+Each step covers all columns at once: counts and means of either table,
+baseline deciles, bin counts of both, category counts of both.  Only each
+side's most frequent categories meet in the full outer match.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import NUMERIC, as_double, col, kind_of, name_lookup
 from plumbline.operators.contracts import first_line
-from plumbline.plans.aggregates import melt, value_counts, wide_codegen
+from plumbline.plans.aggregates import melt, one_row, union_all, value_counts
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.ranking import top_by_count
 
@@ -50,41 +49,18 @@ def shared_columns(
     return numeric, [f.name for f in shared if f.name not in numeric]
 
 
-def _side_by_side(
-    base: DataFrame, cur: DataFrame, numeric: list[str], null_flags: Sequence[str] = ()
-) -> DataFrame:
-    """Both tables under a ``side`` flag: numbers as doubles, null flags of the rest."""
-
-    def side(df: DataFrame, is_current: bool) -> DataFrame:
-        return df.select(
-            F.lit(is_current).alias("side"),
-            *[as_double(n).alias(f"n{i}") for i, n in enumerate(numeric)],
-            *[col(n).isNull().alias(f"c{i}") for i, n in enumerate(null_flags)],
-        )
-
-    return side(base, False).unionAll(side(cur, True))
+def _stats(base: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str]) -> list[dict]:
+    """Row counts, nulls and means of the baseline and the current table."""
+    exprs: dict[object, Column] = {"rows": F.count(F.lit(1))}
+    for n in numeric:
+        exprs |= {("nulls", n): F.count_if(as_double(n).isNull()), ("mean", n): F.avg(as_double(n))}
+    exprs |= {("nulls", n): F.count_if(col(n).isNull()) for n in categorical}
+    return [one_row(side, exprs) for side in (base, cur)]
 
 
-def _stats(both: DataFrame, numeric: list[str], categorical: list[str]) -> dict[bool, dict]:
-    """Row counts, nulls, means and approximate distinct counts per side."""
-    exprs: dict[object, Column] = {"rows": F.count(F.lit(1))}
-    for i, n in enumerate(numeric):
-        value = F.col(f"n{i}")
-        exprs |= {("nulls", n): F.count_if(value.isNull()), ("mean", n): F.avg(value)}
-        exprs |= {("distinct", n): F.approx_count_distinct(value)}
-    exprs |= {("nulls", n): F.count_if(F.col(f"c{i}")) for i, n in enumerate(categorical)}
-    with wide_codegen(both.sparkSession):
-        row_per_side = both.groupBy("side").agg(*[e.alias(f"v{i}") for i, e in enumerate(exprs.values())]).collect()
-    found = {r.side: dict(zip(exprs, list(r)[1:])) for r in row_per_side}
-    empty = {key: None if key[0] == "mean" else 0 for key in exprs}
-    return {side: found.get(side, empty) for side in (False, True)}
-
-
-def decile_edges(
-    base: DataFrame, numeric: list[str], distinct: dict[str, int] | None = None, approx: bool = False
-) -> dict[str, list[float]]:
+def decile_edges(base: DataFrame, numeric: list[str], approx: bool = False) -> dict[str, list[float]]:
     """Finite, strictly ascending deciles of the baseline per numeric column."""
-    found = quantiles(base, numeric, DECILES, distinct, approx)
+    found = quantiles(base, numeric, DECILES, approx=approx)
     return {n: sorted({e for e in v if e is not None and math.isfinite(e)}) for n, v in found.items()}
 
 
@@ -94,14 +70,17 @@ def bin_counts(base: DataFrame, cur: DataFrame, edges: dict[str, list[float]]) -
     spark = base.sparkSession
     if not numeric:
         return spark.createDataFrame([], "column string, bin int, base_count bigint, cur_count bigint")
-    both = _side_by_side(base, cur, numeric)
+    sides = [
+        df.select(F.lit(current).alias("side"), *[as_double(n).alias(f"n{i}") for i, n in enumerate(numeric)])
+        for df, current in ((base, False), (cur, True))
+    ]
     cells = {}
     for i, n in enumerate(numeric):
         value = F.col(f"n{i}")
         reached = [(value >= F.lit(e)).cast("int") for e in edges[n]]
         cells[n] = sum(reached[1:], reached[0])
     counted = (
-        melt(both, cells, F.col("side"))
+        melt(union_all(sides), cells, F.col("side"))
         .groupBy("column_id", F.col("value").alias("bin"))
         .agg(F.count_if(~F.col("side")).alias("base_count"), F.count_if("side").alias("cur_count"))
     )
@@ -186,29 +165,29 @@ def status(psi: Column) -> Column:
 def rates_and_shift(base: DataFrame, cur: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, base_null_pct, cur_null_pct, mean_shift_pct) without any binning."""
     numeric, categorical = shared_columns(base, cur, columns)
-    stats = _stats(_side_by_side(base, cur, numeric, categorical), numeric, categorical)
+    stats = _stats(base, cur, numeric, categorical)
     rows = [(n, *_rates(stats, n), _mean_shift(stats, n)) for n in numeric + categorical]
     schema = "column string, base_null_pct double, cur_null_pct double, mean_shift_pct double"
     return base.sparkSession.createDataFrame(rows, schema)
 
 
-def _rates(stats: dict[bool, dict], name: str) -> tuple[float, float]:
+def _rates(stats: list[dict], name: str) -> tuple[float, float]:
     def rate(side: dict) -> float:
         return 100.0 * side["nulls", name] / side["rows"] if side["rows"] else 0.0
 
-    return rate(stats[False]), rate(stats[True])
+    return rate(stats[0]), rate(stats[1])
 
 
-def _mean_shift(stats: dict[bool, dict], name: str) -> float | None:
-    before, after = (stats[side].get(("mean", name)) for side in (False, True))
+def _mean_shift(stats: list[dict], name: str) -> float | None:
+    before, after = (side.get(("mean", name)) for side in stats)
     return None if not before or after is None else (after - before) / abs(before)
 
 
 def _report_rows(
     base: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str], max_categories: int, approx: bool
 ) -> list[tuple]:
-    stats = _stats(_side_by_side(base, cur, numeric, categorical), numeric, categorical)
-    edges = decile_edges(base, numeric, {n: stats[False]["distinct", n] for n in numeric}, approx)
+    stats = _stats(base, cur, numeric, categorical)
+    edges = decile_edges(base, numeric, approx)
     rows = []
     index = {r.column: r for r in numeric_index(bin_counts(base, cur, edges)).collect()} if numeric else {}
     for n in numeric:

@@ -39,7 +39,7 @@ from plumbline.operators.metrics import (
     regression_metrics,
 )
 from plumbline.operators.profile import guarded_correlation
-from plumbline.plans.aggregates import count_distinct, long_text, melt, one_row, text_lengths
+from plumbline.plans.aggregates import count_distinct, long_text, melt, one_row, text_length
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.ranking import top_by_count
 
@@ -117,7 +117,8 @@ def leakage(df: DataFrame, target: str, features: list[str] | None = None) -> Da
     numeric = [f for f in names if kind_of(df.schema[f].dataType) == NUMERIC]
     target_numeric = kind_of(df.schema[target].dataType) == NUMERIC
     correlated = numeric if target_numeric else []
-    seen = one_row(rows, {"n": F.count(F.lit(1))} | text_lengths(df, names))
+    lengths = {k: e for f in names for k, e in text_length(df, f).items()}
+    seen = one_row(rows, {"n": F.count(F.lit(1))} | lengths)
     distinct = count_distinct(rows, names, long_text=long_text(seen))
     median = {f: v[0] for f, v in quantiles(rows, correlated, [0.5], {f: distinct[f] for f in correlated}).items()}
     r = one_row(

@@ -1,8 +1,8 @@
 """Table profiling: column statistics, histograms, top values, correlations.
 
-The number of jobs depends on neither the rows nor the columns: one fused
-aggregate, one distinct count, one quantile search, one stacked histogram
-count, one stacked value count and one fused correlation aggregate.
+All columns are handled together: one fused aggregate, one distinct count, one
+quantile search, one stacked histogram count, one stacked value count and one
+fused correlation aggregate.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from plumbline.plans.aggregates import (
     long_text,
     melt,
     one_row,
-    text_lengths,
+    text_length,
     union_all,
     value_counts,
 )
@@ -35,6 +35,9 @@ from plumbline.plans.ranking import top_by_count
 
 QUARTILES = [0.25, 0.5, 0.75]
 
+# A guarded correlation is made of three aggregates.
+PAIRS_PER_PASS = 32
+
 STATS_SCHEMA = (
     "column string, kind string, physical_type string, row_count bigint, nulls bigint, null_pct double,"
     " distinct bigint, min double, max double, mean double, std double, p25 double, p50 double, p75 double"
@@ -43,10 +46,22 @@ HISTOGRAM_SCHEMA = "column string, bin int, lower_edge double, count bigint"
 CORRELATION_SCHEMA = "a string, b string, r double"
 
 
-def null_counts(df: DataFrame) -> dict[object, Column]:
-    """Aggregates for the row count and each column's nulls, to be fused."""
+def presence(df: DataFrame) -> dict[object, Column]:
+    """Aggregates for the row count, each column's nulls and its text length."""
     exprs: dict[object, Column] = {"rows": F.count(F.lit(1))}
-    return exprs | {("nulls", n): F.count_if(col(n).isNull()) for n in df.columns}
+    for n in df.columns:
+        exprs |= {("nulls", n): F.count_if(col(n).isNull())} | text_length(df, n)
+    return exprs
+
+
+def moments(name: str) -> dict[object, Column]:
+    value = as_double(name)
+    return {
+        ("min", name): F.min(value),
+        ("max", name): F.max(value),
+        ("mean", name): F.avg(value),
+        ("std", name): F.stddev_samp(value),
+    }
 
 
 def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -57,27 +72,19 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
 def _stats_rows(df: DataFrame, approx: bool) -> list[tuple]:
     kind = kinds(df)
     numeric = numeric_columns(df)
-    exprs = null_counts(df) | text_lengths(df, df.columns)
-    for n in numeric:
-        value = as_double(n)
-        exprs |= {
-            ("min", n): F.min(value),
-            ("max", n): F.max(value),
-            ("mean", n): F.avg(value),
-            ("std", n): F.stddev_samp(value),
-        }
-    seen = one_row(df, exprs)
+    # Narrow tables need a single pass for all of it.
+    seen = one_row(df, presence(df) | {k: e for n in numeric for k, e in moments(n).items()})
     distinct = count_distinct(df, df.columns, approx, long_text(seen))
     quartile = quantiles(df, numeric, QUARTILES, distinct, approx)
     total = seen["rows"]
     rows = []
     for n in df.columns:
         nulls = seen["nulls", n]
-        moments = [seen[m, n] for m in ("min", "max", "mean", "std")] if kind[n] == NUMERIC else [None] * 4
+        spread = [seen[m, n] for m in ("min", "max", "mean", "std")] if kind[n] == NUMERIC else [None] * 4
         rows.append(
             (n, kind[n], df.schema[n].dataType.simpleString(), total, nulls)
             + (100.0 * nulls / total if total else 0.0, distinct[n])
-            + tuple(moments)
+            + tuple(spread)
             + tuple(quartile.get(n, [None] * 3))
         )
     return rows
@@ -85,7 +92,7 @@ def _stats_rows(df: DataFrame, approx: bool) -> list[tuple]:
 
 def nulls_and_distinct(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, row_count, nulls, null_pct, distinct) without the numeric work."""
-    seen = one_row(df, null_counts(df) | text_lengths(df, df.columns))
+    seen = one_row(df, presence(df))
     distinct = count_distinct(df, df.columns, approx, long_text(seen))
     total = seen["rows"]
     rows = [
@@ -165,9 +172,8 @@ def correlation(df: DataFrame, max_cols: int = 8, complete: set[str] | None = No
         return df.sparkSession.createDataFrame([], CORRELATION_SCHEMA)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     full = complete or set()
-    seen = one_row(
-        df, {(a, b): guarded_correlation(as_double(a), as_double(b), {a, b} <= full) for a, b in pairs}
-    )
+    exprs = {(a, b): guarded_correlation(as_double(a), as_double(b), {a, b} <= full) for a, b in pairs}
+    seen = one_row(df, exprs, PAIRS_PER_PASS)
     rows = [(n, n, 1.0) for n in names]
     for (a, b), r in seen.items():
         rows += [(a, b, r), (b, a, r)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from contextlib import contextmanager
 from functools import reduce
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ DIGEST_ABOVE = 128
 
 CODEGEN_FIELDS = "spark.sql.codegen.maxFields"
 WIDE_FIELDS = "2000"
+PASS_WIDTH = 96
 
 
 @contextmanager
@@ -39,13 +41,19 @@ def wide_codegen(spark: SparkSession):
         spark.conf.set(CODEGEN_FIELDS, before)
 
 
-def one_row(df: DataFrame, exprs: Mapping[object, Column]) -> dict:
-    """Evaluate aggregates in a single pass; keys may be any hashable label."""
-    if not exprs:
-        return {}
-    aliased = [e.alias(f"v{i}") for i, e in enumerate(exprs.values())]
+def one_row(df: DataFrame, exprs: Mapping[object, Column], per_pass: int = PASS_WIDTH) -> dict:
+    """Evaluate aggregates over the whole table; keys may be any hashable label.
+
+    One pass for ordinary tables.  Very wide ones take one pass per
+    ``per_pass`` aggregates, each reading only the columns it needs, because
+    generated code has a size limit.  Keep a column's aggregates together.
+    """
+    seen: dict = {}
     with wide_codegen(df.sparkSession):
-        return dict(zip(exprs, df.agg(*aliased).first()))
+        for labels in batched(exprs, per_pass):
+            row = df.agg(*[exprs[label].alias(f"v{i}") for i, label in enumerate(labels)]).first()
+            seen |= zip(labels, row)
+    return seen
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
@@ -80,13 +88,11 @@ def count_distinct(
     return {columns[r.i]: r.d for r in union_all(parts).collect()}
 
 
-def text_lengths(df: DataFrame, columns: Iterable[str]) -> dict[object, Column]:
-    """Average byte length of the plain string columns, for choosing digests."""
-    return {
-        ("text_length", n): F.avg(F.octet_length(col(n)))
-        for n in columns
-        if isinstance(df.schema[n].dataType, T.StringType)
-    }
+def text_length(df: DataFrame, name: str) -> dict[object, Column]:
+    """Average byte length of a plain string column, for choosing digests."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return {}
+    return {("text_length", name): F.avg(F.octet_length(col(name)))}
 
 
 def long_text(measured: Mapping[object, object]) -> list[str]:
