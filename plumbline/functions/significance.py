@@ -1,25 +1,27 @@
-"""p-values for the A/B comparison.
+"""p-values for the A/B comparison, as column expressions.
 
-All of them run on the per-variant aggregate (a handful of rows).  The normal
-tail is a plain column expression; the two tails that need a loop are
-vectorised pandas UDFs.
+All of them run on the per-variant aggregate (a handful of rows) and stay in
+the JVM, so nothing has to be shipped to Python workers.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Error-function approximation 7.1.26 of Abramowitz & Stegun,
 # lowest power first, and the scale inside its substitution.
 ERF_SCALE = 0.3275911
 ERF_COEFFICIENTS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
+# Tail integrals stop this far out, where the density has vanished.
+REACH = 40.0
+
+# Steps taken before the large-argument series of the gamma ratio applies.
+GAMMA_STEPS = 50
+
 
 def normal_two_sided(z: Column) -> Column:
     """P(|Z| > |z|): one minus erf(|z| / sqrt 2), absolute error below 1.5e-7."""
@@ -29,69 +31,76 @@ def normal_two_sided(z: Column) -> Column:
     return series * F.exp(-x * x)
 
 
-def _double_exponential_nodes(step: float = 1 / 32, reach: float = 3.6) -> tuple[np.ndarray, np.ndarray]:
-    """Tanh-sinh quadrature on (0, 1): nodes and weights."""
-    k = np.arange(-int(reach / step), int(reach / step) + 1) * step
-    inner = 0.5 * math.pi * np.sinh(k)
-    nodes = 1.0 / (1.0 + np.exp(-2.0 * inner))
-    weights = step * 0.25 * math.pi * np.cosh(k) / np.cosh(inner) ** 2
-    return nodes, weights
+def _quadrature(step: float = 1 / 32, reach: float = 3.6) -> Column:
+    """Tanh-sinh nodes on (0, 1) with their weights, as a constant array."""
+    pairs = []
+    for k in range(-int(reach / step), int(reach / step) + 1):
+        inner = 0.5 * math.pi * math.sinh(k * step)
+        node = 1.0 / (1.0 + math.exp(-2.0 * inner))
+        weight = step * 0.25 * math.pi * math.cosh(k * step) / math.cosh(inner) ** 2
+        pairs.append(F.struct(F.lit(node).alias("node"), F.lit(weight).alias("weight")))
+    return F.array(*pairs)
+
 
+def _integral(start: Column, end: Column, density) -> Column:
+    def add(total: Column, pair: Column) -> Column:
+        return total + pair["weight"] * density(start + (end - start) * pair["node"])
 
-_NODES, _WEIGHTS = _double_exponential_nodes()
+    return (end - start) * F.aggregate(_quadrature(), F.lit(0.0), add)
 
 
-def _gamma_half_ratio(x: float) -> float:
-    """Gamma(x + 1/2) / (Gamma(x) * sqrt(x)), stable for very large x."""
-    if x < 50.0:
-        return math.exp(math.lgamma(x + 0.5) - math.lgamma(x)) / math.sqrt(x)
-    return 1 - 1 / (8 * x) + 1 / (128 * x**2) + 5 / (1024 * x**3) - 21 / (32768 * x**4)
+def _gamma_half_ratio(x: Column) -> Column:
+    """Gamma(x + 1/2) / Gamma(x) / sqrt(x): exact steps up, then its series."""
+    steps = F.sequence(F.lit(0), F.lit(GAMMA_STEPS - 1))
+    climbed = F.aggregate(steps, F.lit(1.0), lambda product, k: product * (x + k) / (x + k + F.lit(0.5)))
+    y = x + F.lit(float(GAMMA_STEPS))
+    series = 1 - 1 / (8 * y) + 1 / (128 * y * y) + 5 / (1024 * y * y * y) - 21 / (32768 * y * y * y * y)
+    return climbed * F.sqrt(y / x) * series
 
 
-def t_two_sided(t: float, df: float) -> float:
+def student_t_p(t: Column, df: Column) -> Column:
     """P(|T| > |t|) by integrating the density over the angle atan(t / sqrt df).
 
-    With theta = u / sqrt(df) the integrand cos(theta)^(df-1) tends to
-    exp(-u^2 / 2), so sample sizes in the billions stay well conditioned.
+    With the angle u / sqrt(df) the integrand tends to exp(-u^2 / 2), so sample
+    sizes in the billions stay well conditioned.
     """
-    if math.isnan(t) or math.isnan(df):
-        return math.nan
-    if math.isinf(t) or df <= 0:
-        return 1.0
-    root = math.sqrt(df)
-    start = root * math.atan(abs(t) / root)
-    end = root * math.pi / 2
-    end = min(end, max(start + 1.0, 1.0) + 40.0)
-    u = start + (end - start) * _NODES
-    squared_sine = np.minimum(np.sin(u / root) ** 2, 1.0 - 2.0**-53)
-    density = np.exp(0.5 * (df - 1.0) * np.log1p(-squared_sine))
-    area = float((end - start) * np.dot(_WEIGHTS, density))
-    scale = 2.0 * _gamma_half_ratio(df / 2.0) * math.sqrt(0.5) / math.sqrt(math.pi)
-    return min(1.0, scale * area)
-
-
-def chi_square_tail(x: float, df: int) -> float:
+    root = F.sqrt(df)
+    start = root * F.atan(F.abs(t) / root)
+    end = F.least(root * F.lit(math.pi / 2), start + F.lit(REACH))
+
+    def density(u: Column) -> Column:
+        sine = F.sin(u / root)
+        squared = F.least(sine * sine, F.lit(1.0 - 2.0**-53))
+        return F.exp((df - 1) * F.log1p(-squared) / 2)
+
+    scale = _gamma_half_ratio(df / 2) * F.lit(math.sqrt(2.0 / math.pi))
+    tail = F.least(F.lit(1.0), scale * _integral(start, end, density))
+    undefined = (df <= 0) | (F.abs(t) == F.lit(float("inf")))
+    return F.when(undefined, F.lit(1.0)).otherwise(tail)
+
+
+def _normal_tail(z: Column) -> Column:
+    """P(|Z| > z) to full precision."""
+    area = _integral(z, z + F.lit(REACH), lambda u: F.exp(-u * u / 2))
+    return F.least(F.lit(1.0), area * F.lit(math.sqrt(2.0 / math.pi)))
+
+
+def chi_square_p(x: Column, df: Column) -> Column:
     """P(X > x) for whole degrees of freedom, from the finite sum of its terms."""
-    if math.isnan(x):
-        return math.nan
-    if x <= 0 or df <= 0:
-        return 1.0
-    half = x / 2.0
-    count = df // 2
-    shift = 0.5 * (df % 2)
-    start = math.erfc(math.sqrt(half)) if df % 2 else 0.0
-    if count == 0:
-        return start
-    power = np.arange(count) + shift
-    log_terms = power * math.log(half) - half - np.array([math.lgamma(p + 1.0) for p in power])
-    return min(1.0, start + float(np.exp(log_terms).sum()))
-
-
-@F.pandas_udf(T.DoubleType())
-def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(float(a), float(b)) for a, b in zip(t, df)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi_square_tail(float(a), int(b)) for a, b in zip(x, df)], dtype="float64")
+    half = x / 2
+    odd = df % 2 == 1
+    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    first = F.when(odd, F.lit(math.lgamma(1.5))).otherwise(F.lit(0.0))
+    zero = F.struct((shift * F.ln(half) - half - first).alias("log_term"), F.lit(0.0).alias("total"))
+
+    def add(state: Column, j: Column) -> Column:
+        return F.struct(
+            (state["log_term"] + F.ln(half) - F.ln(j + shift)).alias("log_term"),
+            (state["total"] + F.exp(state["log_term"])).alias("total"),
+        )
+
+    count = F.floor(df / 2).cast("int")
+    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), zero, add, lambda s: s["total"])
+    lead = F.when(odd, _normal_tail(F.sqrt(x))).otherwise(F.lit(0.0))
+    tail = F.least(F.lit(1.0), lead + F.when(count > 0, terms).otherwise(F.lit(0.0)))
+    return F.when((x <= 0) | (df <= 0), F.lit(1.0)).otherwise(tail)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import DATETIME, NUMERIC, as_double, col, groupable, kind_of
 from plumbline.plans.durable import materialise
-from plumbline.plans.quantiles import FEW_VALUES
+
+# A task may hold the value maps of over a hundred groups at once, so the map
+# form of the median is kept for groups of at most this many distinct values.
+GROUP_VALUES = 10_000
 
 AGGREGATES = ("none", "count", "sum", "mean", "median", "min", "max")
 
@@ -46,7 +49,7 @@ def chart_data(
     return df.groupBy(*groups).agg(point.alias("y"))
 
 
-def _medians(points: DataFrame, keys: list[str], few_values: int = FEW_VALUES) -> DataFrame:
+def _medians(points: DataFrame, keys: list[str], few_values: int = GROUP_VALUES) -> DataFrame:
     """Exact medians; groups of many distinct values are ranked across tasks."""
     widest = points.groupBy(*keys).agg(F.approx_count_distinct("y").alias("d")).agg(F.max("d")).first()[0]
     if widest is None or widest <= few_values:

@@ -157,10 +157,9 @@ EVENT_RULES = [
 
 @query("contract_stream", f"SELECT *, 0::BIGINT AS batch_id FROM ({contract_sql('events', EVENT_RULES)})")
 def stream_contract(read):
-    events = read("events")
-    spark = events.sparkSession
-    folder = events.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    spark = read.spark
+    # As a pattern the path may be one file or a folder of files.
+    stream = spark.readStream.schema(read("events").schema).parquet(read.path("events") + "*")
     results = scratch_path(spark, "stream-results")
     checkpoint = scratch_path(spark, "stream-checkpoint")
     running = contract_stream(stream, "events", rules_of(EVENT_RULES), results, checkpoint, once=True)

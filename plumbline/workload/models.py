@@ -320,7 +320,7 @@ def model_stress(read):
  UNION ALL SELECT 'size_key', 'linear', 2, r2, baseline_r2, n_train, n_test FROM {_ols_sql("p_size, p_partkey")})""",
 )
 def experiment_log(read):
-    spark = read("part").sparkSession
+    spark = read.spark
     path = scratch_path(spark, "experiments")
     for day, (name, features) in enumerate({"size": ["p_size"], "size_key": ["p_size", "p_partkey"]}.items(), 1):
         tracking.log_run(_price_model(read, features), path, "part", run_id=name, ts=f"2024-01-0{day}")
@@ -378,8 +378,7 @@ AB_SRM_SQL = """(SELECT sum((n - e) ** 2 / e) > 16.266236 AS mismatch FROM
 )
 def ship_gate(read):
     contracts = summarize(all_results(read)).select("failed", "errored")
-    spark = contracts.sparkSession
-    unchecked = spark.range(1).select(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"))
+    unchecked = read.spark.range(1).select(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"))
     ab = abtest.ab_srm(abtest.ab_variants(labelled(read), "lang", "quality", "en"))
     base, cur = order_sides(read)
     rolled = drift.drift_rollup(drift.drift_report(base, cur), base, cur)

@@ -11,14 +11,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(read)`` where ``read(table)`` loads one of the given tables."""
+class Tables:
+    """Loads the given tables: ``read("orders")``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+
+    def path(self, table: str) -> str:
+        return f"{self.sf_dir}/{table}.parquet"
 
-    def register(fn: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(reader(spark, sf_dir))
+    def __call__(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(table))
 
-        QUERIES[name] = run
+
+def query(name: str, sql: str | None = None):
+    """Register ``fn(read)``, where ``read`` is a ``Tables``."""
+
+    def register(fn: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -26,13 +37,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    def read(table: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-    return read
-
-
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Round computed doubles so that summation order cannot show."""
     return df.withColumns({n: F.round(n, digits) for n in names})

@@ -15,17 +15,17 @@ PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM pa
 @query("load_csv_roundtrip", PART)
 def csv_roundtrip(read):
     part = read("part")
-    folder = scratch_path(part.sparkSession, "csv") + ".csv"
+    folder = scratch_path(read.spark, "csv") + ".csv"
     io.save_csv(part, folder)
-    return io.load(part.sparkSession, folder, "part_csv", schema=part.schema)
+    return io.load(read.spark, folder, "part_csv", schema=part.schema)
 
 
 @query("load_csv_inferred", f"SELECT count(*) AS n, sum(p_partkey)::BIGINT AS keys, round(avg(p_retailprice), 4) AS price FROM ({PART})")
 def csv_inferred(read):
     part = read("part")
-    folder = scratch_path(part.sparkSession, "tsv") + ".tsv"
+    folder = scratch_path(read.spark, "tsv") + ".tsv"
     io.save_csv(part, folder, sep="\t")
-    loaded = io.load(part.sparkSession, folder, "part_tsv")
+    loaded = io.load(read.spark, folder, "part_tsv")
     return loaded.agg(
         F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"), F.round(F.avg("p_retailprice"), 4).alias("price")
     )
@@ -34,9 +34,9 @@ def csv_inferred(read):
 @query("load_json_roundtrip", "SELECT event_id, user_id, event_type, value, props FROM events")
 def json_roundtrip(read):
     events = read("events").drop("ts")
-    folder = scratch_path(events.sparkSession, "json") + ".jsonl"
+    folder = scratch_path(read.spark, "json") + ".jsonl"
     events.write.json(folder)
-    return io.load(events.sparkSession, folder, "events_json", schema=events.schema)
+    return io.load(read.spark, folder, "events_json", schema=events.schema)
 
 
 @query(
@@ -45,9 +45,7 @@ def json_roundtrip(read):
  UNION ALL SELECT 'supplier', count(*) FROM supplier""",
 )
 def load_all(read):
-    spark = read("region").sparkSession
-    paths = {t: read(t).inputFiles()[0] for t in ("nation", "region", "supplier")}
-    loaded = io.load_all(spark, {f"loaded_{t}": p for t, p in paths.items()})
+    loaded = io.load_all(read.spark, {f"loaded_{t}": read.path(t) for t in ("nation", "region", "supplier")})
     result = None
     for name, df in loaded.items():
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name.removeprefix("loaded_")).alias("name"), "n")
@@ -62,7 +60,6 @@ def load_all(read):
 )
 def python_transform(read):
     """A Python step that publishes a table, and a SQL step that reads it."""
-    events = read("events")
 
     def step(ws: Workspace):
         per_user = ws.table("events").groupBy("user_id").agg(
@@ -71,8 +68,8 @@ def python_transform(read):
         ws.publish("per_user", per_user)
         return ws.sql("SELECT user_id, n, total, spread FROM per_user")
 
-    events.createOrReplaceTempView("events")
-    return rounded(run_python(events.sparkSession, step), 4, "total", "spread")
+    read("events").createOrReplaceTempView("events")
+    return rounded(run_python(read.spark, step), 4, "total", "spread")
 
 
 # -- plain SQL: the text goes to Spark as it is --------------------------------
@@ -81,12 +78,9 @@ def python_transform(read):
 def sql_query(name: str, tables: str, spark_sql: str, duck_sql: str | None = None) -> None:
     @query(name, duck_sql or spark_sql)
     def run(read):
-        spark = None
         for table in tables.split():
-            df = read(table)
-            df.createOrReplaceTempView(table)
-            spark = df.sparkSession
-        return io.run_sql(spark, spark_sql)
+            read(table).createOrReplaceTempView(table)
+        return io.run_sql(read.spark, spark_sql)
 
 
 SUMMARY = """SELECT event_type, count(*) AS n, round(avg(value), 2) AS mean FROM events GROUP BY event_type ORDER BY n DESC"""
@@ -95,10 +89,9 @@ sql_query("sql_group_summary", "events", SUMMARY)
 
 @query("sql_named_result", f"SELECT event_type, n FROM ({SUMMARY}) WHERE mean > 49")
 def named_result(read):
-    events = read("events")
-    events.createOrReplaceTempView("events")
-    io.run_sql(events.sparkSession, SUMMARY + ";", "event_summary")
-    return io.run_sql(events.sparkSession, "SELECT event_type, n FROM event_summary WHERE mean > 49")
+    read("events").createOrReplaceTempView("events")
+    io.run_sql(read.spark, SUMMARY + ";", "event_summary")
+    return io.run_sql(read.spark, "SELECT event_type, n FROM event_summary WHERE mean > 49")
 
 
 for _kind in ("inner", "left"):

@@ -30,9 +30,9 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def read(spark):
-    from plumbline.workload.registry import reader
+    from plumbline.workload.registry import Tables
 
-    return reader(spark, SF_DIR)
+    return Tables(spark, SF_DIR)
 
 
 @pytest.fixture

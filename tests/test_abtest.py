@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.functions.significance import chi_square_tail, t_two_sided
+from plumbline.functions.significance import chi_square_p, student_t_p
 from plumbline.operators import abtest
 
 
@@ -10,46 +11,54 @@ def exact_normal(z):
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-@pytest.mark.parametrize("x", [0.01, 0.603, 3.0, 40.0, 700.0])
-def test_chi_square_closed_forms(x):
-    root = math.erfc(math.sqrt(x / 2))
-    closed = {
-        1: root,
-        2: math.exp(-x / 2),
-        3: root + math.sqrt(2 * x / math.pi) * math.exp(-x / 2),
-        4: math.exp(-x / 2) * (1 + x / 2),
-    }
-    for df, p in closed.items():
-        assert chi_square_tail(x, df) == pytest.approx(p, rel=1e-9)
+def tails(spark, tail, pairs):
+    """p-values of (statistic, degrees of freedom) pairs."""
+    rows = [(i, float(x), float(df)) for i, (x, df) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i int, x double, df double")
+    return [r.p for r in df.select("i", tail(F.col("x"), F.col("df")).alias("p")).orderBy("i").collect()]
 
 
-def test_chi_square_edges():
-    assert chi_square_tail(0, 3) == 1 and chi_square_tail(-1, 3) == 1 and chi_square_tail(5, 0) == 1
-    assert 0 < chi_square_tail(2000, 2001) < 1
+def test_chi_square_closed_forms(spark):
+    for x in (0.01, 0.603, 3.0, 40.0, 700.0):
+        root = math.erfc(math.sqrt(x / 2))
+        closed = {
+            1: root,
+            2: math.exp(-x / 2),
+            3: root + math.sqrt(2 * x / math.pi) * math.exp(-x / 2),
+            4: math.exp(-x / 2) * (1 + x / 2),
+        }
+        assert tails(spark, chi_square_p, [(x, df) for df in closed]) == pytest.approx(list(closed.values()), rel=1e-9)
 
 
-@pytest.mark.parametrize("t", [0.0, 0.3, 1.0, 2.5, 30.0])
-def test_student_closed_forms(t):
-    closed = {
-        1: 1 - 2 / math.pi * math.atan(t),
-        2: 1 - t / math.sqrt(2 + t * t),
-        4: 1 - (t / math.sqrt(4 + t * t)) * (1 + 2 / (4 + t * t)),
-    }
-    for df, p in closed.items():
-        assert t_two_sided(t, df) == pytest.approx(p, rel=1e-6, abs=1e-12)
-        assert t_two_sided(-t, df) == t_two_sided(t, df)
+def test_chi_square_edges(spark):
+    found = tails(spark, chi_square_p, [(0, 3), (-1, 3), (5, 0), (2000, 2001), (2000, 2000), (1e6, 10)])
+    assert found[:3] == [1, 1, 1] and found[5] == 0
+    # The median of the distribution is close to its degrees of freedom.
+    assert found[3:5] == pytest.approx([0.5, 0.5], abs=0.01)
+
+
+def test_student_closed_forms(spark):
+    for t in (0.0, 0.3, 1.0, 2.5, 30.0):
+        closed = {
+            1: 1 - 2 / math.pi * math.atan(t),
+            2: 1 - t / math.sqrt(2 + t * t),
+            4: 1 - (t / math.sqrt(4 + t * t)) * (1 + 2 / (4 + t * t)),
+        }
+        for side in (t, -t):
+            found = tails(spark, student_t_p, [(side, df) for df in closed])
+            assert found == pytest.approx(list(closed.values()), rel=1e-6, abs=1e-12)
 
 
 @pytest.mark.parametrize("df", [1e6, 1e9, 1e13])
-def test_student_tends_to_normal(df):
-    for t in (0.5, 1.96, 5.0, 12.0):
+def test_student_tends_to_normal(spark, df):
+    points = [0.5, 1.96, 5.0, 12.0]
+    for t, p in zip(points, tails(spark, student_t_p, [(t, df) for t in points])):
         # The tails differ by about t^4 / (4 df).
-        assert t_two_sided(t, df) == pytest.approx(exact_normal(t), rel=(t**4 + 1) / df + 1e-9)
+        assert p == pytest.approx(exact_normal(t), rel=(t**4 + 1) / df + 1e-9)
 
 
-def test_student_edges():
-    assert t_two_sided(float("inf"), 5) == 1 and t_two_sided(1.0, 0) == 1
-    assert math.isnan(t_two_sided(1.0, float("nan")))
+def test_student_edges(spark):
+    assert tails(spark, student_t_p, [(float("inf"), 5), (1.0, 0)]) == [1, 1]
 
 
 def frame(spark, groups):
