@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing
+from plumbline.llm import bpe, mixing
+
+#: Tokenizer file of the BPE query.
+VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +95,8 @@ FROM arcs a JOIN aimed s ON a.source IS NOT DISTINCT FROM s.source
 )
 def op5_mix(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op2_bpe", "documents")
+def op2_bpe(docs: DataFrame) -> DataFrame:
+    return bpe.encode_digests(docs, public_tokenizers.path(VOCABULARY))
