@@ -11,7 +11,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, mixing
+from pyspark.sql import functions as F
+
+from plumbline.llm import bpe, mixing, warc
+from plumbline.plans.durable import scratch_path
 
 #: Tokenizer file of the BPE query.
 VOCABULARY = "word_bpe_49k.json"
@@ -100,3 +103,35 @@ def op5_mix(docs: DataFrame) -> DataFrame:
 @_query("op2_bpe", "documents")
 def op2_bpe(docs: DataFrame) -> DataFrame:
     return bpe.encode_digests(docs, public_tokenizers.path(VOCABULARY))
+
+
+@_query(
+    "op10_warc",
+    "pages",
+    """
+WITH rows AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digests AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM rows
+), kept AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM kept
+""",
+)
+def op10_warc(pages: DataFrame) -> DataFrame:
+    folder = scratch_path(pages.sparkSession, "warc")
+    warc.write(warc.records(pages), folder)
+    full = warc.read(pages.sparkSession, folder).where("record_type = 'response'")
+    full = full.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    bare = warc.read(pages.sparkSession, folder, payload=False).where("record_type = 'revisit'")
+    return full.drop("payload").unionByName(bare).select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
