@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, warc
+from plumbline.llm import bpe, mixing, mtree, warc
 from plumbline.plans.durable import scratch_path
 
 #: Tokenizer file of the BPE query.
@@ -135,3 +135,22 @@ def op10_warc(pages: DataFrame) -> DataFrame:
         "record_type",
         warc.page_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+@_query(
+    "op9_topk",
+    "embeddings",
+    """
+WITH rows AS (
+    SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scores QUALIFY rank <= 10
+""",
+)
+def op9_topk(embeddings: DataFrame) -> DataFrame:
+    return mtree.top_k(embeddings, embeddings.where("vec_id % 100 = 0"))
