@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, mtree, warc
+from plumbline.llm import bpe, mixing, mtree, simhash, warc
 from plumbline.plans.durable import scratch_path
 
 #: Tokenizer file of the BPE query.
@@ -154,3 +154,9 @@ FROM scores QUALIFY rank <= 10
 )
 def op9_topk(embeddings: DataFrame) -> DataFrame:
     return mtree.top_k(embeddings, embeddings.where("vec_id % 100 = 0"))
+
+
+@_query("op6_simhash", "documents")
+def op6_simhash(docs: DataFrame) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")

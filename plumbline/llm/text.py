@@ -78,3 +78,12 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict],
             yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.withColumn(column, F.col(column).cast("binary")).mapInArrow(run, schema)
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """All columns as one struct ``row`` next to new ones, so that no name can clash."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names])
