@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, mtree, simhash, warc
+from plumbline.llm import bpe, mixing, mtree, simhash, substring, warc
 from plumbline.plans.durable import scratch_path
 
 #: Tokenizer file of the BPE query.
@@ -160,3 +160,37 @@ def op9_topk(embeddings: DataFrame) -> DataFrame:
 def op6_simhash(docs: DataFrame) -> DataFrame:
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query(
+    "op1_substring",
+    "documents",
+    r"""
+WITH words AS (
+    SELECT doc_id, w.pos - 1 AS pos, w.word AS word FROM (
+        SELECT doc_id, unnest(list_zip(found, range(1, len(found) + 1))) AS pair
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS found FROM documents)
+    ), LATERAL (SELECT pair[1] AS word, pair[2] AS pos) AS w
+), windows AS (
+    SELECT doc_id, pos, word,
+           CASE WHEN count(*) OVER ahead = 20 THEN md5(string_agg(word, ' ') OVER ahead) END AS hash
+    FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), firsts AS (
+    SELECT doc_id, pos, word,
+           hash IS NOT NULL AND row_number() OVER (PARTITION BY hash ORDER BY doc_id, pos) > 1 AS late
+    FROM windows
+), judged AS (
+    SELECT doc_id, pos, word, bool_or(late) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS removed
+    FROM firsts
+), kept AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed,
+           sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+)
+def op1_substring(docs: DataFrame) -> DataFrame:
+    return substring.removal_digests(docs)
