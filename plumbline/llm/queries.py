@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, mtree, simhash, substring, warc
+from plumbline.llm import boosting, bpe, mixing, mtree, pulearn, samples, simhash, substring, warc
 from plumbline.plans.durable import scratch_path
 
 #: Tokenizer file of the BPE query.
@@ -194,3 +194,29 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 )
 def op1_substring(docs: DataFrame) -> DataFrame:
     return substring.removal_digests(docs)
+
+
+def _labelled(name: str):
+    """Register ``fn(documents, labels)``."""
+
+    def register(fn: Callable[[DataFrame, DataFrame], DataFrame]):
+        read = lambda spark, sf_dir, t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        QUERIES[name] = lambda spark, sf_dir: fn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+        return fn
+
+    return register
+
+
+@_labelled("op4_rules")
+def op4_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    found = boosting.judge(docs, boosting.train(docs, labels), ["doc_id"])
+    return found.drop("score")
+
+
+@_labelled("op8_quality")
+def op8_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    group = samples.remainder(F.col("doc_id"), 4)
+    model = pulearn.train(docs, labels, group != 2)
+    found = pulearn.score(docs, model, ["doc_id"])
+    predicted = (F.col("score") >= pulearn.THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", F.coalesce(group == 2, F.lit(False)).alias("held_out"), "score", predicted)
