@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import boosting, bpe, mixing, mtree, pulearn, samples, simhash, substring, warc
+from plumbline.llm import boosting, bpe, langid, mixing, mtree, pulearn, samples, simhash, substring, warc
 from plumbline.plans.durable import scratch_path
 
 #: Tokenizer file of the BPE query.
@@ -220,3 +220,10 @@ def op8_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = pulearn.score(docs, model, ["doc_id"])
     predicted = (F.col("score") >= pulearn.THRESHOLD).cast("int").alias("predicted")
     return found.select("doc_id", F.coalesce(group == 2, F.lit(False)).alias("held_out"), "score", predicted)
+
+
+@_query("op7_langid", "documents")
+def op7_langid(docs: DataFrame) -> DataFrame:
+    fold = samples.remainder(F.col("doc_id"), 5)
+    found = langid.identify(docs, langid.train(docs, fold != 0), ["doc_id"])
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
