@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import boosting, bpe, langid, mixing, mtree, pulearn, samples, simhash, substring, warc
+from plumbline.llm import boosting, bpe, langid, mixing, mtree, pulearn, samples, simhash, substring, urls, warc
 from plumbline.plans.durable import scratch_path
 
+#: Rules of the URL query, by host and path.
+RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
 #: Tokenizer file of the BPE query.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -227,3 +235,56 @@ def op7_langid(docs: DataFrame) -> DataFrame:
     fold = samples.remainder(F.col("doc_id"), 5)
     found = langid.identify(docs, langid.train(docs, fold != 0), ["doc_id"])
     return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+_LINK = urls.LINK.replace("'", "''")
+
+
+@_query(
+    "op3_urls",
+    "pages",
+    rf"""
+WITH RECURSIVE rules(rule, name, rest, verdict) AS (
+    VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+           ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'),
+           ('com/de/', 'com', '/de/', 'block')
+), parsed AS (
+    SELECT page_id, html,
+           translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), fitted AS (
+    SELECT page_id, host, path, html,
+           (SELECT arg_max([rule, verdict], length(rule)) FROM rules
+            WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, rest)) AS decided FROM parsed
+), seeds AS (
+    SELECT decided[2] AS kind, host, floor(count(*) * {urls.UNIT} * {1 - urls.DAMPING}::DOUBLE)::BIGINT AS rank
+    FROM fitted WHERE decided IS NOT NULL GROUP BY ALL
+), pairs AS (
+    SELECT src, dst, count(*) AS n FROM (
+        SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK}', 1)),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM fitted
+    ) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
+), ways AS (
+    SELECT 'allow' AS kind, src AS a, dst AS b, n FROM pairs UNION ALL SELECT 'block', dst, src, n FROM pairs
+), shares AS (
+    SELECT kind, a, b, {urls.DAMPING}::DOUBLE * n / sum(n) OVER (PARTITION BY kind, a) AS share FROM ways
+), ranks AS (
+    SELECT 0 AS step, kind, host, rank FROM seeds
+    UNION ALL
+    SELECT step + 1, kind, host, sum(rank)::BIGINT FROM (
+        SELECT r.step, s.kind, s.b AS host, floor(r.rank * s.share)::BIGINT AS rank
+        FROM ranks r JOIN shares s ON r.kind = s.kind AND r.host = s.a WHERE step < {urls.ROUNDS}
+        UNION ALL
+        SELECT t.step, seeds.kind, seeds.host, seeds.rank FROM seeds, (SELECT DISTINCT step FROM ranks WHERE step < {urls.ROUNDS}) t
+    ) GROUP BY ALL
+), scores AS (
+    SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust
+    FROM ranks WHERE step = {urls.ROUNDS} GROUP BY host
+)
+SELECT page_id, f.host, path, decided[1] AS rule,
+       coalesce(decided[2], CASE WHEN trust < {urls.THRESHOLD} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitted f LEFT JOIN scores s ON f.host = s.host
+""",
+)
+def op3_urls(pages: DataFrame) -> DataFrame:
+    return urls.judge(pages, RULES)
