@@ -49,7 +49,7 @@ class Model:
         symbols = np.r_[np.zeros(ORDER, np.int64), self.classes[np.frombuffer(text, np.uint8)]]
         for k in range(ORDER, len(symbols), PIECE):
             part = symbols[k - ORDER : k + PIECE]
-            codes = _codes(part)
+            codes = _codes(part, CLASSES)
             for i, costs in enumerate(self.costs):
                 out[i] += costs[codes].sum(dtype=np.float64)
             if self.rare > 1:
@@ -63,12 +63,12 @@ class Model:
             return self.languages[best], float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum())
 
 
-def _codes(symbols: np.ndarray) -> np.ndarray:
+def _codes(symbols: np.ndarray, classes: int) -> np.ndarray:
     """Each byte's class with the classes of the bytes before it, as one number."""
     n = len(symbols) - ORDER
     out = symbols[:n].copy()
     for k in range(1, ORDER + 1):
-        out *= CLASSES
+        out *= classes
         out += symbols[k : n + k]
     return out
 
@@ -134,7 +134,7 @@ def train(docs: DataFrame, allowed: Column) -> Model | None:
         by_lang: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             symbols = np.r_[np.zeros(ORDER, np.int64), classes[np.frombuffer(text or b"", np.uint8)]]
-            by_lang.setdefault(lang, []).append(_codes(symbols))
+            by_lang.setdefault(lang, []).append(_codes(symbols, CLASSES))
         langs, codes, times = [], [], []
         for lang, parts in by_lang.items():
             code, n = np.unique(np.concatenate(parts), return_counts=True)
