@@ -1,21 +1,21 @@
 """Drift between a baseline and a current table, column by column.
 
 Each step covers all columns at once: counts and means of either table,
-baseline deciles, bin counts of both, category counts of both.  Only each
-side's most frequent categories meet in the full outer match.
+baseline deciles, bin counts of both, category counts of both.  Categories are
+counted for both sides in one grouping, so there is nothing to match and no
+limit to how many a column has.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.columns import NUMERIC, as_double, col, kind_of, name_lookup
-from plumbline.operators.contracts import first_line
-from plumbline.plans.aggregates import melt, one_row, union_all, value_counts
+from plumbline.functions.columns import BOOLEAN, NUMERIC, as_double, as_text, col, kind_of, name_lookup
+from plumbline.plans.aggregates import melt, one_row, union_all
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.ranking import top_by_count
 
@@ -26,6 +26,7 @@ SHARE_FLOOR = 1e-4
 WARN_FROM = 0.1
 DRIFT_ABOVE = 0.25
 
+#: New and missing categories that a report lists; ``category_changes`` has all.
 LISTED_CATEGORIES = 10
 
 REPORT_SCHEMA = (
@@ -35,7 +36,7 @@ REPORT_SCHEMA = (
 
 
 def shared_columns(
-    base: DataFrame, cur: DataFrame, columns: list[str] | None = None, max_columns: int = 40
+    base: DataFrame, cur: DataFrame, columns: list[str] | None = None
 ) -> tuple[list[str], list[str]]:
     """Shared column names as (numeric, categorical), typed by the baseline."""
     if base is cur or base.sameSemantics(cur):
@@ -44,7 +45,6 @@ def shared_columns(
     shared = [f for f in base.schema.fields if f.name in present and (not columns or f.name in columns)]
     if not shared:
         raise ValueError("the two tables share no columns")
-    shared = shared[:max_columns]
     numeric = [f.name for f in shared if kind_of(f.dataType) == NUMERIC]
     return numeric, [f.name for f in shared if f.name not in numeric]
 
@@ -94,67 +94,96 @@ def bin_counts(base: DataFrame, cur: DataFrame, edges: dict[str, list[float]]) -
     )
 
 
-def category_counts(base: DataFrame, cur: DataFrame, names: list[str], max_categories: int = 200) -> DataFrame:
-    """Union of both sides' most frequent values, matched by (column, value).
+def category_counts(base: DataFrame, cur: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value, base_count, cur_count) of every value on either side.
 
-    A side's count is 0 where the value is not among that side's top values.
+    One union, one grouping: counts are combined before the shuffle, so a hot
+    value costs one row per map task.
     """
+    sides = [
+        df.select(F.lit(current).alias("side"), *[as_text(df, n).alias(f"c{i}") for i, n in enumerate(names)])
+        for df, current in ((base, False), (cur, True))
+    ]
+    cells = {n: F.col(f"c{i}") for i, n in enumerate(names)}
+    counted = (
+        melt(union_all(sides), cells, F.col("side"))
+        .groupBy("column_id", "value")
+        .agg(F.count_if(~F.col("side")).alias("base_count"), F.count_if("side").alias("cur_count"))
+    )
+    return counted.select(name_lookup(names, F.col("column_id")).alias("column"), "value", "base_count", "cur_count")
 
-    def top(df: DataFrame, side: str) -> DataFrame:
-        ranked = top_by_count(value_counts(df, names), max_categories)
-        return ranked.select("column", "value", F.col("count").alias(f"{side}_count"), F.col("rank").alias(f"{side}_rank"))
 
-    # At most max_categories rows per column and side reach the join.
-    joined = top(base, "base").join(top(cur, "cur"), ["column", "value"], "full")
-    return joined.select(
-        "column",
-        "value",
-        F.coalesce("base_count", F.lit(0)).alias("base_count"),
-        F.coalesce("cur_count", F.lit(0)).alias("cur_count"),
-        "base_rank",
-        "cur_rank",
-    )
+def _term(base: Column, cur: Column) -> Column:
+    """One row's term of the stability index, from its shares."""
+    base, cur = F.greatest(base, F.lit(SHARE_FLOOR)), F.greatest(cur, F.lit(SHARE_FLOOR))
+    return (cur - base) * F.ln(cur / base)
 
 
-def _index_terms(counts: DataFrame) -> DataFrame:
-    """Add share columns and each row's term of the stability index."""
-    column = Window.partitionBy("column")
-    base = F.col("base_count") / F.greatest(F.sum("base_count").over(column), F.lit(1))
-    cur = F.col("cur_count") / F.greatest(F.sum("cur_count").over(column), F.lit(1))
-    shares = counts.withColumn("base_share", base).withColumn("cur_share", cur)
-    floored_base = F.greatest("base_share", F.lit(SHARE_FLOOR))
-    floored_cur = F.greatest("cur_share", F.lit(SHARE_FLOOR))
-    return shares.withColumn("term", (floored_cur - floored_base) * F.ln(floored_cur / floored_base))
+def _share(count: str, total: Column) -> Column:
+    return F.col(count) / F.greatest(total, F.lit(1))
 
 
 def numeric_index(bins: DataFrame) -> DataFrame:
-    """(column, psi, ks) from zero-filled bin counts."""
-    upto = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    """(column, psi, ks) from zero-filled bin counts: at most ten rows per column."""
+    column = Window.partitionBy("column")
+    upto = column.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    shares = bins.select(
+        "column",
+        "bin",
+        _share("base_count", F.sum("base_count").over(column)).alias("base_share"),
+        _share("cur_count", F.sum("cur_count").over(column)).alias("cur_share"),
+    )
     gap = F.abs(F.sum("base_share").over(upto) - F.sum("cur_share").over(upto))
-    scored = _index_terms(bins).withColumn("gap", gap)
+    scored = shares.withColumn("gap", gap).withColumn("term", _term(F.col("base_share"), F.col("cur_share")))
     return scored.groupBy("column").agg(F.sum("term").alias("psi"), F.max("gap").alias("ks"))
 
 
-def categorical_index(counts: DataFrame) -> DataFrame:
-    """(column, psi, new_categories, missing_categories, note) from matched counts."""
+def categorical_index(counts: DataFrame, listed: int = LISTED_CATEGORIES) -> DataFrame:
+    """(column, psi, new_categories, missing_categories, note) from counts of both sides.
 
-    def listed(present: str, absent: str) -> Column:
-        only = F.when(F.col(absent).isNull(), F.struct(F.col(present).alias("rank"), F.col("value").alias("value")))
-        first = F.slice(F.array_sort(F.collect_list(only)), 1, LISTED_CATEGORIES)
-        return F.transform(first, lambda s: s["value"])
-
-    scored = _index_terms(counts).groupBy("column").agg(
+    The ``listed`` most frequent one-sided values are named.  No window ever
+    holds all values of a column: totals are sums, and names are cut to
+    ``listed`` before they are gathered.
+    """
+    totals = counts.groupBy(F.col("column").alias("of")).agg(
+        F.sum("base_count").alias("base_total"), F.sum("cur_count").alias("cur_total")
+    )
+    # One row per column.
+    scored = counts.join(F.broadcast(totals), F.col("column") == F.col("of")).withColumn(
+        "term", _term(_share("base_count", F.col("base_total")), _share("cur_count", F.col("cur_total")))
+    )
+    scored = scored.groupBy("column").agg(
         F.sum("term").alias("psi"),
-        listed("cur_rank", "base_rank").alias("new_categories"),
-        listed("base_rank", "cur_rank").alias("missing_categories"),
+        F.count_if(F.col("base_count") == 0).alias("added"),
+        F.count_if(F.col("cur_count") == 0).alias("dropped"),
+    )
+    one_sided = counts.where("base_count = 0 OR cur_count = 0").select(
+        F.concat_ws("|", F.when(F.col("base_count") == 0, "new").otherwise("missing"), "column").alias("column"),
+        F.col("column").alias("of"),
+        "value",
+        (F.col("base_count") + F.col("cur_count")).alias("count"),
+        (F.col("base_count") == 0).alias("is_new"),
+    )
+    first = top_by_count(one_sided, listed)
+
+    def names(is_new: bool) -> Column:
+        own = F.when(F.col("is_new") == F.lit(is_new), F.struct("rank", "value"))
+        return F.transform(F.array_sort(F.collect_list(own)), lambda s: s["value"])
+
+    lists = first.groupBy("of").agg(names(True).alias("new"), names(False).alias("missing"))
+    none = F.array().cast("array<string>")
+    return scored.join(F.broadcast(lists), F.col("column") == F.col("of"), "left").select(
+        "column",
+        "psi",
+        F.coalesce("new", none).alias("new_categories"),
+        F.coalesce("missing", none).alias("missing_categories"),
+        F.when((F.col("added") > 0) | (F.col("dropped") > 0), "category set changed").alias("note"),
     )
-    changed = (F.size("new_categories") > 0) | (F.size("missing_categories") > 0)
-    return scored.withColumn("note", F.when(changed, "category set changed"))
 
 
 def category_changes(counts: DataFrame) -> DataFrame:
     """(column, change, value): every value seen on one side only."""
-    change = F.when(F.col("base_rank").isNull(), "new").when(F.col("cur_rank").isNull(), "missing")
+    change = F.when(F.col("base_count") == 0, "new").when(F.col("cur_count") == 0, "missing")
     return counts.select("column", change.alias("change"), "value").where(F.col("change").isNotNull())
 
 
@@ -184,8 +213,8 @@ def _mean_shift(stats: list[dict], name: str) -> float | None:
 
 
 def _report_rows(
-    base: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str], max_categories: int, approx: bool
-) -> list[tuple]:
+    base: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str], listed: int, approx: bool
+) -> tuple[list[tuple], list[int]]:
     stats = _stats(base, cur, numeric, categorical)
     edges = decile_edges(base, numeric, approx)
     rows = []
@@ -194,51 +223,72 @@ def _report_rows(
         psi, ks = (index[n].psi, index[n].ks) if n in index else (0.0, 0.0)
         rows.append((n, "numeric", psi, None, *_rates(stats, n), _mean_shift(stats, n), ks, None, None, None))
     if categorical:
-        counts = category_counts(base, cur, categorical, max_categories)
-        index = {r.column: r for r in categorical_index(counts).collect()}
+        counts = category_counts(base, cur, categorical)
+        index = {r.column: r for r in categorical_index(counts, listed).collect()}
     for n in categorical:
         found = index.get(n)
         lists = (found.new_categories, found.missing_categories, found.note) if found else ([], [], None)
         rows.append((n, "categorical", found.psi if found else 0.0, None, *_rates(stats, n), None, None, *lists))
-    return rows
+    return rows, [side["rows"] for side in stats]
+
+
+def _clash(cur: DataFrame, name: str) -> str | None:
+    """Why a current column can never be read as the baseline's numbers."""
+    kind = cur.schema[name].dataType
+    castable = kind_of(kind) in (NUMERIC, BOOLEAN) or isinstance(kind, T.StringType)
+    return None if castable else f"{kind.simpleString()} cannot be compared with numbers"
+
+
+def _unreadable(cur: DataFrame, names: list[str]) -> dict[str, str]:
+    """Text columns of the current table with values that are no numbers, counted in one pass."""
+    texts = [n for n in names if isinstance(cur.schema[n].dataType, T.StringType)]
+    if not texts:
+        return {}
+    bad = {n: F.count_if(col(n).isNotNull() & col(n).try_cast("double").isNull()) for n in texts}
+    return {n: f"{count} values are not numbers" for n, count in one_row(cur, bad).items() if count}
 
 
 def drift_report(
     base: DataFrame,
     cur: DataFrame,
     columns: list[str] | None = None,
-    max_columns: int = 40,
-    max_categories: int = 200,
+    listed: int = LISTED_CATEGORIES,
     approx: bool = False,
 ) -> DataFrame:
     """One row per shared column, worst first.
 
-    A column that cannot be compared gets a ``skipped`` note and index 0; the
-    others are unaffected.
+    A column that cannot be compared gets a ``skipped`` note and index 0; it is
+    found before anything is measured, so the others need no second pass.
     """
-    numeric, categorical = shared_columns(base, cur, columns, max_columns)
-    try:
-        rows = _report_rows(base, cur, numeric, categorical, max_categories, approx)
-    except PySparkException:
-        rows = []
-        for n in numeric + categorical:
-            single = ([n], []) if n in numeric else ([], [n])
-            try:
-                rows += _report_rows(base, cur, *single, max_categories, approx)
-            except PySparkException as error:
-                kind = "numeric" if n in numeric else "categorical"
-                note = f"skipped: {first_line(error)}"
-                rows.append((n, kind, 0.0, None, 0.0, 0.0, None, None, None, None, note))
+    return _measured(base, cur, columns, listed, approx)[0]
+
+
+def _measured(base, cur, columns, listed, approx) -> tuple[DataFrame, list[int]]:
+    numeric, categorical = shared_columns(base, cur, columns)
+    notes = {n: why for n in numeric if (why := _clash(cur, n))}
+    notes |= _unreadable(cur, [n for n in numeric if n not in notes])
+    rows, sizes = _report_rows(base, cur, [n for n in numeric if n not in notes], categorical, listed, approx)
+    rows += [(n, NUMERIC, 0.0, None, 0.0, 0.0, None, None, None, None, f"skipped: {why}") for n, why in notes.items()]
     report = base.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
-    return report.withColumn("status", status(F.col("psi"))).orderBy(F.col("psi").desc(), "column")
+    return report.withColumn("status", status(F.col("psi"))).orderBy(F.col("psi").desc(), "column"), sizes
+
+
+def drift_verdict(base: DataFrame, cur: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``drift_rollup`` of a fresh report, with the row counts that the report took anyway."""
+    report, sizes = _measured(base, cur, columns, LISTED_CATEGORIES, False)
+    return _rolled(report, *sizes)
 
 
 def drift_rollup(report: DataFrame, base: DataFrame, cur: DataFrame) -> DataFrame:
     """One row: sizes of both tables, columns compared and the worst status."""
+    return _rolled(report, base.count(), cur.count())
+
+
+def _rolled(report: DataFrame, base_rows: int, cur_rows: int) -> DataFrame:
     severity = F.when(F.col("status") == "drift", 2).when(F.col("status") == "warn", 1).otherwise(0)
     return report.agg(
-        F.lit(base.count()).alias("base_rows"),
-        F.lit(cur.count()).alias("cur_rows"),
+        F.lit(base_rows).cast("bigint").alias("base_rows"),
+        F.lit(cur_rows).cast("bigint").alias("cur_rows"),
         F.count(F.lit(1)).alias("columns"),
         F.count_if(F.col("status") == "drift").alias("drifted_count"),
         F.max_by("status", severity).alias("overall"),

@@ -22,8 +22,18 @@ def total_order(df: DataFrame, keys: list[str] | None = None) -> list[Column]:
     return [groupable(df, n) for n in first + [c for c in df.columns if c not in first]]
 
 
-def dense_index(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Add ``row_index``: 0, 1, 2, ... in the order of ``keys``.
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores in front while a column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def dense_index(df: DataFrame, keys: list[str] | None = None, name: str = "row_index") -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... in the order of ``keys``, as the last column.
+
+    If the table has a column of that name, underscores are put in front.
 
     Rows are range-partitioned and sorted, written once with their partition
     and place, and shifted by the sizes of the partitions before them.  Ties
@@ -50,5 +60,5 @@ def dense_index(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     return placed.join(F.broadcast(offsets), PARTITION).select(
         *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns],
-        (F.col(OFFSET) + F.col(POSITION)).alias("row_index"),
+        (F.col(OFFSET) + F.col(POSITION)).alias(free_name(df, name)),
     )

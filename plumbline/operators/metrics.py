@@ -59,14 +59,10 @@ def classification_metrics(pred: DataFrame) -> DataFrame:
 
 
 def confusion(pred: DataFrame) -> DataFrame:
-    """(actual, predicted, count), zero-filled over all labels on either side."""
-    counts = outcome_counts(pred)
-    labels = class_scores(pred).agg(F.collect_set("label")).scalar()
-    seen = counts.select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"), "n")
-    blank = class_scores(pred).select(
-        F.col("label").alias("actual"), F.explode(labels).alias("predicted"), F.lit(0).alias("n")
+    """(actual, predicted, count) of the pairs that occur; all others count 0."""
+    return outcome_counts(pred).select(
+        F.col("label").alias("actual"), F.col("prediction").alias("predicted"), F.col("n").alias("count")
     )
-    return union_all([seen, blank]).groupBy("actual", "predicted").agg(F.sum("n").alias("count"))
 
 
 def regression_columns(label: Column, prediction: Column) -> dict[str, Column]:

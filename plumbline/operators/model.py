@@ -57,9 +57,6 @@ ZEROED_SHARE = 0.10
 TOP_IMPORTANCES = 8
 GATE_MARGIN = 1e-9
 
-# Classes smaller than this are split by rank instead of by hash.
-SMALL_CLASS = 20
-
 NULL_LEVEL, OTHER_LEVEL = "__null__", "__other__"
 LABEL, FEATURES, INDEX = "label", "features", "row_index"
 
@@ -155,17 +152,22 @@ class Encoder:
     def _labels(self, name: str, levels: list[str]) -> list[str]:
         return levels + [OTHER_LEVEL] if name in self.has_other else levels
 
-    def encode(self, df: DataFrame) -> DataFrame:
-        """Add the ``features`` vector: filled numbers, then one slot per level."""
+    def encode(self, df: DataFrame, kept: list[Column] | None = None) -> DataFrame:
+        """The ``features`` vector: filled numbers, then one slot per level.
+
+        It stands next to ``kept`` (all columns but one called so by default).
+        """
+        kept = [col(c) for c in df.columns if c.lower() != FEATURES] if kept is None else kept
         numbers = {n: F.coalesce(_numeric_form(df, n), F.lit(m), F.lit(0.0)) for n, m in self.medians.items()}
         texts = {}
         for name, levels in self.levels.items():
             text = F.coalesce(as_text(df, name), F.lit(NULL_LEVEL))
             other = F.lit(OTHER_LEVEL)
             texts[name] = F.when(text.isin(levels), text).otherwise(other) if name in self.has_other else text
-        wide = df.withColumns(
-            {f"__num{i}": v for i, v in enumerate(numbers.values())}
-            | {f"__cat{i}": v for i, v in enumerate(texts.values())}
+        wide = df.select(
+            *kept,
+            *[v.alias(f"__num{i}") for i, v in enumerate(numbers.values())],
+            *[v.alias(f"__cat{i}") for i, v in enumerate(texts.values())],
         )
         inputs = [f"__num{i}" for i in range(len(numbers))]
         if texts:
@@ -184,11 +186,10 @@ class Encoder:
         return wide.drop(*[c for c in wide.columns if c.startswith(("__num", "__cat", "__id", "__hot"))])
 
 
-def fit_encoder(df: DataFrame, features: list[str], max_levels: int = 200) -> Encoder:
-    """Medians of numbers and times; the most frequent levels of the rest.
+def fit_encoder(df: DataFrame, features: list[str], max_levels: int | None = None) -> Encoder:
+    """Medians of numbers and times; all levels of the rest, one slot each.
 
-    Levels beyond ``max_levels`` share one slot, so the vector stays bounded
-    for id-like texts while every row keeps a value.
+    Only on request levels beyond the ``max_levels`` most frequent share a slot.
     """
     numeric = [f for f in features if _numeric_form(df, f) is not None]
     other = [f for f in features if f not in numeric]
@@ -199,9 +200,11 @@ def fit_encoder(df: DataFrame, features: list[str], max_levels: int = 200) -> En
     if other:
         cells = melt(df, {f: F.coalesce(as_text(df, f), F.lit(NULL_LEVEL)) for f in other})
         counts = cells.groupBy(F.col("column_id").alias("column"), "value").agg(F.count(F.lit(1)).alias("count"))
-        for row in top_by_count(counts, max_levels + 1).collect():
+        if max_levels is not None:
+            counts = top_by_count(counts, max_levels + 1)
+        for row in counts.collect():
             name = other[row.column]
-            if row.rank <= max_levels:
+            if max_levels is None or row.rank <= max_levels:
                 levels[name].append(row.value)
             else:
                 has_other.add(name)
@@ -213,8 +216,8 @@ def split(
 ) -> tuple[DataFrame, DataFrame]:
     """75/25 split by a hash of (seed, keys): no shuffle, stable, copies together.
 
-    With ``stratify``, classes of 2 to 19 rows are split by rank of the hash so
-    that each keeps rows on both sides; larger classes follow the hash.
+    With ``stratify``, a class that the hash puts on one side entirely moves its
+    row with the smallest hash (and copies of it) to the other.
     """
     flagged = with_test_flag(df, seed, keys, stratify)
     return flagged.where(~F.col("is_test")).drop("is_test"), flagged.where("is_test").drop("is_test")
@@ -227,21 +230,18 @@ def with_test_flag(
     by_hash = split_bucket(seed, *parts) < TEST_PERCENT
     if stratify is None:
         return df.withColumn("is_test", by_hash)
-    sizes = df.groupBy(col(stratify).alias("__class")).agg(F.count(F.lit(1)).alias("__size"))
-    small = sizes.where((F.col("__size") >= 2) & (F.col("__size") < SMALL_CLASS))
-    if small.isEmpty():
-        return df.withColumn("is_test", by_hash)
-    joined = df.join(small, col(stratify) == F.col("__class"), "left")
-    # Only rows of small classes reach the rank, at most 19 per group.
-    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
-    members = joined.where(F.col("__size").isNotNull())
-    others = joined.where(F.col("__size").isNull())
-    order = F.array_sort(F.collect_list(F.struct(text.alias("h"), F.struct(*[col(c) for c in df.columns]).alias("r"))))
-    held = F.greatest(F.lit(1), F.round(F.col("__size") * (TEST_PERCENT / 100)).cast("int"))
-    ranked = members.groupBy("__class", "__size").agg(order.alias("rows"))
-    placed = ranked.select(F.posexplode("rows").alias("place", "row"), held.alias("held"))
-    small_rows = placed.select("row.r.*", (F.col("place") < F.col("held")).alias("is_test"))
-    return others.select(*[col(c) for c in df.columns], by_hash.alias("is_test")).unionAll(small_rows)
+    # Classes with rows on one side only are known from counts; what is joined is the key of the
+    # row that moves, which is as good as unique, never the class.
+    row = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    tests = F.count_if(by_hash)
+    sides = df.groupBy(col(stratify)).agg(
+        F.count(F.lit(1)).alias("n"), tests.alias("tests"), F.min(row).alias("first"), F.max(row).alias("last")
+    )
+    lonely = sides.where("n > 1 AND (tests = 0 OR tests = n) AND first <> last")
+    moved = lonely.select(F.col("first").alias("__row")).distinct()
+    names = [col(c) for c in df.columns]
+    flagged = df.select(*names, row.alias("__key"), by_hash.alias("__hash")).join(moved, F.col("__key") == F.col("__row"), "left")
+    return flagged.select(*names, (F.col("__hash") != F.col("__row").isNotNull()).alias("is_test"))
 
 
 def baseline_prediction(train: DataFrame, task: str) -> object:
@@ -274,8 +274,8 @@ def _estimator(task: str, algo: str, seed: int, max_depth: int, trees: int, rows
     )
 
 
-def importances(model: Model, slots: list[str], k: int = TOP_IMPORTANCES) -> list[tuple[str, float]]:
-    """Largest impurity importances, or absolute coefficients of the first class."""
+def importances(model: Model, slots: list[str], k: int | None = TOP_IMPORTANCES) -> list[tuple[str, float]]:
+    """Largest impurity importances, or absolute coefficients of the first class; all with ``k=None``."""
     if hasattr(model, "featureImportances"):
         weights = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
@@ -286,11 +286,8 @@ def importances(model: Model, slots: list[str], k: int = TOP_IMPORTANCES) -> lis
     return [(slots[i], float(w)) for i, w in ranked]
 
 
-def _class_labels(rows: DataFrame, target: str, max_classes: int) -> list[str]:
-    found = rows.select(as_text(rows, target).alias("t")).distinct().limit(max_classes + 1).collect()
-    if len(found) > max_classes:
-        raise ValueError(f"target has more than {max_classes} classes")
-    return sorted(r.t for r in found)
+def _class_labels(rows: DataFrame, target: str) -> list[str]:
+    return sorted(r.t for r in rows.select(as_text(rows, target).alias("t")).distinct().collect())
 
 
 def _primary(scored: DataFrame, task: str) -> float:
@@ -348,9 +345,9 @@ def train(
     seed: int = 42,
     max_depth: int = 10,
     trees: int = TREES,
-    max_levels: int = 200,
-    max_classes: int = 1000,
+    max_levels: int | None = None,
     split_keys: list[str] | None = None,
+    top_importances: int | None = TOP_IMPORTANCES,
 ) -> dict:
     """Fit, grade and stress one model; small results come back as DataFrames."""
     spark = df.sparkSession
@@ -360,16 +357,17 @@ def train(
     encoder = fit_encoder(rows, names, max_levels)
     labels: list[str] = []
     if task == CLASSIFICATION:
-        labels = _class_labels(rows, target, max_classes)
+        labels = _class_labels(rows, target)
         place = F.array_position(F.array(*[F.lit(x) for x in labels]), as_text(rows, target))
         label = (place - 1).cast("double")
     else:
         label = as_double(target)
     train_raw, test_raw = split(rows, seed, split_keys, target if task == CLASSIFICATION else None)
-    encoded_train = encoder.encode(train_raw.withColumn(LABEL, label)).select(LABEL, FEATURES)
+    # Label, index and vector stand apart from the given columns, which may be called the same.
+    encoded_train = encoder.encode(train_raw, [label.alias(LABEL)])
     # The test rows are scored several times, so they are indexed and written once.
-    test_rows = dense_index(test_raw.withColumn(LABEL, label))
-    encoded_test = encoder.encode(test_rows).select(INDEX, LABEL, FEATURES)
+    test_rows = dense_index(test_raw)
+    encoded_test = encoder.encode(test_rows, [col(test_rows.columns[-1]).alias(INDEX), label.alias(LABEL)])
     n_train, n_test = train_raw.count(), test_rows.count()
     if not n_train or not n_test:
         raise ValueError("the split left one side empty; pass other split_keys")
@@ -394,7 +392,7 @@ def train(
         against = as_dict(regression_metrics(guessed))
         baseline = {"r2": against["r2"], "mae": against["mae"]}
         matrix = None
-    ranked = importances(model, encoder.slots)
+    ranked = importances(model, encoder.slots, top_importances)
     top = encoder.slots.index(ranked[0][0]) if ranked else None
     clean = metrics[primary_name.lower()]
     titles = {

@@ -159,15 +159,15 @@ def top_values(df: DataFrame, k: int = 10) -> DataFrame:
     return top_by_count(value_counts(df, names), k).select("column", "rank", "value", "count")
 
 
-def correlation(df: DataFrame, max_cols: int = 8, complete: set[str] | None = None) -> DataFrame:
-    """Pearson correlation of the first ``max_cols`` numeric columns, long form.
+def correlation(df: DataFrame, columns: list[str] | None = None, complete: set[str] | None = None) -> DataFrame:
+    """Pearson correlation of all (or the given) numeric columns, long form.
 
     Computed from covariance and the deviations over rows where both sides are
     present; undefined pairs (no variance, too few rows) count as 0.
     ``complete`` names columns known to hold no nulls: pairs of them share one
     deviation per column.
     """
-    names = numeric_columns(df)[:max_cols]
+    names = [n for n in numeric_columns(df) if columns is None or n in columns]
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], CORRELATION_SCHEMA)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]

@@ -19,7 +19,6 @@ from plumbline.operators.contracts import Rule, first_line, measure_safely
 from plumbline.operators.indexing import dense_index, total_order
 from plumbline.plans.aggregates import row_fingerprint
 
-INDEX = "row_index"
 
 # Size of the volume attack, injected numbers, padding, suffix.
 VOLUME = 25
@@ -65,7 +64,8 @@ def apply_attack(
 ) -> DataFrame:
     """The mutated input, same columns in the same order.
 
-    ``indexed`` may pass the result of ``dense_index`` to share it.
+    ``indexed`` may pass the result of ``dense_index`` to share it; the index is
+    its last column, whatever it is called.
     """
     attack = ATTACKS[key]
     if key == "baseline":
@@ -80,11 +80,11 @@ def apply_attack(
         copies = F.explode(F.sequence(F.lit(1), F.lit(VOLUME)))
         return df.select("*", copies.alias("__copy")).drop("__copy")
     source = (dense_index(df, order_by) if indexed is None else indexed) if attack.uses_index else df
-    return source.select(*[_mutated(key, f).alias(f.name) for f in df.schema.fields])
+    return source.select(*[_mutated(key, f, source.columns[-1]).alias(f.name) for f in df.schema.fields])
 
 
-def _mutated(key: str, field: T.StructField) -> Column:
-    value, index = col(field.name), F.col(INDEX)
+def _mutated(key: str, field: T.StructField, index_name: str) -> Column:
+    value, index = col(field.name), col(index_name)
     even = index % 2 == 0
     if key == "null_bomb":
         return F.when(even, value)

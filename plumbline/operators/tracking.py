@@ -60,17 +60,19 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def best_runs(runs: DataFrame) -> DataFrame:
-    """Add lift, fragile and is_best (highest primary; the earliest on ties).
+    """Add lift, fragile and is_best (highest primary; the earliest on ties; none only without others).
 
     The winner of each (table, target) comes from a partial aggregate, so a
     group with very many runs is never sorted in one task.  Newest first.
     """
-    score = F.nanvl("primary_model", F.lit(float("-inf")))
+    lowest = F.lit(float("-inf"))
+    score = F.coalesce(F.nanvl("primary_model", lowest), lowest)
     winner = F.min(F.struct((-score).alias("s"), F.col("ts").alias("ts"), F.col("id").alias("id")))
-    best = runs.groupBy("table", "target").agg(winner["id"].alias("best_id"))
+    best = runs.groupBy(F.col("table").alias("_table"), F.col("target").alias("_target")).agg(winner["id"].alias("best_id"))
     floor = F.greatest(F.lit(FRAGILE_FLOOR), F.abs("primary_model"))
     fragile = F.col("worst_stress_delta") < -FRAGILE_SHARE * floor
-    joined = runs.join(best, ["table", "target"])
+    same = F.col("table").eqNullSafe(F.col("_table")) & F.col("target").eqNullSafe(F.col("_target"))
+    joined = runs.join(best, same)
     return joined.select(
         *[F.col(c) for c in runs.columns],
         (F.col("primary_model") - F.col("primary_baseline")).alias("lift"),

@@ -9,27 +9,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="plumbline-")
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that everything this application writes sits below.
 
+    ``spark.checkpoint.dir`` names it.  Only a session that runs in one process
+    may leave that unset: a folder of one machine would lose rows on a cluster.
+    """
+    root = spark.conf.get(CHECKPOINT_DIR, None)
+    if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share (master is {master})")
+        root = f"file:{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/plumbline/{spark.conf.get('spark.app.id', 'application')}"
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; a local one only where none is set.
 
-    Everything an application writes sits under its own id, so it can be
-    dropped as a whole once the application has ended.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or _local_folder()
-    app = spark.conf.get("spark.app.id", "application")
-    return f"{root.rstrip('/')}/plumbline/{app}/{label}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -37,3 +40,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drop all that this application has written; DataFrames that read it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import as_text, col, is_nested
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+COMPRESSED = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate", ".xz")
 
 
 def sanitize_name(raw: str) -> str:
@@ -21,14 +23,18 @@ def sanitize_name(raw: str) -> str:
     return re.sub(r"^(?=\d)", "_", base) or "dataset"
 
 
+def extension(path: str) -> str:
+    """Lower-case extension in front of any compression suffix."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    for suffix in COMPRESSED:
+        name = name.removesuffix(suffix)
+    return name.rpartition(".")[2] if "." in name else ""
+
+
 def format_of(path: str) -> str:
     """File format by extension; unknown ones are read as CSV."""
-    name = path.rstrip("/").lower()
-    if name.endswith(".parquet"):
-        return "parquet"
-    if name.endswith((".json", ".jsonl")):
-        return "json"
-    return "csv"
+    kind = extension(path)
+    return "parquet" if kind == "parquet" else "json" if kind in ("json", "jsonl", "ndjson") else "csv"
 
 
 def load(
@@ -48,25 +54,45 @@ def load(
     if kind == "parquet":
         df = reader.options(**options).parquet(path)
     elif kind == "json":
-        layout = {"multiLine": _spans_lines(spark, path)} if path.lower().endswith(".json") else {}
-        df = reader.options(**(layout | options)).json(path)
+        lines_only = extension(path) in ("jsonl", "ndjson") or "multiLine" in options
+        df = reader.options(**options).json(path) if lines_only else _read_json(spark, reader, path, options)
     else:
-        separator = {"sep": "\t"} if path.lower().endswith(".tsv") else {}
+        separator = {"sep": "\t"} if extension(path) == "tsv" else {}
         inference = {"inferSchema": True} if schema is None else {}
         df = reader.options(**(CSV_OPTIONS | separator | inference | options)).csv(path)
     df.createOrReplaceTempView(name or sanitize_name(path.rstrip("/").rsplit("/", 1)[-1]))
     return df
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """True if a .json file holds one document instead of one row per line."""
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    if first is None:
-        return False
+def _read_json(spark: SparkSession, reader, path: str, options: dict) -> DataFrame:
+    """Files of one row per line and files of one document, told apart file by file.
+
+    A file holds a document if its first line that is not blank is no object by
+    itself.  Only the two lists of file names reach the driver.
+    """
+    place = F.monotonically_increasing_id().alias("place")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("line"), place)
+    first = lines.where("line <> ''").groupBy("file").agg(F.min_by("line", "place").alias("line")).collect()
+    names = {True: [], False: []}
+    for row in first:
+        names[_is_object(row.line)].append(row.file)
+    # Escaped characters of a path come back as such from input_file_name.
+    rows = {whole: [unquote(n) for n in files] for whole, files in names.items()}
+    parts = []
+    if rows[True]:
+        parts.append(reader.options(**options).json(rows[True]))
+    if rows[False]:
+        parts.append(reader.options(**({"multiLine": True} | options)).json(rows[False]))
+    if not parts:
+        return reader.options(**options).json(path)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def _is_object(line: str) -> bool:
     try:
-        return not isinstance(json.loads(first.value), dict)
+        return isinstance(json.loads(line), dict)
     except ValueError:
-        return True
+        return False
 
 
 def load_all(spark: SparkSession, sources: Mapping[str, str], **options) -> dict[str, DataFrame]:
@@ -75,7 +101,7 @@ def load_all(spark: SparkSession, sources: Mapping[str, str], **options) -> dict
 
 
 def save_csv(df: DataFrame, path: str, mode: str = "error", **options) -> None:
-    """Write CSV with a header; nested columns become JSON text."""
+    """Write CSV with a header; nested columns become JSON text, and empty texts read back as null."""
     flat = df.select(*[as_text(df, f.name).alias(f.name) if is_nested(f.dataType) else col(f.name) for f in df.schema])
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     flat.write.mode(mode).options(**(CSV_OPTIONS | keep_spaces | options)).csv(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.contracts import Rule, evaluate_all
+from plumbline.operators.dictionary import dictionary, merge_dictionary
+from plumbline.plans.aggregates import union_all
 from plumbline.sources import io
 
 
@@ -43,7 +47,9 @@ class Workspace:
         return io.run_sql(self.spark, text, name, persist)
 
     def run(self, fn: Callable[["Workspace"], Any]) -> Any:
-        """Run a Python step with this workspace as its argument."""
+        """Run a Python step with this workspace as its argument, from the same random state each time."""
+        random.seed(self.seed)
+        np.random.seed(self.seed)
         return fn(self)
 
     def tables(self) -> list[str]:
@@ -60,6 +66,20 @@ class Workspace:
             self.spark.sql(f"DROP TABLE IF EXISTS `{name.replace('`', '``')}`")
         self.sources.pop(name, None)
 
+    def reset(self) -> None:
+        """Drop every table of the workspace."""
+        for name in self.tables():
+            self.drop(name)
+        self.sources.clear()
+
+    def describe_all(self, notes: DataFrame | None = None) -> DataFrame | None:
+        """Data dictionary of all tables, with the notes of an earlier one carried over."""
+        parts = [dictionary(self.table(name), name) for name in sorted(self.tables())]
+        if not parts:
+            return None
+        fresh = union_all(parts)
+        return fresh if notes is None else merge_dictionary(notes, fresh)
+
     def check(self, contracts: dict[str, list[Rule]]) -> DataFrame:
         """Re-check the contracts of all tables that exist right now."""
         present = {name: self.table(name) for name in contracts if self.spark.catalog.tableExists(name)}

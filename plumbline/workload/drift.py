@@ -76,11 +76,11 @@ def numeric_sql(base: str, cur: str, column: str) -> str:
  SELECT sum({TERM}) AS psi, max(gap) AS ks FROM gaps)"""
 
 
-def matched_sql(base: str, cur: str, column: str, k: int = 200) -> str:
+def matched_sql(base: str, cur: str, column: str) -> str:
     def top(side: str, count: str) -> str:
-        return f"""(SELECT v, n AS {count}n, r AS {count}r FROM (SELECT {column}::VARCHAR AS v, count(*) AS n,
- row_number() OVER (ORDER BY count(*) DESC, {column}::VARCHAR) AS r FROM {side} WHERE {column} IS NOT NULL
- GROUP BY 1, {column}) WHERE r <= {k})"""
+        return f"""(SELECT {column}::VARCHAR AS v, count(*) AS {count}n,
+ row_number() OVER (ORDER BY count(*) DESC, {column}::VARCHAR) AS {count}r FROM {side} WHERE {column} IS NOT NULL
+ GROUP BY 1, {column})"""
 
     return f"(SELECT * FROM {top(base, 'b')} FULL JOIN {top(cur, 'c')} USING (v))"
 
@@ -248,4 +248,4 @@ ROLLUP_SQL = f"""SELECT (SELECT count(*) FROM {OLD_ORDERS}) AS base_rows, (SELEC
 @query("drift_rollup", ROLLUP_SQL)
 def rollup(read):
     base, cur = order_sides(read)
-    return drift.drift_rollup(drift.drift_report(base, cur), base, cur)
+    return drift.drift_verdict(base, cur)

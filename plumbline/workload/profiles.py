@@ -161,32 +161,59 @@ def dictionary_samples(read):
 
 
 def _semantic_case(column: str, kind: str) -> str:
-    name = column.lower()
-    money = any(w in name for w in "price amount cost revenue salary fee usd eur gbp balance total".split())
-    id_name = name.rsplit("_", 1)[-1] in ("id", "uuid", "guid", "key")
-    if kind == "t":
-        return "'datetime'"
-    by_name = "WHEN d >= 0.9 * n AND n > 0 THEN 'id' " if id_name else ""
-    if kind == "n" and money:
-        return f"CASE {by_name}WHEN true THEN 'currency' END"
-    if kind == "n":
-        return f"CASE {by_name}WHEN n > 20 AND d <= least(20, 0.05 * n) THEN 'category' ELSE 'numeric' END"
-    return f"""CASE {by_name}WHEN emails THEN 'email' WHEN urls THEN 'url'
+    """The whole rule chain in SQL, from the same fixed values."""
+    if kind in "tb":
+        return "'datetime'" if kind == "t" else "'boolean'"
+    called = lambda pattern: f"regexp_matches('{column.lower()}', '{pattern}')"
+    number = "true" if kind == "n" else "false"
+    unique = "n > 0 AND d >= 0.9 * n"
+    return f"""CASE WHEN {called(dictionary.ID_NAME)} AND {unique} THEN 'id'
+ WHEN {number} AND {called(dictionary.MONEY_NAME)} THEN 'currency'
+ WHEN {number} AND n > 20 AND d <= least(20, 0.05 * n) THEN 'category' WHEN {number} THEN 'numeric'
+ WHEN emails THEN 'email' WHEN urls THEN 'url' WHEN moneys THEN 'currency' WHEN words THEN 'boolean'
+ WHEN {unique} AND {called(dictionary.CODE_NAME)} THEN 'id'
  WHEN n > 0 AND d <= least(50, 0.5 * n) THEN 'category' ELSE 'text' END"""
 
 
-def _semantic_sql(tables: dict[str, dict[str, str]]) -> str:
+def _semantic_sql(tables: dict[str, dict[str, str]], sources: dict[str, str] | None = None) -> str:
+    words = ", ".join(f"'{w}'" for w in dictionary.BOOLEAN_WORDS)
     return sql_union(
         f"""SELECT '{t}' AS "table", '{c}' AS "column", {_semantic_case(c, kind)} AS semantic_type,
  round(100.0 * nulls / n, 6) AS null_pct, d AS distinct_count FROM
- (SELECT count(*) AS n, count(DISTINCT {c}) AS d, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM {t}),
- (SELECT bool_and(regexp_matches(v, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS emails,
- bool_and(regexp_matches(lower(v), '^(https?://|www\\.)')) AS urls FROM ({_smallest_sql(t, c)}) WHERE v <> '')"""
+ (SELECT count(*) AS n, count(DISTINCT {c}) AS d, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM {source}),
+ (SELECT bool_and(regexp_matches(v, '{dictionary.EMAIL_VALUE}')) AS emails,
+ bool_and(regexp_matches(v, '{dictionary.URL_VALUE}')) AS urls,
+ bool_and(regexp_matches(v, '{dictionary.MONEY_VALUE}')) AS moneys, bool_and(lower(v) IN ({words})) AS words
+ FROM (SELECT {c}::VARCHAR AS v FROM {source}) WHERE v <> '')"""
         for t, columns in tables.items()
         for c, kind in columns.items()
+        for source in [(sources or {}).get(t, t)]
     )
 
 
+# Columns whose values share a pattern, and twins in which one late value does not.
+CODED = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' ELSE 'no' END AS flag,
+ concat('$', CAST(o_custkey AS STRING), '.50') AS paid, concat('S-', CAST(o_orderkey AS STRING)) AS sku,
+ concat('h', CAST(o_orderkey AS STRING)) AS row_hash, concat('u', CAST(o_custkey AS STRING), '@example.org') AS mail,
+ CASE WHEN o_orderkey = last THEN 'zz' WHEN o_orderkey % 3 = 0 THEN 'Yes' ELSE 'no' END AS late_flag,
+ CASE WHEN o_orderkey = last THEN 'zz' ELSE concat('u', CAST(o_custkey AS STRING), '@example.org') END AS late_mail,
+ CASE WHEN o_orderkey = last THEN '' ELSE concat('https://x.example/', CAST(o_custkey AS STRING)) END AS link
+ FROM orders, (SELECT max(o_orderkey) AS last FROM orders)"""
+CODED_COLUMNS = {
+    "coded": {
+        "o_orderkey": "n", "flag": "s", "paid": "s", "sku": "s", "row_hash": "s", "mail": "s", "late_flag": "s",
+        "late_mail": "s", "link": "s",
+    }
+}
+
+
+@query("semantic_types_by_value", _semantic_sql(CODED_COLUMNS, {"coded": f"({CODED})"}))
+def semantic_types_by_value(read):
+    read("orders").createOrReplaceTempView("orders")
+    coded = dictionary.dictionary(read.spark.sql(CODED), "coded")
+    return rounded(coded.select("table", "column", "semantic_type", "null_pct", "distinct_count"), 6, "null_pct")
+
+
 @query("semantic_types", _semantic_sql(DESCRIBED))
 def semantic_types(read):
     result = None

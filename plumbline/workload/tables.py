@@ -31,9 +31,28 @@ def csv_inferred(read):
     )
 
 
-@query("load_json_roundtrip", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("load_csv_long_texts", "SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
+def csv_long_texts(read):
+    """Texts with newlines, quotes and separators survive a CSV round trip."""
+    documents = read("documents")
+    folder = scratch_path(read.spark, "texts") + ".csv"
+    io.save_csv(documents, folder)
+    loaded = io.load(read.spark, folder, "documents_csv", schema=documents.schema)
+    return loaded.select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
+
+
+@query("load_csv_pages", "SELECT page_id, url, md5(html) AS digest FROM pages")
+def csv_pages(read):
+    pages = read("pages")
+    folder = scratch_path(read.spark, "pages") + ".csv"
+    io.save_csv(pages, folder, compression="gzip")
+    loaded = io.load(read.spark, folder, "pages_csv", schema=pages.schema)
+    return loaded.select("page_id", "url", F.md5("html").alias("digest"))
+
+
+@query("load_json_roundtrip", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def json_roundtrip(read):
-    events = read("events").drop("ts")
+    events = read("events")
     folder = scratch_path(read.spark, "json") + ".jsonl"
     events.write.json(folder)
     return io.load(read.spark, folder, "events_json", schema=events.schema)
@@ -102,13 +121,13 @@ for _kind in ("inner", "left"):
  round(coalesce(sum(o_totalprice), 0), 2) AS total
  FROM customer {_kind} JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment""",
     )
-sql_query(
-    "sql_join_full",
-    "customer supplier",
-    """SELECT coalesce(c_nationkey, s_nationkey) AS nation, c_custkey, s_suppkey
- FROM (SELECT * FROM customer WHERE c_acctbal > 9000) c FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 8000) s
- ON c_nationkey = s_nationkey""",
-)
+for _kind in ("full", "right"):
+    sql_query(
+        f"sql_join_{_kind}",
+        "customer orders",
+        f"""SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) c
+ {_kind} JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON c_custkey = o_custkey""",
+    )
 sql_query(
     "sql_join_semi",
     "customer orders",
@@ -163,6 +182,12 @@ for _kind in ("cube", "rollup"):
         f"""SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus, o_orderpriority) AS INT) AS level,
  count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY {_kind}(o_orderstatus, o_orderpriority)""",
     )
+sql_query(
+    "sql_grouping_sets",
+    "orders",
+    """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
+ GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""",
+)
 sql_query(
     "sql_window_rank",
     "customer orders",
@@ -170,12 +195,34 @@ sql_query(
  row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS place
  FROM orders JOIN customer ON c_custkey = o_custkey) WHERE place <= 3""",
 )
+# Days are the slices of a user's history.  Each of the six rows before a day can
+# only be among the last six of the days before it, so those are carried over.
+SLICED = """WITH cut AS (SELECT user_id, event_id, ts, value, date_trunc('day', ts) AS day FROM events),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) AS back FROM cut),
+ tails AS (SELECT user_id, day, array_sort(collect_list(struct(ts, event_id, value))) AS tail FROM placed
+ WHERE back <= 6 GROUP BY user_id, day),
+ carried AS (SELECT user_id, day, flatten(collect_list(tail) OVER (PARTITION BY user_id ORDER BY day
+ ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) AS before FROM tails),
+ extended AS (SELECT user_id, day, event_id, ts, value, true AS own FROM cut UNION ALL
+ SELECT user_id, day, x.event_id, x.ts, x.value, false FROM carried LATERAL VIEW explode(
+ slice(array_sort(before), greatest(size(before) - 5, 1), 6)) t AS x)"""
 sql_query(
     "sql_window_frame",
     "events",
+    SLICED
+    + """ SELECT event_id, moving FROM (SELECT event_id, own, round(avg(value) OVER (PARTITION BY user_id, day
+ ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS moving FROM extended) WHERE own""",
     """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
  ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS moving FROM events""",
 )
+sql_query(
+    "sql_window_neighbours",
+    "orders",
+    """SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before,
+ lead(o_totalprice, 2, -1.0) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM orders""",
+    """SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before,
+ lead(o_totalprice, 2, -1.0) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM orders""",
+)
 sql_query(
     "sql_set_ops",
     "events",
@@ -184,6 +231,13 @@ sql_query(
  UNION ALL SELECT 'purchase only', user_id FROM (SELECT user_id FROM events WHERE event_type = 'purchase'
  EXCEPT SELECT user_id FROM events WHERE event_type = 'error')""",
 )
+sql_query(
+    "sql_set_ops_all",
+    "orders lineitem",
+    """SELECT 'both' AS kind, k FROM (SELECT l_orderkey AS k FROM lineitem INTERSECT ALL
+ (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))
+ UNION ALL SELECT 'left over', k FROM (SELECT l_orderkey AS k FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders)""",
+)
 sql_query(
     "sql_topk",
     "lineitem",
@@ -209,8 +263,9 @@ sql_query(
     "sql_recursive",
     "orders",
     """WITH RECURSIVE years AS (SELECT min(year(o_orderdate)) AS y, max(year(o_orderdate)) AS last FROM orders
- UNION ALL SELECT y + 1, last FROM years WHERE y < last)
- SELECT y, count(o_orderkey) AS n FROM years LEFT JOIN orders ON year(o_orderdate) = y GROUP BY y""",
+ UNION ALL SELECT y + 1, last FROM years WHERE y < last),
+ counts AS (SELECT year(o_orderdate) AS year, count(o_orderkey) AS n FROM orders GROUP BY year(o_orderdate))
+ SELECT y, coalesce(n, 0) AS n FROM years LEFT JOIN counts ON year = y""",
 )
 sql_query(
     "sql_lateral",
@@ -238,6 +293,21 @@ sql_query(
     """SELECT event_type, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean FROM events
  GROUP BY event_type""",
 )
+sql_query(
+    "sql_scalar_map",
+    "events",
+    """SELECT event_type, element_at(m, 'seen') AS seen, element_at(m, 'none') AS none, cardinality(m) AS size FROM (
+ SELECT event_type, map('seen', count(*), 'users', count(DISTINCT user_id)) AS m FROM events GROUP BY event_type)""",
+    """SELECT event_type, m['seen'] AS seen, m['none'] AS none, cardinality(m) AS size FROM (
+ SELECT event_type, MAP {'seen': count(*), 'users': count(DISTINCT user_id)} AS m FROM events GROUP BY event_type)""",
+)
+sql_query(
+    "sql_scalar_math",
+    "lineitem",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(ln(l_extendedprice) + sqrt(l_quantity) + power(1 + l_discount, 2), 6) AS x,
+ floor(l_extendedprice / 7) AS f, ceil(l_extendedprice / 7) AS c, l_orderkey % 7 AS m, sign(l_discount - 0.05) AS s,
+ abs(l_tax - l_discount) < 0.03 AS near, greatest(l_tax, l_discount) AS top FROM lineitem""",
+)
 sql_query(
     "sql_scalar_array",
     "embeddings",

@@ -77,10 +77,30 @@ def test_small_classes_reach_both_sides(spark):
     df = spark.range(400).select("id", F.when(F.col("id") < 2, "pair").when(F.col("id") < 9, "seven").otherwise("rest").alias("c"))
     train, test = model.split(df, 1, ["id"], "c")
     counts = {r.c: r["count"] for r in test.groupBy("c").count().collect()}
-    assert counts["pair"] == 1 and counts["seven"] == 2
+    assert counts["pair"] == 1 and 1 <= counts["seven"] <= 6
     assert train.count() + test.count() == 400 and train.columns == df.columns
 
 
+def test_each_class_of_two_rows_or_more_reaches_both_sides(spark):
+    """Whatever its size; only copies of one row stay together."""
+    df = spark.range(600).select("id", (F.col("id") % 250).alias("c")).unionAll(spark.createDataFrame([(-1, -1)] * 3, "id long, c long"))
+    sides = model.with_test_flag(df, 1, ["id"], "c").groupBy("c").agg(F.count_if("is_test").alias("t"), F.count("*").alias("n")).collect()
+    assert all(0 < r.t < r.n for r in sides if r.c >= 0)
+    assert [r.t in (0, 3) for r in sides if r.c == -1] == [True]
+
+
+def test_features_may_be_called_like_internal_columns(spark):
+    """A random feature called label, features or row_index teaches nothing."""
+    df = spark.range(800).select(
+        (F.xxhash64("id") % 2 == 0).cast("int").alias("y"), "id", *[(F.xxhash64("id", F.lit(n)) % 5).alias(n) for n in ("label", "features", "row_index")]
+    )
+    names = ["label", "features", "row_index"]
+    clash = model.train(df, "y", names, "tree", max_depth=3, split_keys=["id"])
+    plain = df.withColumnsRenamed({n: f"c_{n}" for n in names})
+    other = model.train(plain, "y", [f"c_{n}" for n in names], "tree", max_depth=3, split_keys=["id"])
+    assert clash["metrics"] == other["metrics"] and clash["metrics"]["accuracy"] < 0.7
+
+
 def test_classifier_learns_and_repeats(flowers):
     runs = [
         model.train(df, "kind", ["a", "b", "word"], "tree", max_depth=6)
@@ -91,7 +111,7 @@ def test_classifier_learns_and_repeats(flowers):
     assert first["metrics"]["accuracy"] > 0.85 > first["baseline"]["accuracy"]
     assert first["n_train"] + first["n_test"] == 1_200 and first["n_features"] == 7
     cells = {(r.actual, r.predicted): r["count"] for r in first["confusion"].collect()}
-    assert set(cells) == {(a, p) for a in ("short", "tall") for p in ("short", "tall")}
+    assert set(cells) <= {(a, p) for a in ("short", "tall") for p in ("short", "tall")}
     assert sum(cells.values()) == first["n_test"]
     assert first["importances"].first().feature in ("a", "b")
     stress = {r.name: r.metric for r in first["stress"].collect()}
@@ -131,9 +151,12 @@ def test_perturbations_change_what_they_should(flowers):
     assert changed > 0.9 and kept == 0
 
 
-def test_too_many_classes(flowers):
-    with pytest.raises(ValueError, match="more than 5 classes"):
-        model.train(flowers.withColumn("t", F.col("id").cast("string")), "t", ["a"], "tree", max_classes=5)
+def test_levels_and_importances_are_not_cut(spark):
+    df = spark.range(900).select("id", (F.col("id") % 300).cast("string").alias("w"), (F.col("id") % 2).alias("y"))
+    encoder = model.fit_encoder(df, ["w"])
+    assert len(encoder.levels["w"]) == 300 and not encoder.has_other
+    fitted = model.train(df, "y", ["w"], "tree", max_depth=2, split_keys=["id"], top_importances=None)
+    assert fitted["importances"].count() == 300
 
 
 # -- log and gate --------------------------------------------------------------
@@ -171,3 +194,14 @@ def test_ship_gate_labels(spark):
     drift = spark.createDataFrame([("drift",), ("warn",)], "overall string")
     row = tracking.ship_gate(contracts((2, 1)), models, ab, drift).first()
     assert tuple(row) == (6, 0, True, "6 issues")
+
+
+def test_best_run_with_missing_scores_and_names(spark):
+    rows = [("a", "1", None, 0.5), ("b", "2", None, None), ("c", "3", None, float("nan")), ("d", "1", "t", None)]
+    runs = spark.createDataFrame(
+        [(i, ts, t, "y", score, 0.1, 0.0) for i, ts, t, score in rows],
+        "id string, ts string, table string, target string, primary_model double, primary_baseline double, worst_stress_delta double",
+    )
+    from plumbline.operators import tracking
+
+    assert {r.id: r.is_best for r in tracking.best_runs(runs).collect()} == {"a": True, "b": False, "c": False, "d": True}

@@ -81,32 +81,26 @@ def test_long_texts_are_counted_by_digest(spark):
 # -- dictionary --------------------------------------------------------------
 
 
-def test_semantic_types_of_sample_tables(spark):
-    tips = spark.createDataFrame(
-        [
-            (1000 + i, 10 + i * 0.37, 1 + i * 0.11, "Male" if i % 2 else "Female", "Yes" if i % 3 else "No", 1 + i % 5)
-            for i in range(160)
-        ],
-        "bill_id int, total_bill double, tip double, sex string, smoker string, size int",
-    )
-    found = {r.column: r.semantic_type for r in dictionary.dictionary(tips, "tips").collect()}
-    assert found == {
-        "bill_id": "id", "total_bill": "currency", "tip": "numeric", "sex": "category", "smoker": "boolean",
-        "size": "category",
-    }
-    customers = spark.createDataFrame(
-        [
-            (f"CUST-{10000 + i}", f"user{i}@example.com", ["Free", "Pro"][i % 2], [0, 29, 99, 499][i % 4], i % 3 == 0)
-            for i in range(200)
-        ],
-        "customer_id string, email string, plan string, monthly_spend int, churned boolean",
-    )
-    found = {r.column: r.semantic_type for r in dictionary.dictionary(customers, "customers").collect()}
+def test_semantic_types_of_given_tables(read):
+    """Columns of the given tables and some derived from them."""
+    derived = read("lineitem").selectExpr(
+        "l_linenumber", "l_tax", "l_extendedprice AS unit_price", "l_returnflag", "l_shipdate",
+        "l_quantity > 25 AS bulky", "if(l_tax > 0.04, 'Y', 'n') AS taxed", "concat('£', l_suppkey) AS owed",
+        "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS hash_of_line",
+    )
+    found = {r.column: r.semantic_type for r in dictionary.dictionary(derived, "lines").collect()}
     assert found == {
-        "customer_id": "id", "email": "email", "plan": "category", "monthly_spend": "category", "churned": "boolean",
+        "l_linenumber": "category", "l_tax": "category", "unit_price": "currency", "l_returnflag": "category",
+        "l_shipdate": "datetime", "bulky": "boolean", "taxed": "boolean", "owed": "currency", "hash_of_line": "id",
     }
 
 
+def test_one_late_value_decides_against_a_pattern(spark):
+    mails = spark.range(992).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("m"))
+    mails = mails.unionAll(spark.createDataFrame([(f"a{i}@b.c",) for i in range(8)], "m string"))
+    assert dictionary.dictionary(mails, "t").first().semantic_type == "text"
+
+
 def test_one_bad_sample_breaks_a_pattern(spark):
     data = [(f"a{i}@b.c", f"https://x/{i}", f"${i},000.50", "yes") for i in range(6)]
     good = spark.createDataFrame(data, "mail string, link string, money string, word string")
@@ -118,7 +112,7 @@ def test_one_bad_sample_breaks_a_pattern(spark):
 
 
 def test_samples_come_from_the_whole_table(spark):
-    """The smallest values sit at the very end, far beyond the first look."""
+    """The smallest values sit at the very end."""
     df = spark.range(30_000).select((100_000 - F.col("id")).cast("string").alias("x"))
     found = [r.value for r in dictionary.samples(df).orderBy("rank").collect()]
     assert found == sorted(str(100_000 - i) for i in range(30_000))[:8]
@@ -151,3 +145,9 @@ def test_chart_encodings(read):
     assert charts.encoding_type(orders, "o_custkey", "ordinal") == "ordinal"
     with pytest.raises(ValueError):
         charts.chart_data(orders, "o_orderstatus", aggregate="sum")
+
+
+def test_all_numeric_columns_are_correlated(spark):
+    df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"n{i}") for i in range(12)])
+    found = profile.correlation(df).collect()
+    assert len(found) == 144 and all(abs(r.r - 1) < 1e-9 for r in found)

@@ -107,3 +107,14 @@ def test_sql_transform_restores_the_view(spark):
     spark.catalog.dropTempView("input")
     stress.sql_transform("SELECT * FROM input")(spark.range(2)).count()
     assert not spark.catalog.tableExists("input")
+
+
+def test_a_column_called_like_the_index(spark):
+    df = spark.createDataFrame([(7, "b"), (5, "a"), (6, None)], "row_index int, t string")
+    found = dense_index(df, ["row_index"])
+    assert found.columns == ["row_index", "t", "_row_index"]
+    assert sorted(map(tuple, found.select("row_index", "_row_index").collect())) == [(5, 0), (6, 1), (7, 2)]
+    from plumbline.operators.stress import apply_attack
+
+    nulls = apply_attack(df, "null_bomb", ["row_index"]).collect()
+    assert sorted(map(tuple, nulls), key=str) == [(5, "a"), (7, "b"), (None, None)]

@@ -98,3 +98,55 @@ def test_group_wise_pandas_step(spark, rows):
 
     run_python(spark, step)
     assert rows(spark.table("centred").groupBy("g").agg(F.round(F.sum("v"), 6).alias("s"))) == [(0, 0.0), (1, 0.0)]
+
+
+def test_compressed_and_mixed_json(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "x.json.gz", "wt") as file:
+        file.write('{"a": 1}\n{"a": 2}\n')
+    assert sorted(r.a for r in io.load(spark, str(tmp_path / "x.json.gz")).collect()) == [1, 2]
+    with gzip.open(tmp_path / "y.tsv.gz", "wt") as file:
+        file.write("a\tb\n1\t2\n")
+    assert io.load(spark, str(tmp_path / "y.tsv.gz")).collect() == [(1, 2)]
+    (tmp_path / "z.ndjson").write_text('{"a": 5}\n')
+    assert io.load(spark, str(tmp_path / "z.ndjson")).first().a == 5
+    folder = tmp_path / "both kinds.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"a": 1},\n {"a": 2}]')
+    (folder / "b.json").write_text('{"a": 3, "b": 9}\n{"a": 4}\n')
+    (folder / "c.json").write_text("{\n \"a\": 5\n}")
+    assert sorted(r.a for r in io.load(spark, str(folder)).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_newlines_and_quotes_survive_csv(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", 1), ('say "x", y\r\nz', 2), (None, 4)], "t string, i int")
+    io.save_csv(df, str(tmp_path / "t.csv"))
+    assert sorted(io.load(spark, str(tmp_path / "t.csv"), schema=df.schema).collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_workspace_reset_seed_and_dictionary(spark):
+    import random
+
+    ws = Workspace(spark, seed=5)
+    ws.reset()
+    assert ws.describe_all() is None
+    ws.publish("one", spark.range(3))
+    ws.publish("two", spark.range(2).selectExpr("id AS k"))
+    notes = ws.describe_all().withColumn("description", F.lit("kept"))
+    assert sorted((r.table, r.column, r.description) for r in ws.describe_all(notes).collect()) == [("one", "id", "kept"), ("two", "k", "kept")]
+    assert ws.run(lambda w: random.random()) == ws.run(lambda w: random.random())
+    ws.reset()
+    assert ws.tables() == []
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from plumbline.plans.durable import scratch_path
+
+    conf = lambda **kw: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: kw.get(key.replace(".", "_"), default)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(conf(spark_master="spark://host:7077"), "x")
+    assert scratch_path(conf(spark_master="yarn", spark_checkpoint_dir="hdfs:///c"), "x").startswith("hdfs:///c/plumbline/")
+    assert scratch_path(conf(spark_master="local[4]"), "x").startswith("file:")
