@@ -216,7 +216,7 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
         return dict(zip(names, columns))
 
     schema = "shard bigint, content binary, ord bigint, start int, n int, rk bigint, mine bigint"
-    return map_texts(docs.select("text", "rk", "ord", "keys"), "text", run, schema)
+    return map_texts(docs, "text", run, schema)
 
 
 def _earlier(distinct: list[tuple[bytes, int, int]], window: int) -> list[int]:
@@ -321,8 +321,10 @@ def _judged(docs: DataFrame, keep: list[str], make, outputs: str, window: int, g
     marked = F.col("key") >= MARK
     needed = _repeated(anchors.where(~marked)).unionByName(anchors.where(marked)) if len(hot.value) else _repeated(anchors)
     needed = needed.groupBy(F.col("rk").alias("of")).agg(F.collect_set("key").alias("keys"))
+    # Both joins read all columns of the same shuffle of documents, so it is written once.
     by_document = keyed.repartition("rk")
-    segments = _cut(by_document.join(needed, F.col("rk") == F.col("of")), window, gram)
+    columns = by_document.columns
+    segments = _cut(by_document.join(needed, F.col("rk") == F.col("of")).select(*columns, "keys"), window, gram)
     late = _resolve(segments, window).withColumnRenamed("rk", "of")
     found = by_document.join(late, F.col("rk") == F.col("of"), "left")
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
@@ -337,8 +339,7 @@ def _judged(docs: DataFrame, keep: list[str], make, outputs: str, window: int, g
         names = [part.split()[0] for part in outputs.split(", ")]
         return {f"k_{c}": batch.column(f"k_{c}") for c in keep} | dict(zip(names, zip(*rows)))
 
-    columns = [f"k_{c}" for c in keep]
-    return map_texts(found.select(*columns, "text", "late"), "text", run, schema).withColumnsRenamed(dict(zip(columns, keep)))
+    return map_texts(found.select(*columns, "late"), "text", run, schema).withColumnsRenamed({f"k_{c}": c for c in keep})
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
