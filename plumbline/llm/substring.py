@@ -121,7 +121,10 @@ def _anchors(docs: DataFrame, window: int, gram: int, hot=None) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose key occurs at least twice, marked if it does so more than ``RUN`` times."""
+    """Rows whose key occurs at least twice, marked if it does so more than ``RUN`` times.
+
+    Rows that are marked already stay, and are dealt by document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_rk, marked = np.empty(0, np.int64), np.empty(0, np.int64), None
@@ -130,7 +133,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[starts, len(key)])
             size = np.repeat(size, size)
-            go = size >= 2
+            go = (size >= 2) | (key >= MARK)
             key = np.where(size > RUN, key | MARK, key)
             return pa.RecordBatch.from_arrays([pa.array(key[go]), pa.array(rk[go])], ["key", "rk"])
 
@@ -158,7 +161,8 @@ def _repeated(rows: DataFrame) -> DataFrame:
         if len(held_key):
             yield out(held_key, held_rk)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, rk bigint")
+    dealt = rows.repartition("key", F.when(F.col("key") >= MARK, F.col("rk")))
+    return dealt.sortWithinPartitions("key").mapInArrow(run, "key bigint, rk bigint")
 
 
 def _hot(docs: DataFrame, window: int, gram: int) -> np.ndarray:
@@ -173,7 +177,8 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Segments of repeated anchors.
 
     ``shard``: what deals them; ``content``: their words, null for a segment whose
-    equal with an earlier place is sent by the same batch; ``mine``: check of the text.
+    equal with an earlier place is sent by the same batch (neighbours of that kind are
+    one row); ``mine``: check of the text.
     """
     hashes = WordHashes()
 
@@ -211,6 +216,7 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         rows[other][1] = None
                         first[shard, content] = len(rows)
                 rows.append(row)
+        rows = _joined(rows)
         names = ("shard", "content", "ord", "start", "n", "rk", "mine")
         columns = list(zip(*rows)) if rows else [[]] * len(names)
         return dict(zip(names, columns))
@@ -219,6 +225,19 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_texts(docs, "text", run, schema)
 
 
+def _joined(rows: list[list]) -> list[list]:
+    """Neighbouring settled segments of a document as one."""
+    out: list[list] = []
+    for row in rows:
+        last = out[-1] if out else None
+        settled = last and row[1] is None and last[1] is None
+        if settled and row[5:] == last[5:] and row[3] == last[3] + last[4]:
+            last[4] += row[4]
+        else:
+            out.append(row)
+    return out
+
+
 def _earlier(distinct: list[tuple[bytes, int, int]], window: int) -> list[int]:
     """For each of different segments (content, ord, start) a bit per window that starts earlier elsewhere."""
     number: dict[bytes, int] = {}
@@ -248,7 +267,10 @@ def _earlier(distinct: list[tuple[bytes, int, int]], window: int) -> list[int]:
 
 
 def _resolve(segments: DataFrame, window: int) -> DataFrame:
-    """``rk, late``: struct of first word, bits of its windows that occur earlier, and text check."""
+    """``rk, late``: struct of first word, bits of its windows that occur earlier, and text check.
+
+    Minus ``n`` instead of bits says that all of ``n`` windows do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct: list[tuple[bytes, int, int]] = []
@@ -260,9 +282,8 @@ def _resolve(segments: DataFrame, window: int) -> DataFrame:
             late = _earlier(distinct, window) if distinct else []
             rows = []
             for which, ord_, start, n, rk, mine in members:
-                every = (1 << n) - 1
                 first = which >= 0 and (ord_, start) == distinct[which][1:]
-                bits = late[which] if first else every
+                bits = late[which] if first else -n
                 if bits:
                     rows.append((rk, start, bits, mine))
             distinct.clear()
@@ -304,7 +325,10 @@ def removed_words(n: int, late: list[dict], window: int = WINDOW) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
     for x in late:
         bits, start = x["bits"], x["start"]
-        while bits:
+        if bits < 0:
+            change[start] += 1
+            change[start - bits - 1 + window] -= 1
+        while bits > 0:
             low = bits & -bits
             at = start + low.bit_length() - 1
             change[at] += 1
@@ -317,9 +341,7 @@ def _judged(docs: DataFrame, keep: list[str], make, outputs: str, window: int, g
     """``keep`` columns and what ``make(words, removed, text)`` gives for each document."""
     keyed = _keyed(docs, keep)
     hot = docs.sparkSession.sparkContext.broadcast(_hot(keyed, window, gram))
-    anchors = _anchors(keyed, window, gram, hot)
-    marked = F.col("key") >= MARK
-    needed = _repeated(anchors.where(~marked)).unionByName(anchors.where(marked)) if len(hot.value) else _repeated(anchors)
+    needed = _repeated(_anchors(keyed, window, gram, hot))
     needed = needed.groupBy(F.col("rk").alias("of")).agg(F.collect_set("key").alias("keys"))
     # Both joins read all columns of the same shuffle of documents, so it is written once.
     by_document = keyed.repartition("rk")
