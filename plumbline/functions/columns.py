@@ -82,9 +82,10 @@ def double_lookup(values: list[float], index: Column) -> Column:
 
 
 def unit_hash(*parts: Column) -> Column:
-    """A uniform number in (0, 1) that depends only on the values given."""
-    spread = F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")
-    return (spread + F.lit(0.5)) / F.lit(float(2**53))
+    """A uniform number in (0, 1) that depends only on the values given, from their MD5."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    spread = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double")
+    return (spread + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def split_bucket(seed: int, *parts: Column) -> Column:

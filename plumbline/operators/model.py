@@ -327,7 +327,7 @@ def perturb(test: DataFrame, slots: int, seed: int, top: int | None) -> dict[str
         # A random order of the rows, indexed densely, pairs every row with
         # another row's value.
         drawn = test.select(
-            unit_hash(F.lit(seed), F.lit("shuffle"), row).alias("draw"),
+            unit_hash(F.lit(seed), F.lit("shuffle"), row, F.lit(0)).alias("draw"),
             row.alias("source"),
             values[top].alias("moved"),
         )

@@ -107,6 +107,12 @@ def save_csv(df: DataFrame, path: str, mode: str = "error", **options) -> None:
     flat.write.mode(mode).options(**(CSV_OPTIONS | keep_spaces | options)).csv(path)
 
 
+def save_json(df: DataFrame, path: str, mode: str = "error", **options) -> None:
+    """Write one JSON object per line, with times to the microsecond."""
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    df.write.mode(mode).options(**(exact | options)).json(path)
+
+
 def run_sql(spark: SparkSession, sql: str, name: str | None = None, persist: bool = False) -> DataFrame:
     """Run Spark SQL; with a name, register the result for later statements.
 

@@ -303,10 +303,68 @@ def train_classify(read):
     return rounded(model.model_table(_event_model(read)), 6, "value")
 
 
-@query("model_stress")
+# With these cells as the only inputs, a forest of full trees and a logistic
+# model with interactions spread over the cells agree with the majority of each.
+@query("model_forest", f"SELECT round(avg((y = g)::INTEGER), 6) AS accuracy, count(*) AS n_test FROM {TREE_PREDICTIONS}")
+def model_forest(read):
+    found = _event_model(read, "forest")
+    return read.spark.createDataFrame([(round(found["metrics"]["accuracy"], 6), found["n_test"])], "accuracy double, n_test bigint")
+
+
+CELL_WORDS = f"""(SELECT event_type || big::VARCHAR AS cell, y, t FROM {CELLS})"""
+CELL_GUESSES = f"""(SELECT y, g FROM {CELL_WORDS} JOIN (SELECT cell, y AS g FROM (SELECT cell, y,
+ row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, y) AS r FROM {CELL_WORDS} WHERE NOT t
+ GROUP BY cell, y) WHERE r = 1) USING (cell) WHERE t)"""
+
+
+@query("model_logistic", f"SELECT round(avg((y = g)::INTEGER), 6) AS accuracy, count(*) AS n_test FROM {CELL_GUESSES}")
+def model_logistic(read):
+    """One slot per cell: the fitted classes of a saturated logistic model are the cells' majorities."""
+    level = F.when(F.col("value") > 50 + F.col("user_id") % 9, "high").when(F.col("value") > 25, "mid").otherwise("low")
+    cell = F.concat("event_type", (F.col("value") > 60).cast("string")).alias("cell")
+    found = model.train(read("events").select("event_id", cell, level.alias("level")), "level", ["cell"], "linear", split_keys=["event_id"])
+    return read.spark.createDataFrame([(round(found["metrics"]["accuracy"], 6), found["n_test"])], "accuracy double, n_test bigint")
+
+
+def _draw(what: str, slot: int) -> str:
+    """The uniform draw of ``perturb`` for a test row and slot."""
+    return f"((('0x' || substr(md5(concat_ws('|', '42', '{what}', i::VARCHAR, '{slot}')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+def _stress_sql() -> str:
+    """Perturbed inputs of the closed-form price model; rows are numbered in the order of their columns."""
+    slots = {"p_size": 0, "p_partkey": 1}
+    score = "1 - sum(e * e) / (var_pop(y) * count(*))"
+    error = "y - (my + b1 * ({p_size} - m1) + b2 * ({p_partkey} - m2)) AS e"
+    noise = {
+        n: f"{n} + sqrt(-2 * ln({_draw('radius', k)})) * cos(2 * pi() * {_draw('angle', k)}) * 0.1 * s{k}" for n, k in slots.items()
+    }
+    zeroed = {n: f"CASE WHEN {_draw('zero', k)} < 0.1 THEN 0 ELSE {n} END" for n, k in slots.items()}
+    ols = _ols_sql("p_size, p_partkey")
+    rows = f"""(SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, p_retailprice AS y,
+ row_number() OVER (ORDER BY p_size, p_partkey, p_retailprice) - 1 AS i, stddev_samp(p_size) OVER () AS s0,
+ stddev_samp(p_partkey) OVER () AS s1 FROM part WHERE {bucket_sql("p_partkey")})"""
+    means = f"""(SELECT avg(p_size) AS m1, avg(p_partkey) AS m2, avg(p_retailprice) AS my FROM part
+ WHERE NOT {bucket_sql("p_partkey")})"""
+    base = f"{rows} r, {means} m, (SELECT b1, b2, r2, abs(b1) >= abs(b2) AS size_first FROM {ols}) o"
+    shuffled = f"""(SELECT r.*, CASE WHEN size_first THEN n.p_size ELSE r.p_size END AS q_size,
+ CASE WHEN size_first THEN r.p_partkey ELSE n.p_partkey END AS q_partkey
+ FROM (SELECT *, row_number() OVER (ORDER BY {_draw('shuffle', 0)}, i) - 1 AS place FROM {rows}) n
+ JOIN {rows} r ON r.i = n.place, (SELECT abs(b1) >= abs(b2) AS size_first FROM {ols}) f)"""
+    moved = {"p_size": "q_size", "p_partkey": "q_partkey"}
+    return f"""WITH out AS (
+ SELECT 'noise' AS kind, y, {error.format(**noise)} FROM {base}
+ UNION ALL SELECT 'zeroed', y, {error.format(**zeroed)} FROM {base}
+ UNION ALL SELECT 'shuffled', y, {error.format(**moved)} FROM {shuffled} r, {means} m, (SELECT b1, b2 FROM {ols}) o)
+ SELECT kind, round({score}, 4) AS metric, round(any_value(r2), 4) AS clean FROM out, (SELECT r2 FROM {ols}) GROUP BY kind"""
+
+
+@query("model_stress", _stress_sql())
 def model_stress(read):
-    """Scores under perturbation: hash-based draws have no SQL counterpart."""
-    return _event_model(read, "linear")["stress"]
+    """Scores under perturbation of a model that SQL can fit; draws are digests of seed, row and slot."""
+    found = _price_model(read, ["p_size", "p_partkey"])["stress"]
+    kind = F.when(F.col("name").contains("noise"), "noise").when(F.col("name").contains("zeroed"), "zeroed").otherwise("shuffled")
+    return rounded(found.select(kind.alias("kind"), "metric", "clean"), 4, "metric", "clean")
 
 
 @query(

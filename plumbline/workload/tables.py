@@ -54,7 +54,7 @@ def csv_pages(read):
 def json_roundtrip(read):
     events = read("events")
     folder = scratch_path(read.spark, "json") + ".jsonl"
-    events.write.json(folder)
+    io.save_json(events, folder)
     return io.load(read.spark, folder, "events_json", schema=events.schema)
 
 
