@@ -15,17 +15,24 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def feature_rows(docs: DataFrame, label: str | None = None) -> DataFrame:
-    """``features`` (array of double) of each text, and its label."""
+def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of chosen documents (``_id, _label``), a bounded number of rows.
+
+    Of several rows with one id the smallest features count, so the order of rows does not.
+    """
     hashes = WordHashes()
-    kept = F.col(label) if label else F.lit(None)
 
     def run(batch) -> dict:
         found = [counts(t, hashes)[1] for t in batch.column("_text").to_pylist()]
-        return {"label": batch.column("label"), "features": found}
+        return {"id": batch.column("id"), "label": batch.column("label"), "features": found}
 
-    given = docs.select(kept.cast("int").alias("label"), F.col("text").alias("_text"))
-    return map_texts(given, "_text", run, "label int, features array<double>")
+    rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.select(F.col("_id").cast("string").alias("id"), F.col("_label").cast("int").alias("label"), "_text")
+    rows = map_texts(rows, "_text", run, "id string, label int, features array<double>")
+    rows = rows.groupBy("id", "label").agg(F.min("features").alias("features"))
+    found = sorted((tuple(r["features"]), r["label"]) for r in rows.collect())
+    x = np.array([f for f, _ in found], np.float64).reshape(len(found), len(FEATURES))
+    return x, np.array([y for _, y in found], np.int64)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, allowed: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -38,20 +45,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, allowed
         rows = rows.where(allowed)
     rows = rows.groupBy("doc_id").agg(F.max(label).alias("_label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), "_label")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id"))
-    return _arrays(feature_rows(chosen.select("text", "_label"), "_label").limit(2 * limit))
+    return _features(docs, rows)
 
 
 def unlabelled(docs: DataFrame, limit: int, allowed: Column) -> np.ndarray:
     """Features of at most ``limit`` documents, those with the smallest hash of their id."""
     ids = docs.where(allowed).select(F.col("doc_id").alias("_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    return _arrays(feature_rows(chosen).limit(2 * limit))[0]
-
-
-def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most a bounded number of rows, in an order that does not depend on partitions."""
-    found = sorted((tuple(r["features"]), r["label"]) for r in rows.select("features", F.coalesce("label", F.lit(-1)).alias("label")).collect())
-    x = np.array([f for f, _ in found], np.float64).reshape(len(found), len(FEATURES))
-    return x, np.array([y for _, y in found], np.int64)
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(limit).withColumn("_label", F.lit(0))
+    return _features(docs, ids)[0]
