@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, as_text, col
 from plumbline.functions.significance import chi_square_p, normal_two_sided, student_t_p
-from plumbline.plans.durable import materialise
 
 # Normal quantile of the 95 % interval, and the level below
 # which unequal group sizes count as a broken assignment.
@@ -32,7 +31,8 @@ def ab_variants(df: DataFrame, variant: str, metric: str, control: str | None =
         F.avg(value).alias("mean"),
         F.sqrt(F.greatest(F.coalesce(F.var_samp(value), F.lit(0.0)), F.lit(0.0))).alias("std"),
     )
-    summary = materialise(summary, "ab-variants")
+    # One row per variant: few enough to come to the driver and back instead of being computed thrice.
+    summary = df.sparkSession.createDataFrame(summary.collect(), summary.schema)
     named = F.max(F.when(F.col("variant") == F.lit(control), F.col("variant")))
     chosen = summary.agg(F.coalesce(named, F.min("variant"))).scalar()
     total = summary.agg(F.sum("n")).scalar()

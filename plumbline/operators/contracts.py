@@ -2,8 +2,9 @@
 
 Row-local rules of a contract share one aggregate over the table.  Each
 ``unique`` rule needs its own grouping; those run together as a second job.
-If a shared job fails, the rules are evaluated one at a time so that only the
-faulty ones report an error.
+What cannot work is found beforehand from types, and text that is no number is
+counted in the same pass.  Should a shared job fail all the same, the rules are
+evaluated one at a time so that only the faulty ones report an error.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import as_text, col, groupable
 from plumbline.plans.aggregates import one_row, union_all
@@ -58,12 +60,12 @@ def describe(rule: Rule) -> str:
         return str(int(value)) if float(value).is_integer() else str(value)
 
     texts = {
-        "not_null": f"{rule.column} is never null",
-        "unique": f"{rule.column} is unique",
-        "range": f"{rule.column} ∈ [{bound(rule.min, '−∞')}, {bound(rule.max, '∞')}]",
-        "allowed_values": f"{rule.column} ∈ {{{', '.join(rule.values)}}}",
-        "regex": f"{rule.column} matches /{rule.pattern}/",
-        "row_count": f"row count ∈ [{bound(rule.min, '0')}, {bound(rule.max, '∞')}]",
+        "not_null": f"every row has {rule.column}",
+        "unique": f"no two rows share {rule.column}",
+        "range": f"{rule.column} from {bound(rule.min, 'any')} to {bound(rule.max, 'any')}",
+        "allowed_values": f"{rule.column} is one of: {', '.join(rule.values)}",
+        "regex": f"{rule.column} fits the pattern {rule.pattern}",
+        "row_count": f"rows from {bound(rule.min, '0')} to {bound(rule.max, 'any')}",
     }
     return texts.get(rule.type, rule.type)
 
@@ -98,6 +100,8 @@ def violation(df: DataFrame, rule: Rule) -> Column:
     if rule.type == "not_null":
         return value.isNull()
     if rule.type == "range":
+        # Text is compared as numbers; values that are none are counted apart.
+        value = value.try_cast("double") if _reads_text(df, rule) else value
         outside = F.lit(False)
         if rule.min is not None:
             outside = outside | (value < F.lit(rule.min))
@@ -109,6 +113,12 @@ def violation(df: DataFrame, rule: Rule) -> Column:
     return value.isNotNull() & ~as_text(df, rule.column).rlike(rule.pattern)
 
 
+def _reads_text(df: DataFrame, rule: Rule) -> bool:
+    """Does a range rule with numbers look at a text column?"""
+    numbers = [b for b in (rule.min, rule.max) if isinstance(b, (int, float))]
+    return rule.type == "range" and bool(numbers) and isinstance(df.schema[rule.column].dataType, T.StringType)
+
+
 def duplicated_rows(df: DataFrame, rule: Rule) -> DataFrame:
     """One row: how many rows share their non-null key with another row."""
     key = groupable(df, _checked(df, rule).column).alias("key")
@@ -120,6 +130,8 @@ def measure(df: DataFrame, rules: list[Rule], extra: Mapping[object, Column] | N
     """Count violations; ``extra`` aggregates ride along in the same pass."""
     total = ("total",)
     local = {("rule", i): F.count_if(violation(df, r)) for i, r in enumerate(rules) if _is_local(r)}
+    texts = {i: col(r.column) for i, r in enumerate(rules) if _is_local(r) and _reads_text(df, r)}
+    local |= {("unread", i): F.count_if(v.isNotNull() & v.try_cast("double").isNull()) for i, v in texts.items()}
     seen = one_row(df, {total: F.count(F.lit(1))} | local | dict(extra or {}))
     failing = {i: seen["rule", i] for i, r in enumerate(rules) if _is_local(r)}
     unique = [(i, r) for i, r in enumerate(rules) if r.type == "unique"]
@@ -127,6 +139,9 @@ def measure(df: DataFrame, rules: list[Rule], extra: Mapping[object, Column] | N
         counts = [duplicated_rows(df, r).select(F.lit(i).alias("i"), "failing") for i, r in unique]
         failing |= {row.i: row.failing for row in union_all(counts).collect()}
     details: list[str | None] = [None] * len(rules)
+    for i in texts:
+        if seen["unread", i]:
+            failing[i], details[i] = -1, f"{seen['unread', i]} values of {rules[i].column} are not numbers"
     for i, rule in enumerate(rules):
         if rule.type == "row_count":
             low = rule.min is not None and seen[total] < rule.min

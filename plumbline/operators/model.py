@@ -108,7 +108,7 @@ def _numeric_form(df: DataFrame, name: str) -> Column | None:
 def leakage(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """(feature, reason) for features that give the target away or say nothing."""
     requested = features or [c for c in df.columns if c != target]
-    reasons = [(f, "same as target") for f in requested if f != target and f.lower() == target.lower()]
+    reasons = [(f, "is the target itself") for f in requested if f != target and f.lower() == target.lower()]
     rows = df.where(col(target).isNotNull())
     names = [f for f in requested if f in df.columns and f.lower() != target.lower()]
     numeric = [f for f in names if kind_of(df.schema[f].dataType) == NUMERIC]
@@ -128,11 +128,11 @@ def leakage(df: DataFrame, target: str, features: list[str] | None = None) -> Da
     )
     for f in names:
         if distinct[f] <= 1:
-            reasons.append((f, "constant (no signal)"))
+            reasons.append((f, "has one value only"))
         if abs(r.get(f, 0.0)) > LEAKY_CORRELATION:
-            reasons.append((f, f"corr {r[f]:.3f} with target"))
+            reasons.append((f, f"correlation {r[f]:.3f} with the target"))
         if seen["n"] > 20 and distinct[f] >= ID_LIKE_SHARE * seen["n"]:
-            reasons.append((f, "near-unique (id-like)"))
+            reasons.append((f, "tells nearly every row apart"))
     return df.sparkSession.createDataFrame(reasons, "feature string, reason string")
 
 
@@ -396,9 +396,9 @@ def train(
     top = encoder.slots.index(ranked[0][0]) if ranked else None
     clean = metrics[primary_name.lower()]
     titles = {
-        "noise": "+10% gaussian noise",
-        "zeroed": "10% values zeroed",
-        "shuffled": f'shuffle "{ranked[0][0]}"' if ranked else "",
+        "noise": "noise of a tenth of the deviation",
+        "zeroed": "a tenth of the values zeroed",
+        "shuffled": f'{ranked[0][0]} permuted' if ranked else "",
     }
     stress = [
         (titles[key], _primary(model.transform(copy), task), clean)

@@ -44,17 +44,17 @@ class Attack:
 ATTACKS = {
     a.key: a
     for a in [
-        Attack("baseline", "Baseline", "the real input, unchanged"),
-        Attack("empty", "Empty input", "zero rows", changes_cardinality=True),
-        Attack("single_row", "Single row", "exactly one row", changes_cardinality=True),
-        Attack("duplicates", "Duplicate rows", "every row twice", changes_cardinality=True),
-        Attack("volume_x25", "Volume ×25", "every row 25 times", changes_cardinality=True),
-        Attack("null_bomb", "Null bomb", "every second row entirely null", uses_index=True),
-        Attack("numeric_extremes", "Numeric extremes", "huge, negative and zero numbers", uses_index=True),
-        Attack("blank_strings", "Blank strings", "every second text empty", uses_index=True),
-        Attack("whitespace", "Whitespace padding", "spaces around every text"),
-        Attack("mixed_case", "Mixed case", "texts alternately upper and lower case", uses_index=True),
-        Attack("unicode", "Unicode & emoji", "non-ASCII suffix on every text"),
+        Attack("baseline", "unchanged", "the real input, unchanged"),
+        Attack("empty", "no rows", "zero rows", changes_cardinality=True),
+        Attack("single_row", "first row only", "exactly one row", changes_cardinality=True),
+        Attack("duplicates", "all rows twice", "every row twice", changes_cardinality=True),
+        Attack("volume_x25", "25-fold input", "every row 25 times", changes_cardinality=True),
+        Attack("null_bomb", "half the rows null", "every second row entirely null", uses_index=True),
+        Attack("numeric_extremes", "extreme numbers", "huge, negative and zero numbers", uses_index=True),
+        Attack("blank_strings", "half the texts empty", "every second text empty", uses_index=True),
+        Attack("whitespace", "padded texts", "spaces around every text"),
+        Attack("mixed_case", "changed letter case", "texts alternately upper and lower case", uses_index=True),
+        Attack("unicode", "non-ASCII texts", "non-ASCII suffix on every text"),
     ]
 }
 

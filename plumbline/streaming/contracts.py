@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.operators.contracts import RESULT_SCHEMA, Rule, evaluate
+from plumbline.functions.columns import as_text
+from plumbline.operators.contracts import RESULT_SCHEMA, Rule, evaluate, static_error
 
 STREAM_SCHEMA = RESULT_SCHEMA + ", batch_id bigint"
+KEY_SCHEMA = "key string, n bigint, batch bigint"
 
 
 def contract_stream(
@@ -16,18 +18,38 @@ def contract_stream(
 ) -> StreamingQuery:
     """Append one result row per rule and batch to the parquet folder ``results``.
 
-    Uniqueness is judged within a batch.  Each batch owns one sub-folder and
-    overwrites it, so a batch that is replayed after a failure is not counted
-    twice.
+    A row breaks a uniqueness rule if another row with its key came in this or
+    any earlier batch; key counts are kept in ``<results>-keys``.  Each batch
+    owns one sub-folder there and in ``results`` and overwrites it, so a batch
+    that is replayed after a failure is not counted twice.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        checked = evaluate(batch, table, rules).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows = {r["rule_id"]: r.asDict() for r in evaluate(batch, table, rules).collect()}
+        for rule in rules:
+            if rule.type == "unique" and static_error(batch, rule) is None:
+                failing = repeated_rows(batch, rule, f"{results.rstrip('/')}-keys/{rule.id}", batch_id)
+                rows[rule.id] |= {"failing_rows": failing, "passed": failing == 0}
+        checked = batch.sparkSession.createDataFrame([tuple(r.values()) for r in rows.values()], RESULT_SCHEMA)
+        checked = checked.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         checked.coalesce(1).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def repeated_rows(batch: DataFrame, rule: Rule, keys: str, batch_id: int) -> int:
+    """Rows of a batch whose non-null key has been seen more than once by now."""
+    spark = batch.sparkSession
+    key = F.sha2(as_text(batch, rule.column), 256).alias("key")
+    counts = batch.select(key).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts.write.mode("overwrite").parquet(f"{keys}/batch={batch_id}")
+    seen = spark.read.schema(KEY_SCHEMA).parquet(keys).where(F.col("batch") <= batch_id)
+    totals = seen.groupBy("key").agg(
+        F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("batch") == batch_id, F.col("n"))), F.lit(0)).alias("own")
+    )
+    return totals.where("all > 1").agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+
+
 def read_results(spark, results: str) -> DataFrame:
     return spark.read.schema(STREAM_SCHEMA).parquet(results).drop("batch")

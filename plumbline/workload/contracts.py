@@ -63,6 +63,25 @@ def contract_evaluate(read):
     return evaluate(read("customer"), "customer", rules_of(CUSTOMER_RULES)).select(*RESULT)
 
 
+LINE_RULES = [
+    (Rule("order", "not_null", "l_orderkey"), "count(*) FILTER (WHERE l_orderkey IS NULL)"),
+    (
+        Rule("order_once", "unique", "l_orderkey"),
+        "(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1))",
+    ),
+    (Rule("discount", "range", "l_discount", min=0.01, max=0.09), "count(*) FILTER (WHERE l_discount < 0.01 OR l_discount > 0.09)"),
+    (Rule("flag", "allowed_values", "l_returnflag", values=("A", "N")), "count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N'))"),
+    (Rule("status", "regex", "l_linestatus", pattern="^[OF]$"), "count(*) FILTER (WHERE NOT regexp_matches(l_linestatus, '^[OF]$'))"),
+    (Rule("size", "row_count", min=1), "CASE WHEN count(*) >= 1 THEN 0 ELSE 1 END"),
+    (Rule("text", "range", "l_returnflag", max=5), "-1"),
+]
+
+
+@query("contract_lineitem", contract_sql("lineitem", LINE_RULES))
+def contract_lineitem(read):
+    return evaluate(read("lineitem"), "lineitem", rules_of(LINE_RULES)).select(*RESULT)
+
+
 def single(name: str, table: str, rule: Rule, count: str, source: str | None = None, load=None) -> None:
     @query(name, contract_sql(table, [(rule, count)], source))
     def run(read):

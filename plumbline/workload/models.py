@@ -69,18 +69,18 @@ LEAK_NUMBERS = ["p_partkey", "p_size", "copy", "size_gap", "opposite"]
 @query(
     "model_leakage",
     sql_union(
-        ["SELECT 'P_RETAILPRICE' AS feature, 'same as target' AS reason"]
+        ["SELECT 'P_RETAILPRICE' AS feature, 'is the target itself' AS reason"]
         + [
-            f"SELECT '{c}' AS feature, 'constant (no signal)' AS reason FROM {LEAKY_PARTS} HAVING count(DISTINCT {c}) <= 1"
+            f"SELECT '{c}' AS feature, 'has one value only' AS reason FROM {LEAKY_PARTS} HAVING count(DISTINCT {c}) <= 1"
             for c in [*LEAK_NUMBERS, "p_name", "same"]
         ]
         + [
-            f"SELECT '{c}', 'near-unique (id-like)' FROM {LEAKY_PARTS}"
+            f"SELECT '{c}', 'tells nearly every row apart' FROM {LEAKY_PARTS}"
             f" HAVING count(*) > 20 AND count(DISTINCT {c}) >= 0.95 * count(*)"
             for c in [*LEAK_NUMBERS, "p_name", "same"]
         ]
         + [
-            f"SELECT '{c}', printf('corr %.3f with target', r) FROM (SELECT corr(coalesce({c}::DOUBLE, m), p_retailprice)"
+            f"SELECT '{c}', printf('correlation %.3f with the target', r) FROM (SELECT corr(coalesce({c}::DOUBLE, m), p_retailprice)"
             f" AS r FROM {LEAKY_PARTS}, (SELECT median({c}::DOUBLE) AS m FROM {LEAKY_PARTS})) WHERE abs(r) > 0.98"
             for c in LEAK_NUMBERS
         ]
@@ -125,17 +125,19 @@ def split(read):
     return model.with_test_flag(read("events").select("event_id"), 42)
 
 
-RARE = "(SELECT event_id, CASE WHEN event_id < 12 THEN 'rare' ELSE event_type END AS kind FROM events)"
+RARE = """(SELECT event_id, CASE WHEN event_id < 300 THEN 'rare' || (event_id // 3)::VARCHAR ELSE event_type END AS kind
+ FROM events)"""
 
 
 @query(
     "model_split_stratified",
-    f"""SELECT event_id, kind, CASE WHEN kind = 'rare' THEN
- row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || event_id::VARCHAR)) <= 3 ELSE {bucket_sql('event_id')} END
- AS is_test FROM {RARE}""",
+    f"""WITH rows AS (SELECT event_id, kind, {bucket_sql('event_id')} AS t, md5('42|' || event_id::VARCHAR) AS m FROM {RARE}),
+ sides AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE t) AS tests, min(m) AS lowest FROM rows GROUP BY kind)
+ SELECT event_id, kind, t <> (n > 1 AND (tests = 0 OR tests = n) AND m = lowest) AS is_test FROM rows JOIN sides USING (kind)""",
 )
 def split_stratified(read):
-    kind = F.when(F.col("event_id") < 12, "rare").otherwise(F.col("event_type"))
+    few = F.concat(F.lit("rare"), F.floor(F.col("event_id") / 3).cast("string"))
+    kind = F.when(F.col("event_id") < 300, few).otherwise(F.col("event_type"))
     return model.with_test_flag(read("events").select("event_id", kind.alias("kind")), 42, ["event_id"], "kind")
 
 

@@ -291,3 +291,39 @@ def chart_totals(read):
 @query("chart_data_points", "SELECT p_size AS x, p_brand AS color, p_retailprice AS y FROM part")
 def chart_points(read):
     return charts.chart_data(read("part"), "p_size", "p_retailprice", "p_brand")
+
+
+# -- the wide, the long and the nested ------------------------------------------
+
+LINE_OTHERS = ["l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("profile_lineitem", _whole_profile_sql("lineitem", LINE_NUMBERS, LINE_OTHERS))
+def profile_lineitem(read):
+    return rounded(profile.profile_long(profile.profile_table(read("lineitem"))), 4, "value")
+
+
+WIDE = "(SELECT *, l_extendedprice * (1 - l_discount) AS net, l_quantity * l_tax AS duty FROM lineitem)"
+
+
+@query("profile_correlation_wide", _correlation_sql(WIDE, [*LINE_NUMBERS, "net", "duty"]))
+def correlation_wide(read):
+    """More numeric columns than a screen shows."""
+    wide = read("lineitem").selectExpr("*", "l_extendedprice * (1 - l_discount) AS net", "l_quantity * l_tax AS duty")
+    return rounded(profile.correlation(wide), 6, "r")
+
+
+LONG_TEXTS = {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "benchmark": ["item_id", "text"], "embeddings": ["vec_id", "embedding", "label"]}
+
+
+@query(
+    "profile_long_and_nested",
+    sql_union(f"SELECT '{t}' AS \"table\", * FROM ({_nulls_distinct_sql(t, columns)})" for t, columns in LONG_TEXTS.items()),
+)
+def long_and_nested(read):
+    """Whole texts and vectors, counted by digest."""
+    parts = [profile.nulls_and_distinct(read(t)).select(F.lit(t).alias("table"), "*") for t in LONG_TEXTS]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionAll(part)
+    return rounded(result, 6, "null_pct")

@@ -65,19 +65,7 @@ for _key in MUTATED:
     if _key not in ("baseline", "empty"):
         attack_query(_key)
 
-LABELS = {
-    "baseline": "Baseline",
-    "empty": "Empty input",
-    "single_row": "Single row",
-    "duplicates": "Duplicate rows",
-    "volume_x25": "Volume ×25",
-    "null_bomb": "Null bomb",
-    "numeric_extremes": "Numeric extremes",
-    "blank_strings": "Blank strings",
-    "whitespace": "Whitespace padding",
-    "mixed_case": "Mixed case",
-    "unicode": "Unicode & emoji",
-}
+LABELS = {key: attack.label for key, attack in stress.ATTACKS.items()}
 SHOWN = ["attack", "label", "status", "input_rows", "output_rows", "schema_changed", "contract_failures"]
 
 SEGMENT_SUMMARY = "SELECT c_mktsegment AS segment, count(*) AS n, avg(c_acctbal) AS mean FROM input GROUP BY 1"
@@ -131,3 +119,40 @@ def fragile_report_sql() -> str:
 @query("stress_report_errors", fragile_report_sql())
 def errors(read):
     return stress.stress_test(fragile, read("customer")).select(*SHOWN)
+
+
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+EVENTS_INDEXED = f"(SELECT *, row_number() OVER (ORDER BY {', '.join(EVENT_COLUMNS)}) - 1 AS i FROM events)"
+EVENT_TYPES = {
+    "baseline": "SELECT event_type FROM events",
+    "empty": "SELECT event_type FROM events WHERE false",
+    "single_row": f"SELECT event_type FROM events ORDER BY {', '.join(EVENT_COLUMNS)} LIMIT 1",
+    "duplicates": "SELECT event_type FROM events UNION ALL SELECT event_type FROM events",
+    "volume_x25": "SELECT event_type FROM events, range(25)",
+    "null_bomb": f"SELECT CASE WHEN i % 2 = 0 THEN event_type END AS event_type FROM {EVENTS_INDEXED}",
+    "numeric_extremes": "SELECT event_type FROM events",
+    "blank_strings": f"SELECT CASE WHEN i % 2 = 0 THEN '' ELSE event_type END AS event_type FROM {EVENTS_INDEXED}",
+    "whitespace": "SELECT '  ' || event_type || '  ' AS event_type FROM events",
+    "mixed_case": f"SELECT CASE WHEN i % 2 = 0 THEN upper(event_type) ELSE lower(event_type) END AS event_type FROM {EVENTS_INDEXED}",
+    "unicode": "SELECT event_type || ' 🦈—café—💥' AS event_type FROM events",
+}
+TYPE_RULES = [Rule("named", "not_null", "event_type"), Rule("plain", "regex", "event_type", pattern="^[a-z]+$"), Rule("seen", "row_count", min=1)]
+
+
+def events_report_sql() -> str:
+    return sql_union(
+        f"""SELECT '{key}' AS attack, '{LABELS[key]}' AS label, CASE WHEN f > 0 THEN 'warning' ELSE 'ok' END AS status,
+ (SELECT count(*) FROM ({sql})) AS input_rows, output_rows, false AS schema_changed, f AS contract_failures FROM (
+ SELECT count(*) AS output_rows, ((count(*) FILTER (WHERE event_type IS NULL) > 0)::INTEGER
+ + (count(*) FILTER (WHERE NOT regexp_matches(event_type, '^[a-z]+$')) > 0)::INTEGER
+ + (count(*) = 0)::INTEGER)::INTEGER AS f FROM (SELECT event_type, count(*) AS n FROM ({sql}) GROUP BY event_type))"""
+        for key, sql in EVENT_TYPES.items()
+    )
+
+
+@query("stress_events", events_report_sql())
+def events_report(read):
+    """All attacks on the events, through a summary by type."""
+    return stress.stress_test(
+        "SELECT event_type, count(*) AS n, avg(value) AS mean FROM input GROUP BY event_type", read("events"), TYPE_RULES
+    ).select(*SHOWN)

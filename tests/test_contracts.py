@@ -83,11 +83,11 @@ def test_missing_tables_are_skipped(spark):
 
 
 def test_descriptions():
-    assert describe(Rule("a", "range", "x", min=0)) == "x ∈ [0, ∞]"
-    assert describe(Rule("a", "range", "x", max=1.5)) == "x ∈ [−∞, 1.5]"
-    assert describe(Rule("a", "row_count", max=9)) == "row count ∈ [0, 9]"
-    assert describe(Rule("a", "allowed_values", "x", values=("a", "b"))) == "x ∈ {a, b}"
-    assert describe(Rule("a", "regex", "x", pattern="^a")) == "x matches /^a/"
+    assert describe(Rule("a", "range", "x", min=0)) == "x from 0 to any"
+    assert describe(Rule("a", "range", "x", max=1.5)) == "x from any to 1.5"
+    assert describe(Rule("a", "row_count", max=9)) == "rows from 0 to 9"
+    assert describe(Rule("a", "allowed_values", "x", values=("a", "b"))) == "x is one of: a, b"
+    assert describe(Rule("a", "regex", "x", pattern="^a")) == "x fits the pattern ^a"
 
 
 @pytest.mark.parametrize("parts", [1, 4, 17])
@@ -109,6 +109,30 @@ def test_stream_checks_each_batch_and_can_be_replayed(spark):
     spark.createDataFrame([(1,), (1,), (None,)], "k int").coalesce(1).write.parquet(source)
     assert run() == {(0, "u"): 2, (0, "n"): 1}
     spark.createDataFrame([(1,)], "k int").write.mode("append").parquet(source)
-    expected = {(0, "u"): 2, (0, "n"): 1, (1, "u"): 0, (1, "n"): 0}
+    expected = {(0, "u"): 2, (0, "n"): 1, (1, "u"): 1, (1, "n"): 0}
     assert run() == expected and run() == expected
     assert read_results(spark, results).where(F.col("batch_id").isNull()).count() == 0
+
+
+def test_keys_that_recur_in_a_later_batch(spark, tmp_path):
+    from plumbline.operators.contracts import Rule
+    from plumbline.streaming.contracts import contract_stream, read_results
+
+    source, results = tmp_path / "in", str(tmp_path / "out")
+    rules = [Rule("key", "unique", "k"), Rule("there", "not_null", "k")]
+    for keys in ([1, 2, None], [2, 3, 3], [4, None]):
+        spark.createDataFrame([(k,) for k in keys], "k int").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("k int").parquet(str(source))
+        contract_stream(stream, "t", rules, results, str(tmp_path / "check"), once=True).awaitTermination()
+    found = {(r.batch_id, r.rule_id): r.failing_rows for r in read_results(spark, results).collect()}
+    assert found == {(0, "key"): 0, (1, "key"): 3, (2, "key"): 0, (0, "there"): 1, (1, "there"): 0, (2, "there"): 1}
+
+
+def test_text_that_is_no_number_is_counted_in_the_same_pass(spark):
+    from plumbline.operators.contracts import Rule, evaluate
+
+    df = spark.createDataFrame([("1",), ("x",), ("9",), (None,)], "t string")
+    bad = evaluate(df, "t", [Rule("r", "range", "t", max=5)]).first()
+    assert (bad.failing_rows, bad.detail) == (-1, "1 values of t are not numbers")
+    good = evaluate(df.where("t <> 'x'"), "t", [Rule("r", "range", "t", max=5)]).first()
+    assert good.failing_rows == 1

@@ -35,9 +35,9 @@ def test_prepare_errors(spark, flowers):
 def test_leakage_reasons(flowers):
     df = flowers.withColumns({"near": F.col("score") * 2 + F.col("id") % 3, "still": F.lit(1)})
     found = {(r.feature, r.reason) for r in model.leakage(df, "score", ["id", "near", "still", "word", "SCORE"]).collect()}
-    assert ("SCORE", "same as target") in found and ("still", "constant (no signal)") in found
-    assert ("id", "near-unique (id-like)") in found
-    assert any(f == "near" and r.startswith("corr 1.000") for f, r in found)
+    assert ("SCORE", "is the target itself") in found and ("still", "has one value only") in found
+    assert ("id", "tells nearly every row apart") in found
+    assert any(f == "near" and r.startswith("correlation 1.000") for f, r in found)
     assert not [f for f, _ in found if f == "word"]
 
 
