@@ -168,8 +168,10 @@ def build(rows: DataFrame, dim: int, cells: list, largest: float) -> DataFrame:
 
     placed = materialise(rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<bigint>, cell int, far double"), "mtree-cells")
     cell_sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("pages"), F.max("far").alias("radius"))
-    paged = placed.join(F.broadcast(cell_sizes), "cell").withColumn("page", F.pmod(F.xxhash64("vec_id", "v"), F.col("pages")).cast("int"))
-    # Rows that agree in id and vector share a page; a page is a bounded share of a cell otherwise.
+    # A row's place in the stored table spreads even rows that are equal in all columns over the
+    # pages of their cell; which page a row is in never shows in a result.
+    spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("pages")).cast("int")
+    paged = placed.join(F.broadcast(cell_sizes), "cell").withColumn("page", spread)
 
     def make(table: pa.Table) -> pa.Table:
         tree = build_page(np.asarray(table.column("vec_id")), _matrix(table.column("v"), dim), largest)
