@@ -3,9 +3,9 @@
 The tokens that the mix takes are cut into equal blocks.  Blocks go to sources,
 and within a source to its shards, by the highest quotients ``votes / (2j + 1)``.
 A shard lays its documents on a circle in seeded order and hands out its quota of
-blocks from a seeded origin: whole turns first, then one arc.  So a shard gives
-exactly ``quota * block`` tokens, and no token is taken more than ``max_repeats``
-times.
+blocks from a seeded origin: whole turns first, then one arc.  No token is taken
+more than ``max_repeats`` times; what a shard cannot give for that goes to the other
+shards of its source, and a source with shards smaller than a block counts in tokens.
 
 All steps are DataFrame expressions.  Only two numbers reach the driver (tokens
 and rows in all); windows over all rows exist only over the table of sources.
@@ -98,6 +98,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     )
 
 
+def deal(lines: DataFrame, block: int, max_repeats: int) -> DataFrame:
+    """``_source, _shard, _line, source_size, target, _blocks`` with ``_give``: the tokens that each shard hands out.
+
+    A source with a shard smaller than a block is apportioned token by token.  What a
+    quota has above ``max_repeats`` times its shard goes to the source's other shards
+    in proportion to their room, so a source gives all that it is due.
+    """
+    source = Window.partitionBy("_source")
+    fine = F.min(F.when(F.col("_line") > 0, F.col("_line"))).over(source) < block
+    lines = lines.withColumn("_unit", F.when(fine, F.lit(1)).otherwise(F.lit(block)).cast("long"))
+    due = F.when(F.col("_unit") < block, F.round("target")).otherwise(F.col("_blocks") * block).cast("long")
+    lines = lines.withColumn("_due", F.least(due, max_repeats * F.col("source_size")))
+    seats = F.when(F.col("_unit") < block, F.col("_due")).otherwise(F.col("_blocks"))
+    lines = apportion(lines, ["_source"], ["_shard"], "_line", seats)
+    most = max_repeats * F.col("_line")
+    lines = lines.withColumn("_give", F.least(F.col("quota") * F.col("_unit"), most).cast("long"))
+    lines = lines.withColumn("_room", most - F.col("_give"))
+    upto = source.orderBy("_shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumns(
+        {
+            "_short": (F.col("_due") - F.sum("_give").over(source)).cast("decimal(19,0)"),
+            "_rooms": F.sum("_room").over(source),
+            "_upto": F.sum("_room").over(upto),
+        }
+    )
+    more = F.expr("_short * _upto div _rooms - _short * (_upto - _room) div _rooms")
+    return lines.withColumn("_give", F.col("_give") + F.when((F.col("_short") > 0) & (F.col("_rooms") > 0), more).otherwise(0))
+
+
 def plan_mix(
     docs: DataFrame,
     keep: list[str],
@@ -131,15 +160,14 @@ def plan_mix(
     per_source = apportion(per_source, [], ["_source"], "target", seats).withColumnRenamed("quota", "_blocks")
     per_source = per_source.withColumnRenamed("_source", "_of")
     lines = lines.join(per_source, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-    lines = apportion(lines, ["_source"], ["_shard"], "_line", F.col("_blocks"))
-    give = F.least(F.col("quota") * block, max_repeats * F.col("_line"))
+    lines = deal(lines, block, max_repeats)
     lines = lines.select(
         F.col("_source").alias("_of"),
         F.col("_shard").alias("_in"),
         "source_size",
         "target",
         "_line",
-        give.cast("long").alias("_give"),
+        "_give",
         F.when(F.col("_line") > 0, F.pmod(seeded(seed, F.col("_source"), F.col("_shard")), F.col("_line"))).otherwise(0).alias("_origin"),
     )
 

@@ -92,6 +92,35 @@ def test_targets_and_taken(spark, monkeypatch, shard_tokens):
     assert held == {i: n for i, n in by_id.items() if n}
 
 
+def test_a_source_with_shards_smaller_than_a_block_gives_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 1000)
+    rng = random.Random(8)
+    name = lambda i: "big" if i % 50 else "small" if i else "speck"
+    rows = [(i, " ".join(["w"] * rng.randint(10, 60)), "en", name(i)) for i in range(3000)]
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    wanted, source_of = slow_targets(sizes), {r[0]: r[3] for r in rows}
+    assert wanted["small"] == 3 * sizes["small"]
+    for blocks in (20, 200, 100_000):
+        taken = dict.fromkeys(sizes, 0)
+        for r in mixing.mix(docs_of(spark, rows), blocks=blocks).collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[source_of[r["doc_id"]]] += r["taken"]
+        block = max(1, sum(sizes.values()) // blocks)
+        assert all(abs(taken[s] - wanted[s]) <= 2 * block for s in sizes), (blocks, taken, wanted)
+        assert taken["small"] == wanted["small"]
+
+
+def test_what_a_shard_cannot_give_goes_to_the_others(spark):
+    rows = [("a", s, n, 600, 900.0, 9) for s, n in enumerate([550, 0, 20, 30])] + [(None, 7, 5, 5, 15.0, 0)]
+    lines = spark.createDataFrame(rows, "_source string, _shard bigint, _line bigint, source_size bigint, target double, _blocks bigint")
+    given = {(r["_source"], r["_shard"]): r["_give"] for r in mixing.deal(lines, 100, 3).collect()}
+    assert given[None, 7] == 15 and given["a", 1] == 0
+    assert sum(n for (s, _), n in given.items() if s) == 900
+    assert all(given[s, i] <= 3 * n for s, i, n, *_ in rows)
+
+
 def test_whole_documents_keep_their_text(spark):
     rows = [(i, f"a{i}  b\nc", "en", "only") for i in range(20)]
     got = [r["text"] for r in mixing.mix_documents(docs_of(spark, rows)).collect()]
