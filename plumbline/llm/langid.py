@@ -7,14 +7,18 @@ context; below the empty context all byte values are equally likely.  Statistics
 frozen after training, so the code length of a text is the sum over its bytes of a
 cost that depends on the byte and ``ORDER`` bytes before it, and is exact.
 
-The contexts' costs are laid out in one array per language over the byte classes that
-training has seen: each of the ``CLASSES - 1`` most frequent bytes is a class, all
-others share one and divide its probability equally.
+Bytes are told apart by classes: each of the ``CLASSES - 1`` most frequent bytes of
+training is a class, all others share one and divide its probability equally.
+
+Only contexts that were seen are stored.  The code length of a byte is a sum of terms:
+the cost of no context, and for every longer context that the language has seen what
+its escape costs, or, where it has seen the byte too, what it saves.  A term is kept
+once with all languages that have it, so the model grows with the contexts seen and
+any number of languages is learned.
 
 The predicted language has the shortest code (the smaller name if equal); the score
 is its posterior with equal priors.  Training takes at most ``DOCUMENTS`` documents
-per language, whole texts; its arrays hold ``CLASSES ** (ORDER + 1)`` costs per
-language.  Text that is null or has no letter gives ``und`` with score 0.  If nothing
+per language, whole texts.  Text that is null or has no letter gives ``und`` with score 0.  If nothing
 was learned everything is ``und``.
 """
 
@@ -27,10 +31,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import map_texts
+from plumbline.plans.durable import materialise
 
 ORDER, CLASSES = 2, 128
-#: Training documents per language, at most, and languages that can be learned.
-DOCUMENTS, LANGUAGES = 2000, 64
+#: Training documents per language, at most.
+DOCUMENTS = 2000
 UNKNOWN = "und"
 #: Bytes that are scored at once.
 PIECE = 1 << 20
@@ -38,10 +43,15 @@ PIECE = 1 << 20
 
 @dataclass
 class Model:
+    """Terms ``keys`` (sorted), each with the languages and bits ``starts[i] : starts[i + 1]``."""
+
     languages: list[str]
     classes: np.ndarray
     rare: int
-    costs: np.ndarray
+    keys: np.ndarray
+    starts: np.ndarray
+    of: np.ndarray
+    bits: np.ndarray
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits that each language needs for a text."""
@@ -49,13 +59,22 @@ class Model:
         symbols = np.r_[np.zeros(ORDER, np.int64), self.classes[np.frombuffer(text, np.uint8)]]
         for k in range(ORDER, len(symbols), PIECE):
             part = symbols[k - ORDER : k + PIECE]
-            codes = _codes(part, CLASSES)
-            for i, costs in enumerate(self.costs):
-                out[i] += costs[codes].sum(dtype=np.float64)
+            out += (len(part) - ORDER) * np.log2(CLASSES)
+            if len(self.keys):
+                keys, n = _terms(*np.unique(_codes(part, CLASSES), return_counts=True))
+                out += self._sum(keys, n)
             if self.rare > 1:
                 out += np.count_nonzero(part[ORDER:] == CLASSES - 1) * np.log2(self.rare)
         return out
 
+    def _sum(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        at, n = at[known], n[known]
+        first, many = self.starts[at], self.starts[at + 1] - self.starts[at]
+        place = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        return np.bincount(self.of[place], self.bits[place] * np.repeat(n, many), len(self.languages))
+
     def predict(self, text: bytes) -> tuple[str, float]:
         bits = self.code_lengths(text)
         best = int(bits.argmin())
@@ -73,6 +92,31 @@ def _codes(symbols: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
+def _fold(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    found, at = np.unique(codes, return_inverse=True)
+    return found, np.bincount(at, n, len(found))
+
+
+def _terms(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the terms that codes of ``ORDER + 1`` bytes with counts ``n`` need, and how often.
+
+    Per order, a context has the key ``2 * code`` and a context with the next byte the
+    key ``2 * code + 1`` in a range of its own, beginning at ``_base(order)``.
+    """
+    keys, times = [], []
+    for order in range(ORDER, -1, -1):
+        codes, n = _fold(codes % CLASSES ** (order + 1), n)
+        context, total = _fold(codes // CLASSES, n)
+        keys += [_base(order) + 2 * context, _base(order) + 2 * codes + 1]
+        times += [total, n]
+    return np.concatenate(keys), np.concatenate(times)
+
+
+def _base(order: int) -> int:
+    return sum(2 * CLASSES ** (k + 1) for k in range(order))
+
+
 def _sample(docs: DataFrame, allowed: Column) -> DataFrame:
     """``lang, text`` of at most DOCUMENTS documents per language, those with the smallest hash."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & allowed).select(
@@ -80,10 +124,10 @@ def _sample(docs: DataFrame, allowed: Column) -> DataFrame:
     )
     ranked = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = ids.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= DOCUMENTS).drop("_n").distinct()
-    common = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(LANGUAGES)
-    chosen = chosen.join(F.broadcast(common.select("_lang")), "_lang", "left_semi")
+    # Written, so that the planner knows its size: small tables are sent whole, others joined by key.
+    chosen = materialise(chosen, "lang-ids")
     same = (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id"))
-    return docs.select("lang", "doc_id", "text").join(F.broadcast(chosen), same).select("lang", "text")
+    return docs.select("lang", "doc_id", "text").join(chosen, same).select("lang", "text")
 
 
 def _byte_counts(sample: DataFrame) -> np.ndarray:
@@ -99,26 +143,29 @@ def _byte_counts(sample: DataFrame) -> np.ndarray:
     return out
 
 
-def _tree(counts: np.ndarray) -> np.ndarray:
-    """Cost in bits of every class after every context, from counts of the longest contexts.
+def _tree(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and bits of a language's terms, from counts of the longest contexts with their next byte.
 
-    ``counts`` has ``ORDER + 1`` axes.  A shorter context's counts are the sums over
-    the byte in front; escapes lead to it.
+    A shorter context's counts are the sums over the byte in front; escapes lead to it.
     """
-    probability = np.full((CLASSES,), 1 / CLASSES)
+    keys, bits = [], []
+    below, chance = np.arange(CLASSES), np.full(CLASSES, 1 / CLASSES)
     for order in range(ORDER + 1):
-        of = counts.sum(axis=tuple(range(ORDER - order))) if order < ORDER else counts
-        total = of.sum(-1, keepdims=True)
-        seen = (of > 0).sum(-1, keepdims=True)
-        shorter = np.broadcast_to(probability, of.shape)
+        found, count = _fold(codes % CLASSES ** (order + 1), n)
+        context, at = np.unique(found // CLASSES, return_inverse=True)
+        total, seen = np.bincount(at, count), np.bincount(at)
+        # Every byte seen here was seen in the shorter context too, so its chance there is at hand.
+        shorter = chance[np.searchsorted(below, found % CLASSES ** max(order, 1))]
         # An escape excludes what the context itself predicts, so no probability is lost.
-        left = np.where(of > 0, 0, shorter)
-        room = left.sum(-1, keepdims=True)
-        escape = np.where(room > 0, seen, 0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mixed = (of + escape * left / room) / (total + escape)
-        probability = np.where(total > 0, np.where(room > 0, mixed, of / np.maximum(total, 1)), shorter)
-    return -np.log2(np.maximum(probability, 1e-30))
+        full = seen == CLASSES
+        room = np.maximum(1 - np.bincount(at, shorter), 1e-30)
+        escape = np.where(full, 0, seen)
+        here = count / (total + escape)[at]
+        leave = np.where(full, 0.0, -np.log2(np.maximum(np.where(full, 1, seen) / (total + escape) / room, 1e-30)))
+        keys += [_base(order) + 2 * context, _base(order) + 2 * found + 1]
+        bits += [leave, -np.log2(here) + np.log2(shorter) - leave[at]]
+        below, chance = found, here
+    return np.concatenate(keys), np.concatenate(bits)
 
 
 def train(docs: DataFrame, allowed: Column) -> Model | None:
@@ -145,22 +192,22 @@ def train(docs: DataFrame, allowed: Column) -> Model | None:
         return {"lang": langs, "code": join(codes), "n": join(times)}
 
     rows = map_texts(sample, "text", run, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    table = rows.groupBy("lang").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
-    languages, costs = [], []
-    for r in table.orderBy("lang").toLocalIterator():
-        counts = np.zeros(CLASSES ** (ORDER + 1))
-        counts[[s["code"] for s in r["seen"]]] = [s["n"] for s in r["seen"]]
-        languages.append(r["lang"])
-        costs.append(_tree(counts.reshape((CLASSES,) * (ORDER + 1))).ravel().astype(np.float32))
-    names = [r["lang"] for r in sample.select("lang").distinct().collect()]
-    for lang in sorted(set(names) - set(languages)):
-        # Only empty texts: no context was seen, so all bytes cost the same.
-        languages.append(lang)
-        costs.append(np.full(CLASSES ** (ORDER + 1), np.log2(CLASSES), np.float32))
+    table = rows.groupBy("lang").agg(F.collect_list(F.struct("code", "n")).alias("seen")).select("lang", "seen.code", "seen.n")
+    # A language with empty texts only has no terms: all bytes cost the same.
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     if not languages:
         return None
-    order = np.argsort(languages)
-    return Model([languages[i] for i in order], classes, 256 - len(common), np.array([costs[i] for i in order]))
+    number = {lang: i for i, lang in enumerate(languages)}
+    keys, of, bits = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.float32)]
+    for r in table.toLocalIterator():
+        key, cost = _tree(np.array(r["code"], np.int64), np.array(r["n"], np.float64))
+        keys.append(key)
+        bits.append(cost.astype(np.float32))
+        of.append(np.full(len(key), number[r["lang"]], np.int32))
+    key, of, bits = np.concatenate(keys), np.concatenate(of), np.concatenate(bits)
+    order = np.lexsort((of, key))
+    key, first = np.unique(key[order], return_index=True)
+    return Model(languages, classes, 256 - len(common), key, np.r_[first, len(of)], of[order], bits[order])
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

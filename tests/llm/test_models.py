@@ -90,6 +90,17 @@ def test_language_edge_cases(spark):
     assert langid.identify(docs_of(spark, []), model, ["doc_id"]).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(5)] for k in range(90)}
+    rows = [(3 * k + i, " ".join(rng.choices(w, k=30)), lang, "s") for k, (lang, w) in enumerate(words.items()) for i in range(3)]
+    docs = docs_of(spark, rows)
+    model = langid.train(docs, F.col("doc_id") % 3 != 0)
+    assert model.languages == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model, ["doc_id"]).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_quality_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in QUERIES["op8_quality"](spark, folder).collect()}
