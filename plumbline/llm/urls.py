@@ -10,8 +10,11 @@ blocked seeds, to the hosts that link to them).  A host whose trust is less than
 ``THRESHOLD`` of trust and distrust together is blocked; one that neither reaches is
 allowed.
 
-Ranks are whole numbers (``UNIT`` a page) and shares are rounded down, so sums do not
-depend on their order and reruns agree.  Links are counted per pair of hosts before
+Ranks are doubles, counted in pages, so a share of any fan-out counts; a message is
+never 0, so every host that a seed reaches has a rank, at any distance.  Rounds go on
+until no new host is reached and no rank changes by more than ``TOLERANCE`` of itself.
+The sums are then rounded to 7 digits, so that their order does not decide a verdict
+when trust and distrust are equal.  Links are counted per pair of hosts before
 they meet the ranks; each round is one join and one sum, written to shared storage.
 
 Null urls and urls without ``://`` have an empty host and path, null html has no
@@ -27,7 +30,11 @@ from plumbline.plans.durable import materialise
 
 #: Target hosts of links with a host of their own.
 LINK = r"""(?i)href[ \t\r\n]*=[ \t\r\n]*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^"' \t\r\n>/?#]+)"""
-UNIT, DAMPING, ROUNDS, THRESHOLD = 1_000_000, 0.85, 20, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Change of a rank, as a part of it, that no longer counts; the least rank of a host that is reached.
+TOLERANCE, LEAST = 1e-8, 5e-324
+#: Unit and rounds of the SQL, which works in whole numbers and stops early.
+UNIT, ROUNDS = 1_000_000, 20
 
 
 def lower(text: Column) -> Column:
@@ -64,7 +71,7 @@ def links(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust`` from ``src, dst, n`` and ``host, kind, pages`` (kind: allow or block)."""
     forward = edges.select(F.lit("allow").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n")
     back = edges.select(F.lit("block").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n")
@@ -74,23 +81,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         "kind", "from", "to", (F.lit(DAMPING) * F.col("n") / F.col("all")).alias("share")
     )
     shares = materialise(shares, "url-shares")
-    start = materialise(
-        seeds.select("kind", "host", F.floor(F.col("pages") * UNIT * F.lit(1 - DAMPING)).cast("long").alias("rank")), "url-ranks"
-    )
-    ranks, before = start, None
-    for _ in range(rounds):
-        now = ranks.withColumnsRenamed({"kind": "k", "host": "h"})
+    start = materialise(seeds.select("kind", "host", (F.col("pages") * F.lit(1 - DAMPING)).alias("rank")), "url-ranks")
+    ranks, moving = start, True
+    while moving:
+        now = ranks.withColumnsRenamed({"kind": "k", "host": "h", "rank": "r"})
         moved = shares.join(now, (F.col("kind") == F.col("k")) & (F.col("from") == F.col("h")))
-        moved = moved.select("kind", F.col("to").alias("host"), F.floor(F.col("rank") * F.col("share")).cast("long").alias("rank"))
-        ranks = materialise(
-            start.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "url-ranks"
-        )
-        check = F.xxhash64("kind", "host", "rank").cast("decimal(20,0)")
-        after = ranks.agg(F.count(F.lit(1)), F.sum("rank"), F.sum(check)).first()
-        if after == before:
-            break
-        before = after
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0))
+        sent = F.greatest(F.col("r") * F.col("share"), F.lit(LEAST)).alias("rank")
+        moved = moved.select("kind", F.col("to").alias("host"), sent, F.lit(0.0).alias("old"))
+        # The old rank travels with the sum, so that the change needs no join of its own.
+        news = start.withColumn("old", F.lit(0.0)).unionByName(moved)
+        news = news.unionByName(ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+        ranks = materialise(news.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")), "url-ranks")
+        changed = F.abs(F.col("rank") - F.col("old")) > tolerance * F.col("rank")
+        moving = bool(ranks.where((F.col("old") == 0) | changed).take(1))
+        ranks = ranks.drop("old")
+    rounded = lambda rank: F.when(rank.isNotNull(), F.format_string("%.6e", rank).try_cast("double"))
+    of = lambda kind: F.coalesce(rounded(F.sum(F.when(F.col("kind") == kind, F.col("rank")))), F.lit(0.0))
     return ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
 
 

@@ -95,3 +95,15 @@ def test_rules_and_odd_urls(spark):
     assert got[1] == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert got[7] == ("org", "", None, "allow")
     assert judged(spark, []) == {}
+
+
+def test_small_shares_and_far_hosts_count(spark):
+    """A blocked page that 200 000 hosts link to, and a chain of 26 hosts that ends there."""
+    fans = spark.range(200_000).selectExpr("concat('fan', id) AS src", "'bad' AS dst", "1L AS n")
+    chain = spark.range(26).selectExpr("concat('far', id + 1) AS src", "if(id = 0, 'fan7', concat('far', id)) AS dst", "1L AS n")
+    seeds = spark.createDataFrame([("bad", "block", 1)], "host string, kind string, pages bigint")
+    scores = urls.propagate(fans.unionByName(chain), seeds)
+    assert scores.where("trust = 0 AND distrust > 0").count() == 200_027
+    found = {r["host"]: r["distrust"] for r in scores.where("host IN ('fan3', 'far26')").collect()}
+    assert abs(found["fan3"] / (0.15 * 0.85 / 200_000) - 1) < 1e-6
+    assert abs(found["far26"] / (0.15 * 0.85**27 / 200_000) - 1) < 1e-6
