@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import boosting, bpe, langid, mixing, mtree, pulearn, samples, simhash, substring, urls, warc
+from plumbline.llm import boosting, bpe, fim, langid, mixing, mtree, pulearn, samples, simhash, substring, urls, warc
 from plumbline.plans.durable import scratch_path
 
 #: Rules of the URL query, by host and path.
@@ -288,3 +288,36 @@ FROM fitted f LEFT JOIN scores s ON f.host = s.host
 )
 def op3_urls(pages: DataFrame) -> DataFrame:
     return urls.judge(pages, RULES)
+
+
+@_query(
+    "op11_fim",
+    "documents",
+    rf"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+           sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+           ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut
+), formed AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR h3 % 100 >= {fim.RATE} THEN 'plain'
+                WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parted AS (
+    SELECT doc_id, n, form, text, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+           array_to_string(units[b + 1:], '') AS suffix FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parted
+""",
+)
+def op11_fim(docs: DataFrame) -> DataFrame:
+    return fim.fill_in_middle(fim.store(docs), digests=True)
