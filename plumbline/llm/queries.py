@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import boosting, bpe, fim, langid, mixing, mtree, pulearn, samples, simhash, substring, urls, warc
+from plumbline.llm import boosting, bpe, fim, langid, mixing, mtree, packing, pulearn, samples, simhash, substring, urls, warc
 from plumbline.plans.durable import scratch_path
 
 #: Rules of the URL query, by host and path.
@@ -321,3 +321,8 @@ FROM parted
 )
 def op11_fim(docs: DataFrame) -> DataFrame:
     return fim.fill_in_middle(fim.store(docs), digests=True)
+
+
+@_query("op13_packing", "documents")
+def op13_packing(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), digests=True)
