@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import boosting, bpe, fim, langid, mixing, mtree, packing, pulearn, samples, simhash, substring, urls, warc
+from plumbline.llm import boosting, bpe, fim, langid, mixing, mtree, packing, pulearn, samples, simhash, substring, trie, urls, warc
 from plumbline.plans.durable import scratch_path
 
 #: Rules of the URL query, by host and path.
@@ -326,3 +326,55 @@ def op11_fim(docs: DataFrame) -> DataFrame:
 @_query("op13_packing", "documents")
 def op13_packing(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), digests=True)
+
+
+@_query(
+    "op12_trie",
+    "conversations",
+    r"""
+WITH own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), crc_table AS (
+    WITH RECURSIVE steps(i, k, v) AS (
+        SELECT i, 0, i FROM range(256) r(i)
+        UNION ALL
+        SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+    ) SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
+                           (c, x) -> xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 9 END AS h
+    FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), taken AS (
+    SELECT c.conv_id, o.role, o.text, 0 AS part, o.pos FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, o.role, o.text, 1, o.pos FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM taken
+), paths AS (
+    SELECT conv_id, depth, strlen(text) AS bytes, count(*) OVER (PARTITION BY conv_id) AS len,
+           md5(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node
+    FROM placed
+    UNION ALL
+    SELECT c.conv_id, 0, 0, (SELECT count(*) FROM taken t WHERE t.conv_id = c.conv_id), '' FROM convs c
+), nodes AS (
+    SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(bytes) AS bytes, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+    FROM paths GROUP BY node
+), links AS (
+    SELECT DISTINCT u.node AS parent, v.node AS child FROM paths u JOIN paths v ON u.conv_id = v.conv_id AND v.depth = u.depth + 1
+), below AS (
+    SELECT DISTINCT u.node AS top, v.node AS node FROM paths u JOIN paths v ON u.conv_id = v.conv_id AND v.depth >= u.depth
+), sums AS (
+    SELECT top, count(*) FILTER (node NOT IN (SELECT parent FROM links)) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+    FROM below JOIN nodes USING (node) GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+       (SELECT count(*) FROM links WHERE links.parent = n.node) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums ON n.node = sums.top LEFT JOIN links l ON l.child = n.node LEFT JOIN nodes p ON p.node = l.parent
+""",
+)
+def op12_trie(conversations: DataFrame) -> DataFrame:
+    return trie.prefix_trie(conversations)
