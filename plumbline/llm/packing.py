@@ -23,7 +23,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -33,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import WordBpe, _tokenizer
 from plumbline.llm.hilbert import hilbert_key
-from plumbline.llm.text import REMEMBERED, map_texts
+from plumbline.llm.text import map_texts
+from plumbline.llm.word_ids import word_ids
 from plumbline.plans.durable import materialise
 
 LENGTH, END_ID = 4096, 2
@@ -44,32 +43,6 @@ BUCKETS, DIMENSIONS, BITS = 256, 4, 15
 SEED = 42
 
 
-class WordIds:
-    """Ids of words between blanks, remembered: no id spans a blank, so a text is its words."""
-
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() for t in texts]
-        used = set().union(*words)
-        new = used - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = used
-        listed = list(new)
-        self.known.update(zip(listed, self.bpe.encode_batch([w.decode("utf-8", "replace") for w in listed])))
-        of = self.known.__getitem__
-        return [b"".join(map(of, w)) for w in words]
-
-
-@lru_cache(maxsize=2)
-def _word_ids(content: str) -> WordIds:
-    return WordIds(_tokenizer(content))
-
-
 class Curve:
     """Keys of documents from their ids."""
 
@@ -174,14 +147,15 @@ def encoded(docs: DataFrame, vocabulary: str, keep: tuple[str, ...], text: str,
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batch) -> dict:
-        words, curve, pack_bytes = _word_ids(content.value), Curve(), zstandard.ZstdCompressor(level=1).compress
+        words, curve, pack_bytes = word_ids(content.value), Curve(), zstandard.ZstdCompressor(level=1).compress
         # Half the bytes where every id fits.
-        width = 2 if max(len(words.bpe.tokens), end_id) < 1 << 16 else 4
+        width = 2 if max(words.size, end_id) < 1 << 16 else 4
         out: dict = {"width": [width] * batch.num_rows, "n": [], "ids": []}
         points = np.zeros((batch.num_rows, curve.matrix.shape[1]))
         end = np.array([end_id], "<u4")
-        for i, coded in enumerate(words.encode_batch([t or b"" for t in batch.column("_text").to_pylist()])):
-            ids = np.concatenate([np.frombuffer(coded, "<u4"), end])
+        all_ids, stops = words.encode(batch.column("_text"))
+        for i, (start, stop) in enumerate(zip(np.r_[0, stops], stops)):
+            ids = np.concatenate([all_ids[start:stop], end])
             points[i] = curve.point(ids[:-1])
             out["n"].append(len(ids))
             out["ids"].append(pack_bytes(ids.astype(f"<u{width}").tobytes()))

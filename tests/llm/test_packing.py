@@ -7,12 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_helpers import docs_of
 from tokenizers import Tokenizer
 
-from plumbline.llm import packing
-from plumbline.llm.bpe import WordBpe
+from plumbline.llm import packing, word_ids
 from plumbline.llm.hilbert import hilbert_key
 from plumbline.llm.queries import QUERIES
 
@@ -35,14 +35,33 @@ def test_curve_steps_to_a_neighbour_each_time(dims, bits):
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_words_between_blanks_give_the_ids_of_the_text(library):
-    rng = random.Random(3)
+@pytest.fixture(scope="module")
+def words():
     with open(PATH, encoding="utf-8") as file:
-        words = packing.WordIds(WordBpe(file.read()))
+        return word_ids.WordIds(file.read())
+
+
+def test_words_between_blanks_give_the_ids_of_the_text(library, words):
+    rng = random.Random(3)
+    assert words.by_pieces
     letters = [*"abcdeé ĳß", "<|endoftext|>", "<|", *"'sΣσςİ́ \n\t\x0b\x0c\r12½中文字🙂!?#", " ", "\x85", " ", "가", "ᆨ"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(4000)]
-    for text, ids in zip(texts, words.encode_batch([t.encode() for t in texts])):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    texts += [None, "", " ", " \n\t a \x0b", "\x1c\x1d a\x1eb"]
+    ids, stops = words.encode(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
+    for text, found in zip([t or "" for t in texts], np.split(ids, stops[:-1])):
+        assert found.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_letters_tails_and_forgetting(library, words, monkeypatch):
+    monkeypatch.setattr(word_ids, "REMEMBERED", 200)
+    rng = random.Random(4)
+    letters = [*"abcdefgXYZéßÀªµº", "İ", "ı", "'", "'s", "<|", "|>", "1", "ﬁ", "\x85", "\xa0", *word_ids.TAIL]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(30)) for _ in range(200)]
+    for start in range(0, 200, 20):
+        part = texts[start : start + 20]
+        ids, stops = words.encode(pa.array(part))
+        for text, found in zip(part, np.split(ids, stops[:-1])):
+            assert found.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("total", [0, 1, 5, 4095, 4096, 4097, 3 * 4096 + 2048, 10_007])
@@ -110,3 +129,8 @@ def test_edge_cases(spark, library):
     repeated = packing.pack(docs_of(spark, [(None, "a b"), (None, "a b"), (1, "c")]), PATH).collect()
     assert sorted(r.doc_tokens for r in repeated) == [2, 3, 3]
     assert packing.pack(docs_of(spark, []), PATH).collect() == []
+
+
+def test_malformed_bytes_are_replaced(library, words):
+    ids, stops = words.encode(pa.array([b"a \xff\xfe b\xe9", b"fine"], pa.binary()))
+    assert ids[: stops[0]].tolist() == library.encode("a \ufffd\ufffd b\ufffd", add_special_tokens=False).ids
