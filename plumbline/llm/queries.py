@@ -344,8 +344,8 @@ WITH own AS (
     ) SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8
 ), convs AS (
     SELECT conv_id, conv_id - conv_id % 5 AS base, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE
-           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-                           (c, x) -> xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 9 END AS h
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                           lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 9 END AS h
     FROM (SELECT DISTINCT conv_id FROM own), crc_table
 ), taken AS (
     SELECT c.conv_id, o.role, o.text, 0 AS part, o.pos FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
