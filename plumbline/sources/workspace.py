@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.contracts import Rule, evaluate_all
 from plumbline.operators.dictionary import dictionary, merge_dictionary
+from plumbline.operators.groups import MAX_GROUP_ROWS, SLICE_ROWS, Frames, apply_groups, combine_groups
 from plumbline.plans.aggregates import union_all
 from plumbline.sources import io
 
@@ -52,6 +53,17 @@ class Workspace:
         np.random.seed(self.seed)
         return fn(self)
 
+    def apply(self, name: str, by: list[str], fn: Frames, schema: str, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+        """Run pandas code over each whole group of a table; publish the result to name it."""
+        return apply_groups(self.table(name), by, fn, schema, max_rows)
+
+    def combine(
+        self, name: str, by: list[str], partial: Frames, merge: Frames, finish: Frames, partial_schema: str, schema: str,
+        slice_rows: int = SLICE_ROWS,
+    ) -> DataFrame:
+        """Run pandas code over slices of each group of a table and merge what they give; groups may have any size."""
+        return combine_groups(self.table(name), by, partial, merge, finish, partial_schema, schema, slice_rows)
+
     def tables(self) -> list[str]:
         return [t.name for t in self.spark.catalog.listTables()]
 
