@@ -87,7 +87,7 @@ def static_error(df: DataFrame, rule: Rule) -> str | None:
         if rule.type == "regex":
             # Folded on the driver: fails here if the pattern does not compile.
             df.sparkSession.sql("SELECT '' RLIKE :pattern", args={"pattern": rule.pattern}).collect()
-        if _is_local(rule):
+        if is_local(rule):
             df.select(violation(df, rule))
     except (PySparkException, RuleError) as error:
         return first_line(error)
@@ -101,7 +101,7 @@ def violation(df: DataFrame, rule: Rule) -> Column:
         return value.isNull()
     if rule.type == "range":
         # Text is compared as numbers; values that are none are counted apart.
-        value = value.try_cast("double") if _reads_text(df, rule) else value
+        value = value.try_cast("double") if reads_text(df, rule) else value
         outside = F.lit(False)
         if rule.min is not None:
             outside = outside | (value < F.lit(rule.min))
@@ -113,7 +113,7 @@ def violation(df: DataFrame, rule: Rule) -> Column:
     return value.isNotNull() & ~as_text(df, rule.column).rlike(rule.pattern)
 
 
-def _reads_text(df: DataFrame, rule: Rule) -> bool:
+def reads_text(df: DataFrame, rule: Rule) -> bool:
     """Does a range rule with numbers look at a text column?"""
     numbers = [b for b in (rule.min, rule.max) if isinstance(b, (int, float))]
     return rule.type == "range" and bool(numbers) and isinstance(df.schema[rule.column].dataType, T.StringType)
@@ -129,11 +129,11 @@ def duplicated_rows(df: DataFrame, rule: Rule) -> DataFrame:
 def measure(df: DataFrame, rules: list[Rule], extra: Mapping[object, Column] | None = None) -> Measured:
     """Count violations; ``extra`` aggregates ride along in the same pass."""
     total = ("total",)
-    local = {("rule", i): F.count_if(violation(df, r)) for i, r in enumerate(rules) if _is_local(r)}
-    texts = {i: col(r.column) for i, r in enumerate(rules) if _is_local(r) and _reads_text(df, r)}
+    local = {("rule", i): F.count_if(violation(df, r)) for i, r in enumerate(rules) if is_local(r)}
+    texts = {i: col(r.column) for i, r in enumerate(rules) if is_local(r) and reads_text(df, r)}
     local |= {("unread", i): F.count_if(v.isNotNull() & v.try_cast("double").isNull()) for i, v in texts.items()}
     seen = one_row(df, {total: F.count(F.lit(1))} | local | dict(extra or {}))
-    failing = {i: seen["rule", i] for i, r in enumerate(rules) if _is_local(r)}
+    failing = {i: seen["rule", i] for i, r in enumerate(rules) if is_local(r)}
     unique = [(i, r) for i, r in enumerate(rules) if r.type == "unique"]
     if unique:
         counts = [duplicated_rows(df, r).select(F.lit(i).alias("i"), "failing") for i, r in unique]
@@ -152,7 +152,7 @@ def measure(df: DataFrame, rules: list[Rule], extra: Mapping[object, Column] | N
     return Measured(seen[total], [failing[i] for i in range(len(rules))], details, extras)
 
 
-def _is_local(rule: Rule) -> bool:
+def is_local(rule: Rule) -> bool:
     return rule.type not in ("row_count", "unique")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from plumbline.operators.contracts import Rule, describe, evaluate, evaluate_all, summarize
 from plumbline.plans.durable import scratch_path
@@ -184,3 +185,30 @@ def stream_contract(read):
     running = contract_stream(stream, "events", rules_of(EVENT_RULES), results, checkpoint, once=True)
     running.awaitTermination()
     return read_results(spark, results).select(*RESULT, "batch_id")
+
+
+PARTS_OF_STREAM = 3
+STREAM_RULES = [Rule("user", "unique", "user_id"), Rule("value", "range", "value", max=100), Rule("size", "row_count", min=1)]
+
+
+@query(
+    "contract_stream_batches",
+    sql_union(
+        f"""SELECT 'events' AS "table", rule_id, failing_rows = 0 AS passed, failing_rows, total, {b}::BIGINT AS batch_id FROM (
+ SELECT unnest(['user', 'value', 'size']) AS rule_id, unnest([repeated, large, 0]) AS failing_rows, total FROM (
+ SELECT count(*) FILTER (WHERE event_id % {PARTS_OF_STREAM} = {b}) AS total,
+ count(*) FILTER (WHERE event_id % {PARTS_OF_STREAM} = {b} AND value > 100) AS large,
+ count(*) FILTER (WHERE event_id % {PARTS_OF_STREAM} = {b} AND user_id IN (SELECT user_id FROM events
+ WHERE event_id % {PARTS_OF_STREAM} <= {b} GROUP BY user_id HAVING count(*) > 1)) AS repeated FROM events))"""
+        for b in range(PARTS_OF_STREAM)
+    ),
+)
+def stream_batches(read):
+    """Three batches: keys of one are judged against those of all before."""
+    spark, events = read.spark, read("events")
+    source, results, checkpoint = (scratch_path(spark, f"stream-{n}") for n in ("source", "unique", "state"))
+    for b in range(PARTS_OF_STREAM):
+        events.where(F.col("event_id") % PARTS_OF_STREAM == b).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        contract_stream(stream, "events", STREAM_RULES, results, checkpoint, once=True).awaitTermination()
+    return read_results(spark, results).select("table", "rule_id", "passed", "failing_rows", "total", "batch_id")

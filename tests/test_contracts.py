@@ -136,3 +136,39 @@ def test_text_that_is_no_number_is_counted_in_the_same_pass(spark):
     assert (bad.failing_rows, bad.detail) == (-1, "1 values of t are not numbers")
     good = evaluate(df.where("t <> 'x'"), "t", [Rule("r", "range", "t", max=5)]).first()
     assert good.failing_rows == 1
+
+
+def test_cost_of_a_stream_batch_does_not_grow(spark, tmp_path):
+    """Six batches: the state that a batch touches is that of its own keys, and no key files are kept beside it."""
+    source, results = str(tmp_path / "in"), str(tmp_path / "out")
+    rules = [Rule("a", "unique", "k"), Rule("a/b", "unique", "k"), Rule("bad", "range", "gone", max=1)]
+    touched = []
+    for b in range(6):
+        spark.range(b * 50, b * 50 + 50).selectExpr("cast(id as int) AS k").coalesce(1).write.mode("append").parquet(source)
+        query = contract_stream(spark.readStream.schema("k int").parquet(source), "t", rules, results, str(tmp_path / "check"), once=True)
+        query.awaitTermination()
+        progress = [p for p in query.recentProgress if p["numInputRows"]]
+        touched.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in progress))
+    # Per batch: 50 keys of all time and 50 of the batch, for two rules, and the batch itself.
+    assert touched == [201] * 6
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["check", "in", "out"]
+    found = {(r.batch_id, r.rule_id): r.failing_rows for r in read_results(spark, results).collect()}
+    assert found == {(b, r): v for b in range(6) for r, v in (("a", 0), ("a/b", 0), ("bad", -1))}
+
+
+def test_hot_key_and_text_in_a_stream(spark, tmp_path):
+    source, results = str(tmp_path / "in"), str(tmp_path / "out")
+    rules = [Rule("u", "unique", "k"), Rule("r", "range", "t", max=5), Rule("n", "row_count", max=4000)]
+    for b in range(2):
+        spark.range(3000).selectExpr("if(id % 3 = 0, -1, id * 2 + {b}) AS k".format(b=b), "if(id = 7, 'x', '4') AS t").write.mode("append").parquet(source)
+        contract_stream(spark.readStream.schema("k long, t string").parquet(source), "t", rules, results, str(tmp_path / "check"), once=True).awaitTermination()
+    found = {(r.batch_id, r.rule_id): (r.failing_rows, r.detail) for r in read_results(spark, results).collect()}
+    unread = (-1, "1 values of t are not numbers")
+    assert found == {(b, r): v for b in range(2) for r, v in (("u", (1000, None)), ("r", unread), ("n", (0, "3000 rows")))}
+
+
+def test_stream_without_unique_rules(spark, tmp_path):
+    source, results = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1,), (None,)], "k int").write.parquet(source)
+    contract_stream(spark.readStream.schema("k int").parquet(source), "t", [Rule("n", "not_null", "k")], results, str(tmp_path / "c"), once=True).awaitTermination()
+    assert [(r.rule_id, r.failing_rows, r.total) for r in read_results(spark, results).collect()] == [("n", 1, 2)]
