@@ -9,16 +9,17 @@ partitioning.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     DATETIME,
@@ -30,7 +31,7 @@ from plumbline.functions.columns import (
     split_bucket,
     unit_hash,
 )
-from plumbline.operators.indexing import dense_index
+from plumbline.operators.indexing import dense_index, free_name
 from plumbline.operators.metrics import (
     as_dict,
     classification_metrics,
@@ -40,6 +41,7 @@ from plumbline.operators.metrics import (
 )
 from plumbline.operators.profile import guarded_correlation
 from plumbline.plans.aggregates import count_distinct, long_text, melt, one_row, text_length
+from plumbline.plans.durable import materialise, scratch_path
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.ranking import top_by_count
 
@@ -57,6 +59,11 @@ ZEROED_SHARE = 0.10
 TOP_IMPORTANCES = 8
 GATE_MARGIN = 1e-9
 
+# Levels of a column, or classes, whose table is broadcast; more meet their rows in a shuffle.
+BROADCAST_LEVELS = 100_000
+# Classes that a model may tell apart: what it keeps per node or slot grows with them.
+MAX_CLASSES = 10_000
+
 NULL_LEVEL, OTHER_LEVEL = "__null__", "__other__"
 LABEL, FEATURES, INDEX = "label", "features", "row_index"
 
@@ -138,52 +145,109 @@ def leakage(df: DataFrame, target: str, features: list[str] | None = None) -> Da
 
 @dataclass
 class Encoder:
-    """Column recipe fitted on a table: medians, category levels, slot names."""
+    """Column recipe fitted on a table: medians, and a table of category levels with their slots.
+
+    Slots are numbered densely: numbers and times first, then the levels of each text column
+    in order of their value, then its slot for all others if it has one.  The driver knows
+    how many levels a column has, not which.
+    """
 
+    spark: SparkSession
     medians: dict[str, float]
-    levels: dict[str, list[str]]
-    has_other: set[str]
+    categories: list[str]
+    table: DataFrame | None = None
+    counts: dict[str, int] = field(default_factory=dict)
+    has_other: set[str] = field(default_factory=set)
+
+    @property
+    def n_slots(self) -> int:
+        return len(self.medians) + sum(self.counts.values())
+
+    def _first_slot(self, name: str) -> int:
+        before = self.categories[: self.categories.index(name)]
+        return len(self.medians) + sum(self.counts[c] for c in before)
+
+    def slot_names(self, slots: list[int]) -> dict[int, str]:
+        """The names of a few slots."""
+        names = dict(enumerate(self.medians))
+        wanted = sorted({s for s in slots if s not in names})
+        if wanted:
+            for row in self.table.where(F.col("slot").isin(wanted)).collect():
+                names[row.slot] = f"{self.categories[row.column_id]}_{row.value}"
+        return {s: names[s] for s in slots}
+
+    def slot_table(self) -> DataFrame:
+        """(slot, feature) of every slot."""
+        numbers = self.spark.createDataFrame(list(enumerate(self.medians)), "slot bigint, feature string")
+        if self.table is None:
+            return numbers
+        column = F.element_at(F.array(*[F.lit(c) for c in self.categories]), F.col("column_id") + 1)
+        return numbers.unionByName(self.table.select("slot", F.concat(column, F.lit("_"), "value").alias("feature")))
 
     @property
     def slots(self) -> list[str]:
-        dummies = [f"{c}_{level}" for c, levels in self.levels.items() for level in self._labels(c, levels)]
-        return list(self.medians) + dummies
+        """All names in order, collected: for encoders of few levels."""
+        return [r.feature for r in self.slot_table().orderBy("slot").collect()]
 
-    def _labels(self, name: str, levels: list[str]) -> list[str]:
-        return levels + [OTHER_LEVEL] if name in self.has_other else levels
+    @property
+    def levels(self) -> dict[str, list[str]]:
+        """All levels, collected: for encoders of few levels."""
+        found: dict[str, list[str]] = {c: [] for c in self.categories}
+        if self.table is not None:
+            for row in self.table.where("NOT other").orderBy("slot").collect():
+                found[self.categories[row.column_id]].append(row.value)
+        return found
 
     def encode(self, df: DataFrame, kept: list[Column] | None = None) -> DataFrame:
-        """The ``features`` vector: filled numbers, then one slot per level.
+        """The ``features`` vector: filled numbers, then a one in the slot of each level.
 
-        It stands next to ``kept`` (all columns but one called so by default).
+        It stands next to ``kept`` (all columns but one called so by default).  The result is
+        written once: models read it many times, and what is stored as the parts of a
+        sparse vector is read back as one.
+        """
+        parts = self.parts(df, kept)
+        path = scratch_path(df.sparkSession, "encoded")
+        parts.write.parquet(path)
+        named = [T.StructField(f.name, f.dataType, True, f.metadata) for f in parts.schema.fields[:-1]]
+        schema = T.StructType([*named, T.StructField(FEATURES, VectorUDT())])
+        return df.sparkSession.read.schema(schema).parquet(path)
+
+    def parts(self, df: DataFrame, kept: list[Column] | None = None) -> DataFrame:
+        """As ``encode``, with the type, size, indices and values of each vector.
+
+        Rows meet the levels of each text column in a join, which is broadcast where that
+        column has few.
         """
         kept = [col(c) for c in df.columns if c.lower() != FEATURES] if kept is None else kept
-        numbers = {n: F.coalesce(_numeric_form(df, n), F.lit(m), F.lit(0.0)) for n, m in self.medians.items()}
-        texts = {}
-        for name, levels in self.levels.items():
-            text = F.coalesce(as_text(df, name), F.lit(NULL_LEVEL))
-            other = F.lit(OTHER_LEVEL)
-            texts[name] = F.when(text.isin(levels), text).otherwise(other) if name in self.has_other else text
+        numbers = [F.coalesce(_numeric_form(df, n), F.lit(m), F.lit(0.0)) for n, m in self.medians.items()]
+        texts = [F.coalesce(as_text(df, name), F.lit(NULL_LEVEL)) for name in self.categories]
         wide = df.select(
-            *kept,
-            *[v.alias(f"__num{i}") for i, v in enumerate(numbers.values())],
-            *[v.alias(f"__cat{i}") for i, v in enumerate(texts.values())],
+            F.struct(*kept).alias("kept") if kept else F.lit(None).alias("kept"),
+            F.array(*numbers).cast("array<double>").alias("numbers"),
+            *[v.alias(f"text{i}") for i, v in enumerate(texts)],
+        )
+        for i, name in enumerate(self.categories):
+            levels = self.table.where((F.col("column_id") == i) & ~F.col("other"))
+            levels = levels.select(F.col("value").alias(f"value{i}"), F.col("slot").cast("int").alias(f"slot{i}"))
+            if self.counts[name] <= BROADCAST_LEVELS:
+                levels = F.broadcast(levels)
+            rest = F.lit(self._first_slot(name) + self.counts[name] - 1)
+            if name not in self.has_other:
+                rest = F.raise_error(F.concat(F.lit(f"{name} has a level that the encoder has not seen: "), F.col(f"text{i}"))).cast("int")
+            wide = wide.join(levels, F.col(f"text{i}") == F.col(f"value{i}"), "left")
+            wide = wide.withColumn(f"slot{i}", F.coalesce(f"slot{i}", rest)).drop(f"text{i}", f"value{i}")
+        n, null = len(self.medians), F.lit(None)
+        if self.categories:
+            own = F.array(*[F.lit(i) for i in range(n)], *[F.col(f"slot{i}") for i in range(len(self.categories))])
+            values = F.concat("numbers", F.array(*[F.lit(1.0) for _ in self.categories]))
+            kind, size, indices = 0, F.lit(self.n_slots), own.cast("array<int>")
+        else:
+            kind, size, indices, values = 1, null.cast("int"), null.cast("array<int>"), F.col("numbers")
+        vector = F.struct(F.lit(kind).cast("tinyint").alias("type"), size.alias("size"), indices.alias("indices"), values.alias("values"))
+        named = df.select(*kept).schema.fields if kept else []
+        return wide.select(
+            *[F.col("kept").getField(f.name).alias(f.name, metadata=f.metadata) for f in named], vector.alias(FEATURES)
         )
-        inputs = [f"__num{i}" for i in range(len(numbers))]
-        if texts:
-            ids = range(len(texts))
-            for i, (name, levels) in enumerate(self.levels.items()):
-                indexer = StringIndexerModel.from_labels(
-                    self._labels(name, levels), inputCol=f"__cat{i}", outputCol=f"__id{i}", handleInvalid="error"
-                )
-                wide = indexer.transform(wide)
-            hot = OneHotEncoder(
-                inputCols=[f"__id{i}" for i in ids], outputCols=[f"__hot{i}" for i in ids], dropLast=False
-            )
-            wide = hot.fit(wide).transform(wide)
-            inputs += [f"__hot{i}" for i in ids]
-        wide = VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error").transform(wide)
-        return wide.drop(*[c for c in wide.columns if c.startswith(("__num", "__cat", "__id", "__hot"))])
 
 
 def fit_encoder(df: DataFrame, features: list[str], max_levels: int | None = None) -> Encoder:
@@ -195,20 +259,21 @@ def fit_encoder(df: DataFrame, features: list[str], max_levels: int | None = Non
     other = [f for f in features if f not in numeric]
     numbers = df.select(*[_numeric_form(df, f).alias(f) for f in numeric])
     medians = {f: v[0] if v[0] is not None else 0.0 for f, v in quantiles(numbers, numeric, [0.5]).items()}
-    levels: dict[str, list[str]] = {f: [] for f in other}
-    has_other = set()
-    if other:
-        cells = melt(df, {f: F.coalesce(as_text(df, f), F.lit(NULL_LEVEL)) for f in other})
+    if not other:
+        return Encoder(df.sparkSession, medians, other)
+    cells = melt(df, {f: F.coalesce(as_text(df, f), F.lit(NULL_LEVEL)) for f in other})
+    if max_levels is None:
+        levels = cells.select("column_id", F.lit(False).alias("other"), "value").distinct()
+    else:
         counts = cells.groupBy(F.col("column_id").alias("column"), "value").agg(F.count(F.lit(1)).alias("count"))
-        if max_levels is not None:
-            counts = top_by_count(counts, max_levels + 1)
-        for row in counts.collect():
-            name = other[row.column]
-            if max_levels is None or row.rank <= max_levels:
-                levels[name].append(row.value)
-            else:
-                has_other.add(name)
-    return Encoder(medians, {n: sorted(v) for n, v in levels.items()}, has_other)
+        ranked, beyond = top_by_count(counts, max_levels + 1), F.col("rank") > max_levels
+        value = F.when(beyond, OTHER_LEVEL).otherwise(F.col("value"))
+        levels = ranked.select(F.col("column").alias("column_id"), beyond.alias("other"), value.alias("value"))
+    indexed = dense_index(levels, ["column_id", "other", "value"], "place")
+    table = materialise(indexed.select("column_id", "other", "value", (F.col("place") + len(medians)).alias("slot")), "levels")
+    found = table.groupBy("column_id").agg(F.count(F.lit(1)).alias("n"), F.max("other").alias("other")).collect()
+    counted = dict.fromkeys(other, 0) | {other[r.column_id]: r.n for r in found}
+    return Encoder(df.sparkSession, medians, other, table, counted, {other[r.column_id] for r in found if r.other})
 
 
 def split(
@@ -274,20 +339,52 @@ def _estimator(task: str, algo: str, seed: int, max_depth: int, trees: int, rows
     )
 
 
-def importances(model: Model, slots: list[str], k: int | None = TOP_IMPORTANCES) -> list[tuple[str, float]]:
-    """Largest impurity importances, or absolute coefficients of the first class; all with ``k=None``."""
+def importances(model: Model, encoder: Encoder, k: int | None = TOP_IMPORTANCES) -> tuple[DataFrame, int | None]:
+    """(feature, value) of the largest impurity importances, or absolute coefficients of the first class, and the top slot.
+
+    All with ``k=None``.
+    """
     if hasattr(model, "featureImportances"):
         weights = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
         weights = abs(model.coefficientMatrix.toArray()[0])
     else:
         weights = abs(model.coefficients.toArray())
-    ranked = sorted(enumerate(weights), key=lambda pair: (-pair[1], pair[0]))[:k]
-    return [(slots[i], float(w)) for i, w in ranked]
+    ranked = sorted(enumerate(weights.tolist()), key=lambda pair: (-pair[1], pair[0]))[:k]
+    spark = encoder.spark
+    if k is None:
+        values = spark.createDataFrame([(i, w, place) for place, (i, w) in enumerate(ranked)], "slot bigint, value double, place int")
+        table = encoder.slot_table().join(values, "slot").orderBy("place").select("feature", "value")
+    else:
+        names = encoder.slot_names([i for i, _ in ranked])
+        table = spark.createDataFrame([(names[i], w) for i, w in ranked], "feature string, value double")
+    return table, ranked[0][0] if ranked else None
+
+
+def class_table(rows: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> tuple[DataFrame, int]:
+    """(class, number) of the classes of a target in order of their text, and how many there are."""
+    names = rows.select(as_text(rows, target).alias("class")).distinct()
+    classes = materialise(dense_index(names, ["class"], "number"), "classes")
+    n = classes.count()
+    if n > max_classes:
+        raise ValueError(f"{target} has {n} classes, more than max_classes ({max_classes})")
+    return classes, n
+
+
+def with_label(rows: DataFrame, target: str, classes: DataFrame, n: int, name: str) -> DataFrame:
+    """Add the number of a row's class, marked as one of ``n``.  At most ``max_classes`` rows are broadcast."""
+    known = F.broadcast(classes.select(F.col("class").alias("__class"), F.col("number").cast("double").alias("__number")))
+    marked = {"ml_attr": {"type": "nominal", "name": LABEL, "num_vals": n}}
+    met = rows.join(known, as_text(rows, target) == F.col("__class"))
+    return met.select(*[col(c) for c in rows.columns], F.col("__number").alias(name, metadata=marked))
 
 
-def _class_labels(rows: DataFrame, target: str) -> list[str]:
-    return sorted(r.t for r in rows.select(as_text(rows, target).alias("t")).distinct().collect())
+def with_class_names(matrix: DataFrame, classes: DataFrame) -> DataFrame:
+    """A confusion matrix of class numbers with their names."""
+    for side in ("actual", "predicted"):
+        names = F.broadcast(classes.select(F.col("class").alias(f"__{side}"), F.col("number").cast("double").alias(f"__n_{side}")))
+        matrix = matrix.join(names, F.col(side) == F.col(f"__n_{side}"))
+    return matrix.select(F.col("__actual").alias("actual"), F.col("__predicted").alias("predicted"), "count")
 
 
 def _primary(scored: DataFrame, task: str) -> float:
@@ -348,26 +445,33 @@ def train(
     max_levels: int | None = None,
     split_keys: list[str] | None = None,
     top_importances: int | None = TOP_IMPORTANCES,
+    max_classes: int = MAX_CLASSES,
 ) -> dict:
-    """Fit, grade and stress one model; small results come back as DataFrames."""
+    """Fit, grade and stress one model; small results come back as DataFrames.
+
+    A target of more than ``max_classes`` classes is an error: what models keep grows with them.
+    """
     spark = df.sparkSession
     leaks = leakage(df, target, features)
     rows, names = prepare(df, target, features, split_keys)
     task = detect_task(rows, target).first().task
+    classes, n_classes = class_table(rows, target, max_classes) if task == CLASSIFICATION else (None, 0)
     encoder = fit_encoder(rows, names, max_levels)
-    labels: list[str] = []
-    if task == CLASSIFICATION:
-        labels = _class_labels(rows, target)
-        place = F.array_position(F.array(*[F.lit(x) for x in labels]), as_text(rows, target))
-        label = (place - 1).cast("double")
-    else:
-        label = as_double(target)
     train_raw, test_raw = split(rows, seed, split_keys, target if task == CLASSIFICATION else None)
-    # Label, index and vector stand apart from the given columns, which may be called the same.
-    encoded_train = encoder.encode(train_raw, [label.alias(LABEL)])
     # The test rows are scored several times, so they are indexed and written once.
     test_rows = dense_index(test_raw)
-    encoded_test = encoder.encode(test_rows, [col(test_rows.columns[-1]).alias(INDEX), label.alias(LABEL)])
+    index = test_rows.columns[-1]
+
+    def encoded(side: DataFrame, *more: Column) -> DataFrame:
+        """Label and vector, apart from the given columns, which may be called the same."""
+        if task != CLASSIFICATION:
+            return encoder.encode(side, [*more, as_double(target).alias(LABEL)])
+        name = free_name(side, "__label")
+        side = with_label(side, target, classes, n_classes, name)
+        return encoder.encode(side, [*more, col(name).alias(LABEL, metadata=side.schema[name].metadata)])
+
+    encoded_train = encoded(train_raw)
+    encoded_test = encoded(test_rows, col(index).alias(INDEX))
     n_train, n_test = train_raw.count(), test_rows.count()
     if not n_train or not n_test:
         raise ValueError("the split left one side empty; pass other split_keys")
@@ -378,31 +482,26 @@ def train(
     guessed = encoded_test.select(LABEL, F.lit(guess).alias("prediction"))
     if task == CLASSIFICATION:
         primary_name = "accuracy"
-        # Scores only need the few outcome counts; labels go back to text there.
-        named = F.array(*[F.lit(x) for x in labels])
-        texts = scored.select(
-            *[F.element_at(named, F.col(c).cast("int") + 1).alias(c) for c in (LABEL, "prediction")]
-        )
-        metrics = as_dict(classification_metrics(texts))
+        # Scores only need the few outcome counts; classes get their names back there.
+        metrics = as_dict(classification_metrics(scored))
         baseline = {"accuracy": _primary(guessed, task)}
-        matrix = confusion(texts)
+        matrix = with_class_names(confusion(scored), classes)
     else:
         primary_name = "R2"
         metrics = as_dict(regression_metrics(scored))
         against = as_dict(regression_metrics(guessed))
         baseline = {"r2": against["r2"], "mae": against["mae"]}
         matrix = None
-    ranked = importances(model, encoder.slots, top_importances)
-    top = encoder.slots.index(ranked[0][0]) if ranked else None
+    ranked, top = importances(model, encoder, top_importances)
     clean = metrics[primary_name.lower()]
     titles = {
         "noise": "noise of a tenth of the deviation",
         "zeroed": "a tenth of the values zeroed",
-        "shuffled": f'{ranked[0][0]} permuted' if ranked else "",
+        "shuffled": f"{encoder.slot_names([top])[top]} permuted" if top is not None else "",
     }
     stress = [
         (titles[key], _primary(model.transform(copy), task), clean)
-        for key, copy in perturb(encoded_test, len(encoder.slots), seed, top).items()
+        for key, copy in perturb(encoded_test, encoder.n_slots, seed, top).items()
     ]
     return {
         "task": task,
@@ -418,12 +517,12 @@ def train(
         "primary": {"name": primary_name, "model": clean, "baseline": baseline[primary_name.lower()]},
         "beats_baseline": clean > baseline[primary_name.lower()] + GATE_MARGIN,
         "confusion": matrix,
-        "importances": spark.createDataFrame(ranked, "feature string, value double"),
+        "importances": ranked,
         "leakage": leaks,
         "stress": spark.createDataFrame(stress, "name string, metric double, clean double"),
         "n_train": n_train,
         "n_test": n_test,
-        "n_features": len(encoder.slots),
+        "n_features": encoder.n_slots,
     }
 
 

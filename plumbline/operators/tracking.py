@@ -81,6 +81,16 @@ def best_runs(runs: DataFrame) -> DataFrame:
     ).orderBy(F.col("ts").desc(), F.col("id").desc())
 
 
+def contract_states(tables: list[str], summary: DataFrame, spark: SparkSession) -> DataFrame:
+    """(table, failed, errored) of every table that has a contract; null where it was not checked yet.
+
+    ``summary`` has a row for each table that was checked.
+    """
+    wanted = spark.createDataFrame([(t,) for t in tables], "name string")
+    met = wanted.join(summary, F.col("name") == F.col("table"), "left")
+    return met.select(F.col("name").alias("table"), "failed", "errored")
+
+
 def ship_gate(
     contracts: DataFrame | None = None,
     models: DataFrame | None = None,

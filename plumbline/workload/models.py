@@ -112,8 +112,36 @@ def encode(read):
     encoder = model.fit_encoder(rows, ["n_chars", "lang", "source"])
     cells = encoder.encode(rows).select(F.posexplode(vector_to_array("features")).alias("i", "v"))
     sums = cells.groupBy("i").agg(F.sum("v").alias("total"), F.count_if(F.col("v") != 0).alias("filled"))
-    names = F.array(*[F.lit(s) for s in encoder.slots])
-    return sums.select(F.element_at(names, F.col("i") + 1).alias("slot"), "total", "filled")
+    return sums.join(encoder.slot_table(), F.col("i") == F.col("slot")).select(F.col("feature").alias("slot"), "total", "filled")
+
+
+WIDE_ROWS = "(SELECT o_custkey::VARCHAR AS customer, CASE WHEN o_orderkey % 3 = 0 THEN 'one' ELSE o_orderkey::VARCHAR END AS code, o_totalprice FROM orders)"
+
+
+@query(
+    "model_encode_wide",
+    f"""SELECT 'o_totalprice' AS slot, 0::BIGINT AS place, count(*) AS filled FROM {WIDE_ROWS}
+ UNION ALL SELECT 'customer_' || customer, row_number() OVER (ORDER BY customer), count(*) FROM {WIDE_ROWS} GROUP BY customer
+ UNION ALL SELECT 'code_' || code, (SELECT count(DISTINCT customer) FROM {WIDE_ROWS}) + row_number() OVER (ORDER BY code), count(*)
+ FROM {WIDE_ROWS} GROUP BY code""",
+)
+def encode_wide(read):
+    """Levels nearly as many as rows, and one that a third of the rows share: slots are counted, not collected."""
+    code = F.when(F.col("o_orderkey") % 3 == 0, "one").otherwise(F.col("o_orderkey").cast("string")).alias("code")
+    rows = read("orders").select(F.col("o_custkey").cast("string").alias("customer"), code, "o_totalprice")
+    encoder = model.fit_encoder(rows, ["o_totalprice", "customer", "code"])
+    cells = encoder.parts(rows, []).select(F.explode("features.indices").alias("place"))
+    counts = cells.groupBy("place").agg(F.count(F.lit(1)).alias("filled"))
+    named = counts.join(encoder.slot_table(), F.col("place") == F.col("slot"))
+    return named.select(F.col("feature").alias("slot"), F.col("place").cast("bigint").alias("place"), "filled")
+
+
+@query("model_labels", "SELECT p_partkey, (dense_rank() OVER (ORDER BY p_type) - 1)::DOUBLE AS label FROM part")
+def labels(read):
+    """Classes numbered in a table of their own and met by a join."""
+    parts = read("part").select("p_partkey", "p_type")
+    classes, n = model.class_table(parts, "p_type")
+    return model.with_label(parts, "p_type", classes, n, "label").select("p_partkey", "label")
 
 
 def bucket_sql(key: str) -> str:
@@ -447,3 +475,20 @@ def ship_gate(read):
          > F.avg((F.col("label") == F.lit(common)).cast("double"))).alias("beats_baseline")
     )
     return tracking.ship_gate(contracts.unionAll(unchecked), scores, ab, rolled)
+
+
+@query(
+    "ship_gate_trained",
+    f"""SELECT issues, unchecked, true AS has_checks, CASE WHEN issues = 1 THEN '1 issue' WHEN issues > 1
+ THEN issues::VARCHAR || ' issues' WHEN unchecked > 0 THEN 'Checking…' ELSE 'Ship-ready' END AS label FROM (
+ SELECT ((SELECT sum(failed + errored) FROM ({summary_sql()}) WHERE "table" = 'nation')
+ + (SELECT count(*) FILTER (WHERE NOT r2 > baseline_r2 + 1e-9) FROM {_ols_sql("p_size, p_partkey")}))::BIGINT AS issues,
+ 1::BIGINT AS unchecked)""",
+)
+def ship_gate_trained(read):
+    """A contract that was checked, one that was not yet, and a model trained here."""
+    checked = summarize(all_results(read).where(F.col("table") == "nation"))
+    states = tracking.contract_states(["nation", "part"], checked, read.spark)
+    found = _price_model(read, ["p_size", "p_partkey"])
+    models = read.spark.createDataFrame([(found["beats_baseline"],)], "beats_baseline boolean")
+    return tracking.ship_gate(states, models)

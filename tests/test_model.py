@@ -205,3 +205,57 @@ def test_best_run_with_missing_scores_and_names(spark):
     from plumbline.operators import tracking
 
     assert {r.id: r.is_best for r in tracking.best_runs(runs).collect()} == {"a": True, "b": False, "c": False, "d": True}
+
+
+def test_a_million_levels_stay_off_the_driver(spark, monkeypatch):
+    """Slots are counted; the level of a third of all rows and the rare ones meet their slot in a join."""
+    monkeypatch.setattr(model, "BROADCAST_LEVELS", 1000)
+    code = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id").cast("string")))
+    df = spark.range(1_500_000).select(code.alias("code"), (F.col("id") % 2 == 0).alias("flag"), "id")
+    collected = []
+    real = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(rows := real(self)) or rows)
+    encoder = model.fit_encoder(df, ["id", "code", "flag"])
+    assert encoder.n_slots == 1 + 1_000_001 + 2 and max(map(len, collected)) < 100
+    cells = encoder.parts(df, []).select(F.explode("features.indices").alias("slot"))
+    per_slot = cells.groupBy("slot").count()
+    assert per_slot.count() == encoder.n_slots
+    top = per_slot.where("slot > 0").orderBy(F.desc("count")).limit(3).collect()
+    assert [r["count"] for r in top] == [750_000, 750_000, 500_000]
+    assert encoder.slot_names([0, top[2].slot]) == {0: "id", top[2].slot: "code_hot"}
+    vectors = encoder.encode(df.limit(10))
+    assert {(v.features.size, v.features.indices.size) for v in vectors.collect()} == {(encoder.n_slots, 3)}
+
+
+def test_unseen_levels_are_an_error(spark):
+    seen = spark.createDataFrame([("a",), ("b",)], "w string")
+    encoder = model.fit_encoder(seen, ["w"])
+    with pytest.raises(Exception, match="has not seen: c"):
+        encoder.encode(spark.createDataFrame([("c",)], "w string")).collect()
+
+
+def test_many_classes(spark):
+    kind = F.col("id") % 150
+    df = spark.range(6000).select("id", (kind % 12).alias("x"), F.floor(kind / 12).alias("z"), F.concat(F.lit("class"), kind.cast("string")).alias("y"))
+    found = model.train(df, "y", ["x", "z"], "tree", max_depth=12, split_keys=["id"])
+    assert found["task"] == "classification" and found["metrics"]["accuracy"] > 0.7
+    names = {r.actual for r in found["confusion"].collect()}
+    assert names == {f"class{i}" for i in range(150)}
+    with pytest.raises(ValueError, match="150 classes, more than max_classes"):
+        model.train(df, "y", ["x", "z"], "tree", max_classes=100, split_keys=["id"])
+
+
+def test_fifty_thousand_classes_are_counted_first(spark):
+    df = spark.range(100_000).select((F.col("id") % 50_000).cast("string").alias("y"), "id")
+    with pytest.raises(ValueError, match="50000 classes"):
+        model.train(df, "y", ["id"], "tree", split_keys=["id"])
+    classes, n = model.class_table(df, "y", max_classes=50_000)
+    labelled = model.with_label(df, "y", classes, n, "label")
+    assert labelled.agg(F.count_distinct("label")).first()[0] == n == 50_000
+    assert labelled.schema["label"].metadata["ml_attr"]["num_vals"] == 50_000
+
+
+def test_unchecked_contracts_are_found(spark):
+    summary = spark.createDataFrame([("a", 1, 0)], "table string, failed bigint, errored bigint")
+    states = tracking.contract_states(["a", "b"], summary, spark)
+    assert tracking.ship_gate(states).first()[:3] == (1, 1, True)
