@@ -30,6 +30,7 @@ from plumbline.plans.aggregates import (
     union_all,
     value_counts,
 )
+from plumbline.plans.comoments import pairwise_correlation
 from plumbline.plans.quantiles import quantiles
 from plumbline.plans.ranking import top_by_count
 
@@ -163,13 +164,16 @@ def correlation(df: DataFrame, columns: list[str] | None = None, complete: set[s
     """Pearson correlation of all (or the given) numeric columns, long form.
 
     Computed from covariance and the deviations over rows where both sides are
-    present; undefined pairs (no variance, too few rows) count as 0.
+    present; undefined pairs (no variance, too few rows) count as 0.  A few pairs are
+    one compiled aggregate; more are blocks of co-moments, also in one scan.
     ``complete`` names columns known to hold no nulls: pairs of them share one
     deviation per column.
     """
     names = [n for n in numeric_columns(df) if columns is None or n in columns]
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], CORRELATION_SCHEMA)
+    if len(names) * (len(names) - 1) // 2 > PAIRS_PER_PASS:
+        return _wide_correlation(df, names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     full = complete or set()
     exprs = {(a, b): guarded_correlation(as_double(a), as_double(b), {a, b} <= full) for a, b in pairs}
@@ -180,6 +184,16 @@ def correlation(df: DataFrame, columns: list[str] | None = None, complete: set[s
     return df.sparkSession.createDataFrame(rows, CORRELATION_SCHEMA)
 
 
+def _wide_correlation(df: DataFrame, names: list[str]) -> DataFrame:
+    """All pairs in one scan, from blocks of co-moments."""
+    found = pairwise_correlation(df, names)
+    a, b, r = (F.col(c) for c in ("a", "b", "r"))
+    cells = F.array(F.struct(a.alias("i"), b.alias("j"), r.alias("r")), F.struct(b.alias("i"), a.alias("j"), r.alias("r")))
+    both = found.where("a < b").select(F.inline(cells))
+    own = found.where("a = b").select(a.alias("i"), b.alias("j"), F.lit(1.0).alias("r"))
+    return both.unionAll(own).select(name_lookup(names, F.col("i")).alias("a"), name_lookup(names, F.col("j")).alias("b"), "r")
+
+
 def guarded_correlation(a: Column, b: Column, complete: bool = False) -> Column:
     """Correlation that is 0 where ``corr`` would divide by zero."""
     spread_a = F.stddev_samp(a if complete else F.when(b.isNotNull(), a))

@@ -313,6 +313,37 @@ def correlation_wide(read):
     return rounded(profile.correlation(wide), 6, "r")
 
 
+# Forty columns of a few sources: powers and mixtures, some with nulls, one constant.
+MANY_BASES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+MANY = {
+    f"m{i:02d}": (
+        f"CASE WHEN l_linenumber % {i % 7 + 2} <> 0 THEN {MANY_BASES[i % 5]} * {i + 1} + {MANY_BASES[(i * 3 + 1) % 5]} * (l_partkey % {i + 2}) END"
+        if i % 4
+        else f"{MANY_BASES[i % 5]} + {MANY_BASES[(i + 2) % 5]} * (l_suppkey % {i + 3})"
+    )
+    for i in range(39)
+} | {"m39": "1"}
+MANY_TABLE = "(SELECT " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in MANY.items()) + " FROM lineitem)"
+
+
+def _many_sql() -> str:
+    """All correlations in one aggregate, turned into rows."""
+    names = list(MANY)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    sums = ", ".join(f"round(coalesce(nullif(corr({a}, {b}), 'nan'::DOUBLE), 0), 6) AS {a}_{b}" for a, b in pairs)
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""WITH sums AS MATERIALIZED (SELECT {sums} FROM {MANY_TABLE}),
+ long AS MATERIALIZED (SELECT pair[1:3] AS a, pair[5:7] AS b, r FROM (FROM sums) UNPIVOT (r FOR pair IN (COLUMNS(*))))
+ SELECT a, b, r FROM long UNION ALL SELECT b, a, r FROM long UNION ALL SELECT c, c, 1.0 FROM (SELECT unnest([{listed}]) AS c)"""
+
+
+@query("profile_correlation_many", _many_sql())
+def correlation_many(read):
+    """Forty columns in one scan."""
+    many = read("lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {n}" for n, e in MANY.items()])
+    return rounded(profile.correlation(many), 6, "r")
+
+
 LONG_TEXTS = {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "benchmark": ["item_id", "text"], "embeddings": ["vec_id", "embedding", "label"]}
 
 

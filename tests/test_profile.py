@@ -151,3 +151,52 @@ def test_all_numeric_columns_are_correlated(spark):
     df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"n{i}") for i in range(12)])
     found = profile.correlation(df).collect()
     assert len(found) == 144 and all(abs(r.r - 1) < 1e-9 for r in found)
+
+
+def test_three_hundred_columns_in_one_scan(spark):
+    """All pairs over rows where both are present, as numpy has them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import profile
+
+    n = 300
+    rng = np.random.default_rng(7)
+    mix = rng.normal(size=(4, n))
+    values = rng.normal(size=(700, 4)) @ mix + rng.normal(size=(700, n)) + 1e6 * rng.integers(0, 3, n)
+    values[rng.random(values.shape) < 0.1] = np.nan
+    values[:, 5], values[:, 6] = 0.1, np.nan
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in values]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(n))).repartition(9)
+    found = {(r.a, r.b): r.r for r in profile.correlation(df).collect()}
+    assert len(found) == n * n and all(found[f"c{i}", f"c{i}"] == 1 for i in range(n))
+    for i, j in [(0, 1), (3, 250), (130, 131), (299, 0), (127, 128), (255, 256), *rng.integers(0, n, (200, 2))]:
+        if i == j:
+            continue
+        both = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+        x, y = values[both, i], values[both, j]
+        wanted = 0.0 if len(x) < 2 or x.std() < 1e-12 or y.std() < 1e-12 else np.corrcoef(x, y)[0, 1]
+        assert abs(found[f"c{i}", f"c{j}"] - wanted) < 1e-9, (i, j)
+    pairs = df.select(*[F.corr(f"c{i}", f"c{i + 7}").alias(str(i)) for i in range(10, 60)]).first()
+    assert all(abs(found[f"c{i}", f"c{i + 7}"] - pairs[str(i)]) < 1e-9 for i in range(10, 60))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 70])
+def test_wide_correlation_edges(spark, parts, monkeypatch):
+    from plumbline.operators import profile
+    from plumbline.plans import comoments
+
+    monkeypatch.setattr(comoments, "BLOCK", 3)
+    monkeypatch.setattr(comoments, "FAN_IN", 4)
+    names = [f"c{i}" for i in range(10)]
+    exprs = [f"cast(id * {i + 1} % 17 AS double) AS c{i}" for i in range(5)]
+    exprs += ["double('NaN') AS c5", "cast(null AS double) AS c6", "0.1D AS c7", "if(id = 3, double('Infinity'), id) AS c8", "if(id % 2 = 0, 0.1D, id) AS c9"]
+    df = spark.range(200).selectExpr(*exprs).repartition(parts)
+    found = {(r.a, r.b): r.r for r in profile.correlation(df).collect()}
+    monkeypatch.setattr(profile, "PAIRS_PER_PASS", 100)
+    native = {(r.a, r.b): r.r for r in profile.correlation(df).collect()}
+    assert set(found) == set(native) == {(a, b) for a in names for b in names}
+    for pair, r in native.items():
+        assert (r != r and found[pair] != found[pair]) or abs(r - found[pair]) < 1e-9, pair
+    empty = {(r.a, r.b): r.r for r in profile.correlation(df.limit(0)).collect()}
+    assert empty == {(a, b): float(a == b) for a in names for b in names}
