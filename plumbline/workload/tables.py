@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from plumbline.operators.temporal import asof_join, band_join
 from plumbline.plans.durable import scratch_path
 from plumbline.sources import io
 from plumbline.sources.workspace import Workspace, run_python
-from plumbline.workload.registry import query, rounded
+from plumbline.workload.registry import ORACLES, query, rounded
 
 PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
 
@@ -91,6 +94,96 @@ def python_transform(read):
     return rounded(run_python(read.spark, step), 4, "total", "spread")
 
 
+@query(
+    "python_groups",
+    """SELECT user_id, n, round(CASE WHEN spread > 0 THEN slope END, 6) AS slope, round(middle, 4) AS middle FROM (
+ SELECT user_id, count(*) AS n, regr_slope(value, event_id) AS slope, var_pop(event_id) AS spread, median(value) AS middle
+ FROM events GROUP BY user_id)""",
+)
+def python_groups(read):
+    """pandas code over all rows of each user."""
+
+    def trend(rows):
+        x, y = rows["event_id"].astype(float), rows["value"].astype(float)
+        dx = x - x.mean()
+        spread = float((dx * dx).sum())
+        slope = float((dx * (y - y.mean())).sum()) / spread if spread > 0 else None
+        return pd.DataFrame({"n": [len(rows)], "slope": pd.Series([slope], dtype="float64"), "middle": [float(y.median())]})
+
+    def step(ws: Workspace):
+        return ws.publish("trends", ws.apply("events", ["user_id"], trend, "n bigint, slope double, middle double"))
+
+    read("events").select("user_id", "event_id", "value").createOrReplaceTempView("events")
+    found = run_python(read.spark, step)
+    found = found.withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
+    return rounded(found, 6, "slope").withColumn("middle", F.round("middle", 4))
+
+
+@query(
+    "python_groups_hot",
+    """SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS deviation,
+ count(DISTINCT user_id) AS users FROM events GROUP BY event_type""",
+)
+def python_groups_hot(read):
+    """pandas code over slices of a few huge groups: moments, and the set of users."""
+
+    def partial(rows):
+        per_user = rows.groupby("user_id")["value"]
+        found = pd.DataFrame({"n": per_user.count(), "total": per_user.sum(), "square": per_user.apply(lambda v: float((v * v).sum()))})
+        return found.reset_index()
+
+    def merge(rows):
+        return rows.groupby("user_id", as_index=False)[["n", "total", "square"]].sum()
+
+    def finish(rows):
+        n, total, square = rows["n"].sum(), rows["total"].sum(), rows["square"].sum()
+        deviation = np.sqrt(max(square - total * total / n, 0.0) / (n - 1)) if n > 1 else None
+        return pd.DataFrame({"n": [n], "mean": [total / n], "deviation": [deviation], "users": [len(rows)]})
+
+    read("events").select("event_type", "user_id", "value").createOrReplaceTempView("events")
+    parts, out = "user_id bigint, n bigint, total double, square double", "n bigint, mean double, deviation double, users bigint"
+    found = run_python(read.spark, lambda ws: ws.combine("events", ["event_type"], partial, merge, finish, parts, out, 20_000))
+    return rounded(found, 4, "mean", "deviation")
+
+
+SHOWN = ["customer", "events", "nation", "orders"]
+
+
+@query(
+    "workspace_tables",
+    "\nUNION ALL\n".join(
+        f"""SELECT '{t}' AS "table", (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS columns,
+ (SELECT string_agg(column_name, ',' ORDER BY ordinal_position) FROM information_schema.columns WHERE table_name = '{t}')
+ AS names, (SELECT count(*) FROM {t}) AS n"""
+        for t in SHOWN
+        if t != "nation"
+    ),
+)
+def workspace_tables(read):
+    """Publish tables, drop one, and list, describe and count those that are left."""
+    ws = Workspace(read.spark)
+    for table in SHOWN:
+        ws.publish(f"shown_{table}", read(table))
+    ws.drop("shown_nation")
+    left = sorted(t for t in ws.tables() if t.startswith("shown_"))
+    rows = []
+    for name in left:
+        described = ws.describe(name)
+        rows.append((name.removeprefix("shown_"), len(described), ",".join(c for c, _ in described), ws.count(name)))
+        ws.drop(name)
+    return read.spark.createDataFrame(rows, '"table" string, columns bigint, names string, n bigint'.replace('"', "`"))
+
+
+@query(
+    "sanitize_names",
+    r"""SELECT page_id, CASE WHEN base = '' THEN 'dataset' WHEN regexp_matches(base, '^[0-9]') THEN '_' || base ELSE base END AS name
+ FROM (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '\.[^.]+$', ''), '[^A-Za-z0-9_]', '_', 'g') AS base FROM pages)""",
+)
+def sanitize_names(read):
+    """View names for the addresses of pages."""
+    return read("pages").select("page_id", io.sanitized(F.coalesce("url", F.lit(""))).alias("name"))
+
+
 # -- plain SQL: the text goes to Spark as it is --------------------------------
 
 
@@ -316,3 +409,37 @@ sql_query(
     """SELECT label, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS norm
  FROM embeddings GROUP BY label""",
 )
+
+
+@query("asof_join", ORACLES["sql_asof_rewrite"])
+def asof(read):
+    """The latest earlier view of every purchase, without slices written by hand."""
+    events = read("events")
+    return asof_join(
+        events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase")),
+        events.where("event_type = 'view'").select("user_id", "ts", "event_id"),
+        by=["user_id"],
+        left_on="ts",
+        right_on="ts",
+        columns={"last_view": "event_id"},
+        tie=["event_id"],
+        left_tie=["purchase"],
+    ).select("user_id", "purchase", "last_view")
+
+
+@query("band_join", ORACLES["sql_join_range"])
+def band(read):
+    """The events in the hour after each sign-up."""
+    events = read("events")
+    return band_join(
+        events.where("event_type = 'signup'"),
+        events,
+        by=["user_id"],
+        left_on="ts",
+        right_on="ts",
+        lower=0,
+        upper=3600,
+        left_columns={"user_id": "user_id", "signup": "event_id"},
+        right_columns={"event_id": "event_id"},
+        closed="right",
+    )
