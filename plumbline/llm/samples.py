@@ -46,10 +46,3 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, allowed
     rows = rows.groupBy("doc_id").agg(F.max(label).alias("_label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), "_label")
     return _features(docs, rows)
-
-
-def unlabelled(docs: DataFrame, limit: int, allowed: Column) -> np.ndarray:
-    """Features of at most ``limit`` documents, those with the smallest hash of their id."""
-    ids = docs.where(allowed).select(F.col("doc_id").alias("_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(limit).withColumn("_label", F.lit(0))
-    return _features(docs, ids)[0]

@@ -150,6 +150,66 @@ def test_risk_stays_non_negative_and_finds_the_classes():
     assert (model.score(bad) < 0.3).mean() > 0.98
 
 
+def slow_risk(weights, xp, xu, prior):
+    """The non-negative risk, document by document."""
+    w1, b1, w2, b2 = weights
+
+    def mean_loss(rows, toward):
+        total = 0.0
+        for x in rows:
+            z = sum(math.tanh(sum(a * w for a, w in zip(x, w1[:, k])) + b1[k]) * w2[k] for k in range(len(w2))) + b2[0]
+            total += 1 / (1 + math.exp(toward * z))
+        return total / len(rows)
+
+    below = mean_loss(xu, -1) - prior * mean_loss(xp, -1)
+    return prior * mean_loss(xp, 1) + max(0.0, below), below
+
+
+def test_risk_and_gradient_by_definition():
+    rng = np.random.default_rng(11)
+    xp, xu = rng.normal(0.3, 1, (40, 3)), rng.normal(-0.3, 1, (90, 3))
+    weights = [w + 0.1 for w in pulearn.start(3, 5)]
+    lowest = min(xp.tolist(), key=lambda x: slow_risk(weights, [x], [x], 0.0)[1])
+    signs = set()
+    for u, prior in ((xu, 0.2), (xu, 0.9), (np.array([lowest]), 0.99)):
+        grads, risk = pulearn.risk_gradient(weights, xp, u, prior)
+        slow, below = slow_risk(weights, xp, u, prior)
+        signs.add(below >= 0)
+        assert risk == pytest.approx(slow, abs=1e-12)
+        for i, g in enumerate(grads):
+            for at in list(np.ndindex(g.shape))[::5]:
+                moved = [w.copy() for w in weights]
+                moved[i][at] += 1e-6
+                now = slow_risk(moved, xp, u, prior)
+                # Below zero the negative part is driven up.
+                slope = (now[0] - slow) / 1e-6 if below >= 0 else -(now[1] - below) / 1e-6
+                assert g[at] == pytest.approx(slope, abs=1e-5)
+    assert signs == {True, False}
+
+
+def test_every_allowed_document_takes_part(spark, monkeypatch):
+    """Mean, scale and weights as from all documents at hand, and many tasks agree on the classes."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["the", "of", "a", "cat"], k=rng.randint(20, 60))) if i % 3 else "### " * rng.randint(5, 40), "en", "s") for i in range(600)]
+    docs = docs_of(spark, rows).repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 600, 7)], "doc_id bigint, quality int")
+    model = pulearn.train(docs, labels, F.col("doc_id") != 5)
+    hashes = WordHashes()
+    x = np.array([stats.counts(t.encode(), hashes)[1] for i, t, *_ in rows if i != 5])
+    good = np.array([stats.counts(rows[i][1].encode(), hashes)[1] for i in range(0, 600, 7) if i % 3])
+    assert model.mean == pytest.approx(x.mean(0), rel=1e-8, abs=1e-12) and model.scale == pytest.approx(x.std(0) + 1e-9, rel=1e-8, abs=1e-12)
+    p, u = (pulearn.scaled(v, model.mean, model.scale) for v in (np.array(sorted(map(tuple, good))), x))
+    weights = pulearn.start(12)
+    prior = len(good) / len(range(0, 600, 7))
+    for turn in range(pulearn.ROUNDS):
+        weights = pulearn.improve(weights, p, u[np.lexsort(u.T)], prior, pulearn.PASSES, [0, turn, 0])
+    for mine, theirs in zip(model.weights, weights):
+        assert mine == pytest.approx(theirs, abs=1e-9)
+    monkeypatch.setattr(pulearn, "TASK_ROWS", 100)
+    spread = pulearn.train(docs, labels, F.lit(True))
+    assert all((s > 0.7) == bool(i % 3) for i, s in pulearn.score(docs, spread, ["doc_id"]).collect())
+
+
 def slow_base(text):
     text = text or ""
     split = lambda s: [w for w in re.split("[\x20\x09-\x0d]+", s) if w]
