@@ -248,7 +248,9 @@ class WarcReader(DataSourceReader):
         for f in filters:
             name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
             if name in self.PUSHED:
-                self.tests.append((name, frozenset(f.value if isinstance(f, In) else [f.value])))
+                # Nothing equals a null, so it is no value to look for.
+                values = f.value if isinstance(f, In) else [f.value]
+                self.tests.append((name, frozenset(v for v in values if v is not None)))
             else:
                 yield f
 

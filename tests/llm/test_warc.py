@@ -98,6 +98,26 @@ def test_unwanted_payloads_are_not_inflated(monkeypatch):
     assert read < len(data) / 2
 
 
+@pytest.mark.parametrize(
+    "condition, n",
+    [
+        ("refers_to IN ('<urn:page:2>', NULL)", 1),
+        ("refers_to = NULL", 0),
+        ("refers_to IN (NULL)", 0),
+        ("refers_to <=> NULL", 3),
+        ("refers_to NOT IN ('<urn:page:2>', NULL)", 0),
+        ("refers_to IS NULL", 3),
+        ("record_type = 'revisit' AND refers_to = '<urn:page:2>'", 1),
+    ],
+)
+def test_nulls_in_pushed_filters(spark, condition, n):
+    html = "x" * 2000
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", html), (3, "v", "short"), (4, "v", None)], "page_id bigint, url string, html string")
+    folder = scratch_path(spark, "warc-nulls")
+    warc.write(warc.records(pages), folder)
+    assert warc.read(spark, folder).where(condition).count() == n
+
+
 def test_empty_table(spark, pages):
     folder = scratch_path(spark, "warc-test")
     warc.write(warc.records(pages.limit(0)), folder)
