@@ -169,7 +169,8 @@ def plan_rebuilt(rows: DataFrame) -> DataFrame:
     own = rows.groupBy("conv_id").agg(F.max("pos").alias("n"), F.sort_array(F.collect_list(head)).alias("heads"))
     base = own.select(F.col("conv_id").alias("base"), F.col("heads").alias("base_heads"))
     c = F.col("conv_id")
-    own = own.withColumn("_base", F.when(c % FAMILY != 0, c - c % FAMILY))
+    # The first of a family takes nothing, but it looks for itself: nulls would all meet in one task.
+    own = own.withColumn("_base", c - c % FAMILY)
     drawn = F.when(c % FAMILY == 0, F.lit(0)).otherwise(F.crc32(c.cast("string").cast("binary")) % HEADS).cast("int")
     plan = own.withColumn("h", drawn).join(base, F.col("_base") == F.col("base"), "left")
     taken = F.least("h", F.coalesce(F.size("base_heads"), F.lit(0))).cast("int")
