@@ -16,23 +16,30 @@ from plumbline.functions.significance import chi_square_p, normal_two_sided, stu
 # which unequal group sizes count as a broken assignment.
 INTERVAL_Z = 1.96
 RATIO_ALPHA = 0.001
+# Variants that a test may have: their summary goes through the driver.
+MAX_VARIANTS = 10_000
 
 
 def ab_variants(df: DataFrame, variant: str, metric: str, control: str | None = None) -> DataFrame:
     """(variant, n, share, mean, std, is_control) per variant.
 
-    Rows without a variant or metric are ignored.  The control is the named
-    variant if it occurs, otherwise the first one by string order.
+    Rows without a variant or metric are ignored, and so are those whose metric is
+    not a number: one of them would leave no figure of its variant, nor any comparison.
+    The control is the named variant if it occurs, otherwise the first one by string
+    order.  More than ``MAX_VARIANTS`` variants are an error.
     """
-    usable = df.where(col(variant).isNotNull() & col(metric).isNotNull())
     value = as_double(metric)
+    usable = df.where(col(variant).isNotNull() & value.isNotNull() & ~F.isnan(value))
     summary = usable.groupBy(as_text(df, variant).alias("variant")).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(value).alias("mean"),
         F.sqrt(F.greatest(F.coalesce(F.var_samp(value), F.lit(0.0)), F.lit(0.0))).alias("std"),
     )
     # One row per variant: few enough to come to the driver and back instead of being computed thrice.
-    summary = df.sparkSession.createDataFrame(summary.collect(), summary.schema)
+    rows = summary.limit(MAX_VARIANTS + 1).collect()
+    if len(rows) > MAX_VARIANTS:
+        raise ValueError(f"{variant} has more than {MAX_VARIANTS} variants")
+    summary = df.sparkSession.createDataFrame(rows, summary.schema)
     named = F.max(F.when(F.col("variant") == F.lit(control), F.col("variant")))
     chosen = summary.agg(F.coalesce(named, F.min("variant"))).scalar()
     total = summary.agg(F.sum("n")).scalar()

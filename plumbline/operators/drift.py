@@ -54,6 +54,7 @@ def _stats(base: DataFrame, cur: DataFrame, numeric: list[str], categorical: lis
     exprs: dict[object, Column] = {"rows": F.count(F.lit(1))}
     for n in numeric:
         exprs |= {("nulls", n): F.count_if(as_double(n).isNull()), ("mean", n): F.avg(as_double(n))}
+        exprs |= {("min", n): F.min(as_double(n)), ("max", n): F.max(as_double(n))}
     exprs |= {("nulls", n): F.count_if(col(n).isNull()) for n in categorical}
     return [one_row(side, exprs) for side in (base, cur)]
 
@@ -221,7 +222,7 @@ def _report_rows(
     index = {r.column: r for r in numeric_index(bin_counts(base, cur, edges)).collect()} if numeric else {}
     for n in numeric:
         psi, ks = (index[n].psi, index[n].ks) if n in index else (0.0, 0.0)
-        rows.append((n, "numeric", psi, None, *_rates(stats, n), _mean_shift(stats, n), ks, None, None, None))
+        rows.append((n, "numeric", psi, None, *_rates(stats, n), _mean_shift(stats, n), ks, None, None, _one_value(stats, n)))
     if categorical:
         counts = category_counts(base, cur, categorical)
         index = {r.column: r for r in categorical_index(counts, listed).collect()}
@@ -232,6 +233,13 @@ def _report_rows(
     return rows, [side["rows"] for side in stats]
 
 
+def _one_value(stats: list[dict], name: str) -> str | None:
+    """Deciles of a constant cannot tell larger values from it; such a column is named."""
+    base, cur = ((side["min", name], side["max", name]) for side in stats)
+    constant = base[0] is not None and base[0] == base[1]
+    return "the baseline has one value only" if constant and cur[0] is not None and cur != base else None
+
+
 def _clash(cur: DataFrame, name: str) -> str | None:
     """Why a current column can never be read as the baseline's numbers."""
     kind = cur.schema[name].dataType

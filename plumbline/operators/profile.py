@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     NUMERIC,
@@ -75,7 +76,7 @@ def _stats_rows(df: DataFrame, approx: bool) -> list[tuple]:
     numeric = numeric_columns(df)
     # Narrow tables need a single pass for all of it.
     seen = one_row(df, presence(df) | {k: e for n in numeric for k, e in moments(n).items()})
-    distinct = count_distinct(df, df.columns, approx, long_text(seen))
+    distinct = count_distinct(df, df.columns, approx, long_text(seen), {n: (seen["min", n], seen["max", n]) for n in numeric})
     quartile = quantiles(df, numeric, QUARTILES, distinct, approx)
     total = seen["rows"]
     rows = []
@@ -93,8 +94,10 @@ def _stats_rows(df: DataFrame, approx: bool) -> list[tuple]:
 
 def nulls_and_distinct(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, row_count, nulls, null_pct, distinct) without the numeric work."""
-    seen = one_row(df, presence(df))
-    distinct = count_distinct(df, df.columns, approx, long_text(seen))
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    limits = {(m, n): f(col(n)) for n in whole for m, f in (("min", F.min), ("max", F.max))}
+    seen = one_row(df, presence(df) | limits)
+    distinct = count_distinct(df, df.columns, approx, long_text(seen), {n: (seen["min", n], seen["max", n]) for n in whole})
     total = seen["rows"]
     rows = [
         (n, total, seen["nulls", n], 100.0 * seen["nulls", n] / total if total else 0.0, distinct[n])

@@ -6,10 +6,13 @@ of them need is written once and shared.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,9 @@ HUGE = 1e15
 PADDING = "  "
 UNICODE_SUFFIX = " 🦈—café—💥"
 
+# Attacks that run at a time.
+JOBS = 4
+
 REPORT_SCHEMA = (
     "attack string, label string, status string, input_rows bigint, output_rows bigint, schema_changed boolean,"
     " contract_failures int, duration_ms double, message string"
@@ -148,38 +154,65 @@ def stress_test(
     rules: list[Rule] | None = None,
     attacks: list[str] | None = None,
     order_by: list[str] | None = None,
+    jobs: int = JOBS,
 ) -> DataFrame:
     """Run every attack and grade it: ok, warning or error.
 
-    ``transform`` is a function of the input, or SQL text reading ``input``.
+    ``transform`` is a function of the input, or SQL text reading ``input``.  At most
+    ``jobs`` attacks run at a time, each in a scheduler pool of its own, so that a short
+    one need not wait for a long one (with ``spark.scheduler.mode`` FAIR, as
+    ``get_session`` sets it).  The transform itself is called for one attack after another.
     """
     run = sql_transform(transform) if isinstance(transform, str) else transform
+    spark = df.sparkSession
     chosen = [ATTACKS[k] for k in attacks or ATTACKS]
     rows = df.count()
     indexed = dense_index(df, order_by) if any(a.uses_index for a in chosen) else None
-    expected: list[str] | None = None
-    report = []
-    for attack in chosen:
+    one_at_a_time = threading.Lock()
+
+    def measured(attack: Attack) -> Outcome:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"stress-{attack.key}")
         started = time.monotonic()
-        grade, message = "ok", None
-        output_rows = failures = None
-        changed = False
+        found = Outcome()
         try:
-            out = run(apply_attack(df, attack.key, order_by, indexed))
-            output_rows, failed = _judge(out, rules or [])
-            if attack.key == "baseline":
-                expected = out.columns
-            elif expected is not None and out.columns != expected:
-                changed, grade, message = True, "warning", "output schema changed"
-            if rules:
-                failures = failed
-                if failed:
-                    grade, message = "warning", f"{failed} contract rule(s) failed"
+            with one_at_a_time:
+                out = run(apply_attack(df, attack.key, order_by, indexed))
+                found.columns = out.columns
+            found.rows, found.failed = _judge(out, rules or [])
         except Exception as error:  # a transform may raise anything
-            grade, message = "error", first_line(error)
-        elapsed = 1000.0 * (time.monotonic() - started)
-        report.append(
-            (attack.key, attack.label, grade, input_rows(attack.key, rows))
-            + (output_rows, changed, failures, elapsed, message)
-        )
-    return df.sparkSession.createDataFrame(report, REPORT_SCHEMA)
+            found.error = first_line(error)
+        found.duration_ms = 1000.0 * (time.monotonic() - started)
+        return found
+
+    with ThreadPoolExecutor(max(1, jobs)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(measured), attack) for attack in chosen]
+        outcomes = [s.result() for s in started]
+    expected = next((o.columns for a, o in zip(chosen, outcomes) if a.key == "baseline" and o.error is None), None)
+    report = [_graded(a, o, rows, expected, bool(rules)) for a, o in zip(chosen, outcomes)]
+    return spark.createDataFrame(report, REPORT_SCHEMA)
+
+
+@dataclass
+class Outcome:
+    """What a transform made of one attack."""
+
+    columns: list[str] | None = None
+    rows: int | None = None
+    failed: int = 0
+    error: str | None = None
+    duration_ms: float = 0.0
+
+
+def _graded(attack: Attack, found: Outcome, rows: int, expected: list[str] | None, has_rules: bool) -> tuple:
+    """A row of the report."""
+    grade, message, changed = "ok", None, False
+    if found.error is not None:
+        grade, message = "error", found.error
+    else:
+        if attack.key != "baseline" and expected is not None and found.columns != expected:
+            changed, grade, message = True, "warning", "output schema changed"
+        if has_rules and found.failed:
+            grade, message = "warning", f"{found.failed} contract rule(s) failed"
+    failures = found.failed if has_rules and found.error is None else None
+    size = input_rows(attack.key, rows)
+    return (attack.key, attack.label, grade, size, found.rows, changed, failures, found.duration_ms, message)

@@ -21,6 +21,10 @@ DISTINCT_GROUP = 4
 # digest of the whole value instead of the value.
 DIGEST_ABOVE = 128
 
+# Integers within so narrow a range are counted in bitmaps of 32 768 bits, and so many
+# bitmaps stay in a task's hash table at a time.
+BITMAP_BITS, BITMAPS = 1 << 15, 128
+
 PASS_WIDTH = 96
 
 
@@ -47,10 +51,20 @@ def count_distinct(
     columns: list[str],
     approx: bool = False,
     long_text: Iterable[str] = (),
+    extent: Mapping[str, tuple] | None = None,
 ) -> dict[str, int]:
-    """Distinct non-null values of each column (one job)."""
+    """Distinct non-null values of each column.
+
+    ``extent`` may give ``{column: (min, max)}`` of integer columns: those of a narrow
+    range shuffle one bit per value instead of the value.
+    """
     if not columns:
         return {}
+    if extent and not approx:
+        narrow = {n: int(extent[n][0]) for n in columns if _fits_bitmaps(df, n, extent.get(n))}
+        if narrow:
+            rest = [n for n in columns if n not in narrow]
+            return _count_in_bitmaps(df, narrow, extent) | count_distinct(df, rest, approx, long_text)
     digest = set(long_text)
 
     def key(name: str) -> Column:
@@ -70,6 +84,37 @@ def count_distinct(
     return {columns[r.i]: r.d for r in union_all(parts).collect()}
 
 
+def _fits_bitmaps(df: DataFrame, name: str, extent: tuple | None) -> bool:
+    if extent is None or extent[0] is None or not isinstance(df.schema[name].dataType, T.IntegralType):
+        return False
+    low, high = extent
+    # Beyond 2**53 a minimum that came as a double may be off.
+    return high - low < BITMAP_BITS * BITMAPS and max(abs(low), abs(high)) < 2**53
+
+
+def _count_in_bitmaps(df: DataFrame, lows: Mapping[str, int], extent: Mapping[str, tuple]) -> dict[str, int]:
+    """Distinct values by the bits they set; a few columns at a time, as their bitmaps fit a hash table (one job)."""
+    groups: list[list[str]] = [[]]
+    room = BITMAPS
+    for n, low in lows.items():
+        needed = 1 + (int(extent[n][1]) - low) // BITMAP_BITS
+        if needed > room and groups[-1]:
+            groups.append([])
+            room = BITMAPS
+        groups[-1].append(n)
+        room -= needed
+    names, parts = list(lows), []
+    for group in groups:
+        cells = {n: col(n).cast("bigint") - F.lit(lows[n]) + F.lit(1) for n in group}
+        place = melt(df, cells).select(
+            F.lit(names.index(group[0])) + F.col("column_id"), F.bitmap_bucket_number("value"), F.bitmap_bit_position("value")
+        )
+        bits = place.toDF("i", "bucket", "bit").groupBy("i", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        parts.append(bits.groupBy("i").agg(F.sum(F.bitmap_count("bits")).alias("d")))
+    found = {names[r.i]: r.d for r in union_all(parts).collect()}
+    return {n: found.get(n, 0) for n in names}
+
+
 def text_length(df: DataFrame, name: str) -> dict[object, Column]:
     """Average byte length of a plain string column, for choosing digests."""
     if not isinstance(df.schema[name].dataType, T.StringType):

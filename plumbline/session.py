@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Jobs that run at the same time share the cores.
+    "spark.scheduler.mode": "FAIR",
     # Aggregates of more than 100 buffer fields would otherwise not be compiled.
     "spark.sql.codegen.maxFields": "2000",
 }

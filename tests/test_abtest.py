@@ -115,3 +115,18 @@ def test_whole_test_and_its_errors(spark):
         abtest.ab_test(frame(spark, {"a": [1.0]}), "arm", "x")
     with pytest.raises(ValueError):
         abtest.ab_compare(result["variants"], "median")
+
+
+def test_a_metric_that_is_no_number_counts_as_missing(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", float("nan")), ("b", 3.0), ("b", 5.0), ("b", None)]
+    df = spark.createDataFrame(rows, "v string, m double")
+    found = abtest.ab_test(df, "v", "m")
+    assert {r.variant: (r.n, r.mean) for r in found["variants"].collect()} == {"a": (2, 1.5), "b": (2, 4.0)}
+    assert found["comparisons"].first().p_value < 1
+
+
+def test_too_many_variants_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(abtest, "MAX_VARIANTS", 5)
+    df = spark.range(60).selectExpr("cast(id % 6 AS string) AS v", "id AS m")
+    with pytest.raises(ValueError, match="more than 5 variants"):
+        abtest.ab_variants(df, "v", "m")

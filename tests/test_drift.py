@@ -133,3 +133,12 @@ def test_rollup_takes_the_worst_status(spark):
     row = drift.drift_rollup(df, spark.range(5), spark.range(7)).first()
     assert tuple(row) == (5, 7, 3, 1, "drift")
     assert drift.drift_rollup(df.where("psi < 0.2"), spark.range(5), spark.range(7)).first().overall == "warn"
+
+
+def test_a_constant_baseline_that_jumps_is_named(spark):
+    base, cur, same = (spark.createDataFrame([(v,)] * n, "x double") for v, n in ((1.0, 20), (9.0, 20), (1.0, 5)))
+    from plumbline.operators.drift import drift_report
+
+    assert drift_report(base, cur).first().note == "the baseline has one value only"
+    assert drift_report(base, same).first().note is None
+    assert drift_report(base, cur.limit(0)).first().note is None

@@ -118,3 +118,24 @@ def test_a_column_called_like_the_index(spark):
 
     nulls = apply_attack(df, "null_bomb", ["row_index"]).collect()
     assert sorted(map(tuple, nulls), key=str) == [(5, "a"), (7, "b"), (None, None)]
+
+
+def test_attacks_run_at_the_same_time(spark):
+    """The same report whatever the number of jobs, in less than the sum of their times."""
+    import time
+
+    def slow(rows):
+        for part in rows:
+            time.sleep(1.5)
+            yield part
+
+    df = spark.range(50).selectExpr("id", "cast(id AS string) AS t").coalesce(1)
+    transform = lambda d: d.coalesce(1).mapInPandas(slow, d.schema)
+    rules = [Rule("there", "not_null", "id")]
+    keys = ["baseline", "duplicates", "null_bomb", "whitespace", "unicode", "mixed_case"]
+    started = time.monotonic()
+    found = stress.stress_test(transform, df, rules, keys, jobs=6).collect()
+    wall, each = 1000 * (time.monotonic() - started), sum(r.duration_ms for r in found)
+    assert [r.attack for r in found] == keys and wall < 0.7 * each
+    alone = stress.stress_test(transform, df, rules, keys, jobs=1).drop("duration_ms").collect()
+    assert [tuple(r) for r in alone] == [tuple(x for n, x in r.asDict().items() if n != "duration_ms") for r in found]
