@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import charts, dictionary, profile
+from plumbline.operators import charts, dictionary, profile, profile_store
+from plumbline.plans.durable import scratch_path
 from plumbline.workload.registry import query, rounded, sql_union
 
 # The given tables hold no nulls, so one column gets some on both sides.
@@ -358,3 +359,33 @@ def long_and_nested(read):
     for part in parts[1:]:
         result = result.unionAll(part)
     return rounded(result, 6, "null_pct")
+
+
+EVENT_NUMBERS = ["event_id", "user_id", "value"]
+
+
+@query(
+    "profile_incremental",
+    sql_union(
+        f"""SELECT '{c}' AS "column", count(*) AS row_count, count(*) - count({c}) AS nulls, round(min({c})::DOUBLE, 4) AS min,
+ round(max({c})::DOUBLE, 4) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, true AS distinct_close,
+ true AS quartiles_close FROM events"""
+        for c in EVENT_NUMBERS
+    ),
+)
+def incremental(read):
+    """A table that is appended to twice: every file is sketched once, and the sketches come close to the exact figures."""
+    spark, events = read.spark, read("events").select(*EVENT_NUMBERS)
+    table, store = scratch_path(spark, "appended"), scratch_path(spark, "sketches")
+    for b in range(3):
+        events.where(F.col("event_id") % 3 == b).write.mode("append").parquet(table)
+        profile_store.update(spark, store, table)
+    exact = profile.column_stats(events).select("column", *[F.col(c).alias(f"x_{c}") for c in ("distinct", "p25", "p50", "p75")])
+    found = profile_store.profile(spark, store).join(exact, "column")
+    near = [F.abs(F.col(p) - F.col(f"x_{p}")) <= 0.05 * (F.col("max") - F.col("min")) for p in ("p25", "p50", "p75")]
+    found = found.select(
+        "column", "row_count", "nulls", "min", "max", "mean", "std",
+        (F.abs(F.col("distinct") - F.col("x_distinct")) <= 0.1 * F.col("x_distinct")).alias("distinct_close"),
+        (near[0] & near[1] & near[2]).alias("quartiles_close"),
+    )
+    return rounded(found, 4, "min", "max", "mean", "std")

@@ -217,3 +217,29 @@ def test_distinct_integers_by_bitmaps(spark, monkeypatch):
     assert counted == [["low", "few", "gaps", "t", "one"]] * 2
     empty = df.limit(0)
     assert {r.distinct for r in profile.nulls_and_distinct(empty).collect()} == {0}
+
+
+def test_appended_files_only_are_read(spark, tmp_path):
+    from plumbline.operators import profile_store
+
+    table, store = str(tmp_path / "table"), str(tmp_path / "store")
+    part = lambda a, b: spark.range(a, b).selectExpr("id", "if(id % 5 = 0, null, id / 7.0D) AS x", "concat('t', id % 40) AS t", "cast(null AS double) AS none", "id % 2 = 0 AS flag", "array(id % 3) AS l")
+    part(0, 3000).coalesce(1).write.parquet(table)
+    assert profile_store.update(spark, store, table) == 1 and profile_store.update(spark, store, table) == 0
+    part(3000, 4000).coalesce(2).write.mode("append").parquet(table)
+    assert profile_store.update(spark, store, table) == 2
+    assert spark.read.parquet(store).select("file").distinct().count() == 3
+    mine = {r.column: r for r in profile_store.profile(spark, store).collect()}
+    exact = {r.column: r for r in profile.column_stats(spark.read.parquet(table)).collect()}
+    assert list(mine) == list(exact)
+    for name, e in exact.items():
+        m = mine[name]
+        assert (m.kind, m.physical_type, m.row_count, m.nulls) == (e.kind, e.physical_type, e.row_count, e.nulls)
+        assert abs(m.distinct - e.distinct) <= 0.06 * e.distinct
+        for f in ("null_pct", "min", "max", "mean", "std"):
+            assert m[f] == (None if e[f] is None else pytest.approx(e[f], rel=1e-9)), (name, f)
+        for f in ("p25", "p50", "p75"):
+            assert (m[f] is None) == (e[f] is None) and (m[f] is None or abs(m[f] - e[f]) <= 0.05 * (e.max - e.min))
+    first = [f for f in spark.read.parquet(table).inputFiles()][:1]
+    assert profile_store.profile(spark, store, first).first().row_count in (500, 3000)
+    assert profile_store.profile(spark, str(tmp_path / "no store")).count() == 0
