@@ -1,15 +1,18 @@
 """Encode and decode whole texts with a given word-level BPE vocabulary.
 
 The vocabulary file is read on the driver from a path that the caller names and
-sent to the workers once (1.7 MB).  A text is split at special tokens, normalised
-and cut into words as the file says.  The distinct words that a worker has not
+sent to the workers once (1.7 MB).  A batch is cut into distinct words in Arrow
+(``distinct.py``); those that are more than letters and punctuation are split at special
+tokens, normalised and cut as the file says.  The words that a worker has not
 seen lately are merged together: each word is a row of a rank array that holds its
 parts and, next to each, the rank of merging it with the part to its right.  One
 step takes the smallest rank of every row, deletes that boundary and looks up the
 two ranks beside it.  Words too long for that use the same rule with a heap.
 
-Null text is encoded like empty text: no ids.  Repeated rows are encoded alike.
-Bytes that are not UTF-8 count as U+FFFD.
+Null text is encoded like empty text: no ids.  Very long texts are a batch of their own.
+Repeated rows are encoded alike; there is nothing to tie.  An empty table gives an empty
+result.  Bytes that are not UTF-8 count as U+FFFD.  Columns to keep travel as
+``k_<name>``, so they may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
+from plumbline.llm.distinct import DistinctWords
 from plumbline.llm.text import map_texts
 
 #: Words of up to so many bytes are merged in the rank array.
@@ -68,7 +72,7 @@ LOWER = _newer_capitals()
 NEWER = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
 
 
-def _byte_characters() -> list[str]:
+def byte_characters() -> list[str]:
     """The printable stand-in of each byte: itself if printable in Latin-1, else the next code point from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     spare = iter(range(256, 512))
@@ -94,7 +98,7 @@ class WordBpe:
         self.tokens = [""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in [*vocab.items(), *added.items()]:
             self.tokens[i] = token
-        chars = _byte_characters()
+        chars = byte_characters()
         self.inner = np.array([vocab[c] for c in chars], np.int32)
         self.last = np.array([vocab[c + self.suffix] for c in chars], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -213,15 +217,15 @@ class WordBpe:
                 refresh(before[i])
         return np.array([p for p, live in zip(part, alive) if live], "<u4").tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        """Encode words that are not known yet."""
+    def merged_words(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of normalised words."""
         coded = sorted(((w, w.encode()) for w in new), key=lambda x: len(x[1]))
         short = [x for x in coded if len(x[1]) <= SHORT]
+        found: dict[str, bytes] = {}
         for k in range(0, len(short), ROWS):
             part = short[k : k + ROWS]
-            self.known.update(zip([w for w, _ in part], self._merge_rows([b for _, b in part])))
-        for w, b in coded[len(short) :]:
-            self.known[w] = self._merge_long(b)
+            found.update(zip([w for w, _ in part], self._merge_rows([b for _, b in part])))
+        return found | {w: self._merge_long(b) for w, b in coded[len(short) :]}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -236,7 +240,7 @@ class WordBpe:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = used
-        self.learn(new)
+        self.known |= self.merged_words(list(new))
         of = self.known.__getitem__
         return [
             b"".join(b"".join(map(of, p)) if isinstance(p, list) else np.array([p], "<u4").tobytes() for p in parts)
@@ -247,9 +251,24 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class RankIds(DistinctWords):
+    """Ids of texts by rank arrays over their new pieces."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
+        super().__init__()
+
+    def of_pieces(self, new: list[str]) -> list[bytes]:
+        found = self.bpe.merged_words(new)
+        return [found[p] for p in new]
+
+    def of_words(self, new: list[str]) -> list[bytes]:
+        return self.bpe.encode_batch(new)
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(content: str) -> WordBpe:
-    return WordBpe(content)
+def _tokenizer(content: str) -> RankIds:
+    return RankIds(WordBpe(content))
 
 
 def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -271,16 +290,16 @@ def _run(docs: DataFrame, vocabulary: str, keep: tuple[str, ...], text: str, dig
     outputs = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string"
 
     def run(batch) -> dict:
-        bpe = _tokenizer(content.value)
-        texts = [(t or b"").decode("utf-8", "replace") for t in batch.column("_text").to_pylist()]
-        coded = bpe.encode_batch(texts)
-        out = {f"k_{c}": batch.column(f"k_{c}") for c in keep} | {"n_tokens": [len(c) // 4 for c in coded]}
+        ranks = _tokenizer(content.value)
+        coded = ranks.encode(batch.column("_text"))
+        decoded = coded.decoded(ranks.bpe.tokens)
+        out = {f"k_{c}": batch.column(f"k_{c}") for c in keep} | {"n_tokens": np.diff(coded.stops, prepend=0)}
         if digests:
-            out["ids_sha256"] = [hashlib.sha256(c).hexdigest() for c in coded]
-            out["decoded_sha256"] = [hashlib.sha256(bpe.decode(c).encode()).hexdigest() for c in coded]
+            out["ids_sha256"] = [hashlib.sha256(coded.of(i).tobytes()).hexdigest() for i in range(len(coded))]
+            out["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
         else:
-            out["ids"] = [np.frombuffer(c, "<u4").astype(np.int64) for c in coded]
-            out["decoded"] = [bpe.decode(c) for c in coded]
+            out["ids"] = [coded.of(i).astype(np.int64) for i in range(len(coded))]
+            out["decoded"] = decoded
         return out
 
     given = docs.select(*[docs[c].alias(f"k_{c}") for c in keep], docs[text].alias("_text"))

@@ -153,9 +153,9 @@ def encoded(docs: DataFrame, vocabulary: str, keep: tuple[str, ...], text: str,
         out: dict = {"width": [width] * batch.num_rows, "n": [], "ids": []}
         points = np.zeros((batch.num_rows, curve.matrix.shape[1]))
         end = np.array([end_id], "<u4")
-        all_ids, stops = words.encode(batch.column("_text"))
-        for i, (start, stop) in enumerate(zip(np.r_[0, stops], stops)):
-            ids = np.concatenate([all_ids[start:stop], end])
+        coded = words.encode(batch.column("_text"))
+        for i in range(len(coded)):
+            ids = np.concatenate([coded.of(i), end])
             points[i] = curve.point(ids[:-1])
             out["n"].append(len(ids))
             out["ids"].append(pack_bytes(ids.astype(f"<u{width}").tobytes()))

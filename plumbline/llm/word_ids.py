@@ -1,11 +1,7 @@
-"""Token ids by the tokenizers library, a batch of texts at a time.
+"""Token ids by the tokenizers library, piece by piece (``distinct.py``).
 
-For tokenizers that drop white space and mark the ends of words: no id spans a blank, so
-the ids of a text are those of its words.  A batch is cut into words and these into
-distinct ones in Arrow.  A word that is letters of Latin-1 and then punctuation is two
-pieces; the ids of new pieces come from the bare model, many to a call, and are told apart
-by the mark.  Every other word goes through the whole tokenizer.  Ids of pieces are
-remembered; those of a batch are put together by one gather.
+New pieces go through the bare model, many to a call, and are told apart by the mark of
+a word's end; other new words go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -14,30 +10,17 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from plumbline.llm.text import REMEMBERED
+from plumbline.llm.bpe import byte_characters
+from plumbline.llm.distinct import DistinctWords
 
-#: Punctuation that makes one piece behind letters; an apostrophe may begin a piece of its own, "<|" a special token.
-TAIL = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
 #: Pieces that the library gets as one text.
 TOGETHER = 512
 
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-_TAIL = "[" + "".join(f"\\{c}" for c in TAIL) + "]"
 
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-class WordIds:
-    """Ids of texts as unsigned 32-bit integers."""
+class WordIds(DistinctWords):
+    """Ids as the library gives them without special tokens around, truncation and padding."""
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,24 +36,14 @@ class WordIds:
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.letters = {b: c for b, c in _byte_letters().items() if b != 0x20}
-        #: Ids of pieces, and of words as they are.
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        # Another tokenizer may cut or fold letters in its own way; then all words go the long way.
-        self.by_pieces = True
-        letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
-        trial = [a + b + t for a, b in zip(letters, letters[::-1]) for t in ("", ",", "?!", TAIL)]
-        ids, stops = self.encode(pa.array(trial))
-        found = np.split(ids, stops[:-1])
-        expected = self.whole.encode_batch_fast(trial, add_special_tokens=False)
-        self.by_pieces = all(a.tolist() == e.ids for a, e in zip(found, expected))
+        self.letters = {b: c for b, c in enumerate(byte_characters()) if b != 0x20}
+        super().__init__()
 
-    def _of_words(self, new: list[str]) -> list[bytes]:
+    def of_words(self, new: list[str]) -> list[bytes]:
         found = self.whole.encode_batch_fast(new, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _of_pieces(self, new: list[str]) -> list[bytes]:
+    def of_pieces(self, new: list[str]) -> list[bytes]:
         parts = (" ".join(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER))
         texts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)])
@@ -80,58 +53,6 @@ class WordIds:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *stops], stops)]
 
-    @staticmethod
-    def _remembered(known: dict[str, bytes], wanted: list[str], learn) -> list[bytes]:
-        new = [w for w in wanted if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-            new = [w for w in wanted if w]
-        if new:
-            known.update(zip(new, learn(new)))
-        return [known[w] for w in wanted]
-
-    def _table(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
-        """Ids of distinct pieces, and for each of some distinct words the places of its two."""
-        simple = pc.match_substring_regex(words, f"^[{_LETTERS}]*{_TAIL}*$").to_numpy(zero_copy_only=False) & self.by_pieces
-        places = np.zeros((len(words), 2), np.int64)
-        short = words.filter(pa.array(simple))
-        heads = pc.utf8_lower(pc.replace_substring_regex(short, f"{_TAIL}+$", "")).dictionary_encode()
-        tails = pc.replace_substring_regex(short, f"^[{_LETTERS}]+", "").dictionary_encode()
-        ids = [b""]
-        for column, found in enumerate((heads, tails)):
-            places[simple, column] = found.indices.to_numpy() + len(ids)
-            ids += self._remembered(self.pieces, found.dictionary.to_pylist(), self._of_pieces)
-        others = words.filter(pa.array(~simple)).to_pylist()
-        places[~simple, 0] = np.arange(len(others)) + len(ids)
-        return ids + self._remembered(self.words, others, self._of_words), places
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (nulls are empty) behind one another, and where those of each text stop."""
-        texts = pc.fill_null(_as_text(texts), "")
-        lists = pc.ascii_split_whitespace(texts)
-        found = lists.flatten().dictionary_encode()
-        stops = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
-        ids, places = self._table(found.dictionary)
-        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(i) // 4 for i in ids], np.int64)
-        used = places[found.indices.to_numpy()].ravel()
-        used = used[sizes[used] > 0] if len(used) else used
-        n = sizes[used]
-        ends = np.cumsum(n)
-        starts = (np.cumsum(sizes) - sizes)[used]
-        total = int(ends[-1]) if len(ends) else 0
-        gathered = flat[np.repeat(starts - (ends - n), n) + np.arange(total)]
-        per_word = sizes[places].sum(axis=1)[found.indices.to_numpy()]
-        return gathered, np.r_[0, np.cumsum(per_word)][stops]
-
-
-def _as_text(texts: pa.Array) -> pa.Array:
-    """UTF-8; malformed bytes become replacement characters."""
-    try:
-        return texts.cast(pa.string())
-    except pa.ArrowInvalid:
-        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
-
 
 @lru_cache(maxsize=2)
 def word_ids(content: str) -> WordIds:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_helpers import docs_of
 from tokenizers import Tokenizer
@@ -30,6 +31,12 @@ def mine():
 
 
 def check(library, mine, texts):
+    ranks = bpe.RankIds(mine)
+    found = ranks.encode(pa.array(texts))
+    assert ranks.by_pieces
+    for i, (text, theirs, decoded) in enumerate(zip(texts, library.encode_batch(texts, add_special_tokens=False), found.decoded(mine.tokens))):
+        assert found.of(i).tolist() == theirs.ids, text[:80]
+        assert decoded == library.decode(theirs.ids, skip_special_tokens=False)
     for text, theirs, ids in zip(texts, library.encode_batch(texts, add_special_tokens=False), mine.encode_batch(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == theirs.ids, text[:80]
         assert mine.decode(ids) == library.decode(theirs.ids, skip_special_tokens=False)

@@ -12,7 +12,7 @@ import pytest
 from llm_helpers import docs_of
 from tokenizers import Tokenizer
 
-from plumbline.llm import packing, word_ids
+from plumbline.llm import distinct, packing, word_ids
 from plumbline.llm.hilbert import hilbert_key
 from plumbline.llm.queries import QUERIES
 
@@ -47,21 +47,21 @@ def test_words_between_blanks_give_the_ids_of_the_text(library, words):
     letters = [*"abcdeé ĳß", "<|endoftext|>", "<|", *"'sΣσςİ́ \n\t\x0b\x0c\r12½中文字🙂!?#", " ", "\x85", " ", "가", "ᆨ"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(4000)]
     texts += [None, "", " ", " \n\t a \x0b", "\x1c\x1d a\x1eb"]
-    ids, stops = words.encode(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
-    for text, found in zip([t or "" for t in texts], np.split(ids, stops[:-1])):
-        assert found.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    found = words.encode(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
+    for i, text in enumerate(t or "" for t in texts):
+        assert found.of(i).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_letters_tails_and_forgetting(library, words, monkeypatch):
-    monkeypatch.setattr(word_ids, "REMEMBERED", 200)
+    monkeypatch.setattr(distinct, "REMEMBERED", 200)
     rng = random.Random(4)
-    letters = [*"abcdefgXYZéßÀªµº", "İ", "ı", "'", "'s", "<|", "|>", "1", "ﬁ", "\x85", "\xa0", *word_ids.TAIL]
+    letters = [*"abcdefgXYZéßÀªµº", "İ", "ı", "'", "'s", "<|", "|>", "1", "ﬁ", "\x85", "\xa0", *distinct.TAIL]
     texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(30)) for _ in range(200)]
     for start in range(0, 200, 20):
         part = texts[start : start + 20]
-        ids, stops = words.encode(pa.array(part))
-        for text, found in zip(part, np.split(ids, stops[:-1])):
-            assert found.tolist() == library.encode(text, add_special_tokens=False).ids, text
+        found = words.encode(pa.array(part))
+        for i, text in enumerate(part):
+            assert found.of(i).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("total", [0, 1, 5, 4095, 4096, 4097, 3 * 4096 + 2048, 10_007])
@@ -132,5 +132,5 @@ def test_edge_cases(spark, library):
 
 
 def test_malformed_bytes_are_replaced(library, words):
-    ids, stops = words.encode(pa.array([b"a \xff\xfe b\xe9", b"fine"], pa.binary()))
-    assert ids[: stops[0]].tolist() == library.encode("a \ufffd\ufffd b\ufffd", add_special_tokens=False).ids
+    found = words.encode(pa.array([b"a \xff\xfe b\xe9", b"fine"], pa.binary()))
+    assert found.of(0).tolist() == library.encode("a \ufffd\ufffd b\ufffd", add_special_tokens=False).ids
