@@ -39,7 +39,13 @@ STATE = {
 
 
 def contract_stream(
-    stream: DataFrame, table: str, rules: list[Rule], results: str, checkpoint: str, once: bool = False
+    stream: DataFrame,
+    table: str,
+    rules: list[Rule],
+    results: str,
+    checkpoint: str,
+    once: bool = False,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Append one result row per rule and batch to the parquet folder ``results``.
 
@@ -48,6 +54,9 @@ def contract_stream(
     state goes back to where the batch began, so a batch that is replayed after a failure is
     not counted twice.  A batch without rows writes nothing.  A rule that cannot be evaluated
     has ``failing_rows = -1`` and a message.  The rules of one checkpoint must keep their ids.
+
+    ``partitions`` is the number of state stores, which a checkpoint keeps for good (by
+    default ``spark.sql.shuffle.partitions``): choose it for the keys that are to come.
     """
     errors = {r.id: static_error(stream, r) for r in rules}
     sound = [r for r in rules if errors[r.id] is None]
@@ -63,7 +72,8 @@ def contract_stream(
 
     writer = counts(stream, sound).writeStream.outputMode("update").foreachBatch(check)
     writer = writer.option("checkpointLocation", checkpoint)
-    with settings(stream.sparkSession, STATE):
+    wanted = STATE | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    with settings(stream.sparkSession, wanted):
         return (writer.trigger(availableNow=True) if once else writer).start()
 
 

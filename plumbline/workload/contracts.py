@@ -175,6 +175,11 @@ EVENT_RULES = [
 ]
 
 
+def state_stores(df) -> int:
+    """As many as the input has splits, and a few at least."""
+    return max(8, df.rdd.getNumPartitions())
+
+
 @query("contract_stream", f"SELECT *, 0::BIGINT AS batch_id FROM ({contract_sql('events', EVENT_RULES)})")
 def stream_contract(read):
     spark = read.spark
@@ -182,7 +187,7 @@ def stream_contract(read):
     stream = spark.readStream.schema(read("events").schema).parquet(read.path("events") + "*")
     results = scratch_path(spark, "stream-results")
     checkpoint = scratch_path(spark, "stream-checkpoint")
-    running = contract_stream(stream, "events", rules_of(EVENT_RULES), results, checkpoint, once=True)
+    running = contract_stream(stream, "events", rules_of(EVENT_RULES), results, checkpoint, True, state_stores(read("events")))
     running.awaitTermination()
     return read_results(spark, results).select(*RESULT, "batch_id")
 
@@ -210,5 +215,5 @@ def stream_batches(read):
     for b in range(PARTS_OF_STREAM):
         events.where(F.col("event_id") % PARTS_OF_STREAM == b).write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)
-        contract_stream(stream, "events", STREAM_RULES, results, checkpoint, once=True).awaitTermination()
+        contract_stream(stream, "events", STREAM_RULES, results, checkpoint, True, state_stores(events)).awaitTermination()
     return read_results(spark, results).select("table", "rule_id", "passed", "failing_rows", "total", "batch_id")
