@@ -21,9 +21,10 @@ DISTINCT_GROUP = 4
 # digest of the whole value instead of the value.
 DIGEST_ABOVE = 128
 
-# Integers within so narrow a range are counted in bitmaps of 32 768 bits, and so many
-# bitmaps stay in a task's hash table at a time.
-BITMAP_BITS, BITMAPS = 1 << 15, 128
+# Integers within a range of 8 to 128 bitmaps of 32 768 bits are counted in those: so many
+# stay in a task's hash table.  Of fewer values a task's partial count is small anyway, and
+# cheaper; of more, bitmaps would have to be sorted.
+BITMAP_BITS, FEWEST_BITMAPS, BITMAPS = 1 << 15, 8, 128
 
 PASS_WIDTH = 96
 
@@ -89,7 +90,7 @@ def _fits_bitmaps(df: DataFrame, name: str, extent: tuple | None) -> bool:
         return False
     low, high = extent
     # Beyond 2**53 a minimum that came as a double may be off.
-    return high - low < BITMAP_BITS * BITMAPS and max(abs(low), abs(high)) < 2**53
+    return BITMAP_BITS * FEWEST_BITMAPS <= high - low < BITMAP_BITS * BITMAPS and max(abs(low), abs(high)) < 2**53
 
 
 def _count_in_bitmaps(df: DataFrame, lows: Mapping[str, int], extent: Mapping[str, tuple]) -> dict[str, int]:

@@ -207,14 +207,14 @@ def test_distinct_integers_by_bitmaps(spark, monkeypatch):
 
     exprs = ["id - 70000 AS low", "id % 1000 AS few", "if(id % 3 = 0, null, id * 7) AS gaps", "cast(id % 100 AS tinyint) AS t",
              "id * 1000003 AS wide", "9007199254740993 + id AS high", "cast(null AS int) AS none", "5 AS one", "double(id) AS x"]
-    df = spark.range(200_000).selectExpr(*exprs)
+    df = spark.range(400_000).selectExpr(*exprs)
     expected = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
     counted = []
     real = aggregates._count_in_bitmaps
     monkeypatch.setattr(aggregates, "_count_in_bitmaps", lambda d, lows, extent: counted.append(list(lows)) or real(d, lows, extent))
     assert {r.column: r.distinct for r in profile.nulls_and_distinct(df).collect()} == expected
     assert {r.column: r.distinct for r in profile.column_stats(df).collect()} == expected
-    assert counted == [["low", "few", "gaps", "t", "one"]] * 2
+    assert counted == [["low", "gaps"]] * 2
     empty = df.limit(0)
     assert {r.distinct for r in profile.nulls_and_distinct(empty).collect()} == {0}
 
