@@ -8,8 +8,11 @@ ensemble is flattened into node arrays, through which all rows of a batch walk
 level by level.
 
 Training takes at most ``LABELLED`` labelled documents, in whole; scoring takes
-every text.  Null text is scored as empty.  Without labels of both kinds nothing can
-be learned and only the base rules decide.
+every text.  Null text is scored as empty, very long texts are read whole.  Without
+labels of both kinds nothing can be learned and only the base rules decide.  Repeated
+rows are judged each and alike; of several labels of an id the largest counts, of several
+rows the smallest statistics, so ties and order do not matter.  An empty table gives an
+empty result.  Columns to keep travel as ``k_<name>``, so they may have any name.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ any number of languages is learned.
 The predicted language has the shortest code (the smaller name if equal); the score
 is its posterior with equal priors.  Training takes at most ``DOCUMENTS`` documents
 per language, whole texts.  Text that is null or has no letter gives ``und`` with score 0.  If nothing
-was learned everything is ``und``.
+was learned everything is ``und``.  Very long texts are scored whole.  Repeated rows are
+scored each and alike, and count each where they are learned; an empty table gives an empty result.
+Columns to keep travel as ``k_<name>``, so they may have any name.
 """
 
 from __future__ import annotations

@@ -10,8 +10,11 @@ shards of its source, and a source with shards smaller than a block counts in to
 All steps are DataFrame expressions.  Only two numbers reach the driver (tokens
 and rows in all); windows over all rows exist only over the table of sources.
 
-Null or empty text has size 0 and is never taken; a null source is a source and
-comes last; repeated rows count each; an empty table gives an empty result.
+Null or empty text has size 0 and is never taken; very long texts are counted whole and
+may be taken in part; a null source is a source and comes last; null ids share a place;
+ties of quotients go to the first source, or shard, and rows at one place go by id and
+size; repeated rows count each; an empty table gives an empty result.  Columns to keep
+travel as ``k_<name>``, so they may have any name.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ Bounds have a slack for rounding and keep ties, scores are exact integers.
 Vectors that are null, empty or hold a null or non-finite component, and rows with
 a null id, take no part.  A query meets candidates of its own length only and never
 rows with its own id; repeated rows are candidates each, repeated queries are
-answered once.  Ties go to the smaller id.  An empty table gives an empty result.
+answered once.  Ties go to the smaller id.  An empty table gives an empty result.  Other
+columns are ignored, whatever their name.  Products must fit 64 bits: components whose
+integers squared, times the length, pass 2**63 give wrong scores.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ one bucket per mask; a bucket that many classes share is divided again by the ma
 of the other positions, with the same guarantee.  A bucket yields at most one link
 per member, to the smallest member that it is connected with inside the bucket.
 
-Null or empty text has fingerprint zero and is linked like any other; repeated rows
-share a class; null ids are kept and never name a component unless all are null; an
+Null or empty text has fingerprint zero and is linked like any other; very long texts
+are read whole; a bit that half of the hashes have, a tie, is 0; repeated rows share a class; null ids are kept and never name a component unless all are null; an
 empty table gives an empty result.
 """
 

@@ -20,8 +20,10 @@ have equal anchors, so shards made of anchors see all that can match:
 
 Where a sequence starts is ``(doc_id, word)``; null ids come last and count as one
 id, as do repeated ids: of two rows with one id neither is earlier than the other at
-the same word.  Null or empty text has no words; an empty table gives an empty
-result.  Words are compared byte by byte, hashes only deal them out.
+the same word.  Null or empty text has no words; very long texts are read whole, a
+batch of their own; an empty table gives an empty result.  Words are compared byte by
+byte, hashes only deal them out.  Only ``doc_id`` and ``text`` are looked at, and other
+columns travel as one struct, so they may have any name.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ gives it its final name when the job commits, so a task that is repeated on
 another executor leaves nothing behind.
 
 Paths are URIs that ``pyarrow.fs`` understands (``file:``, ``hdfs:``, ``s3:`` ...);
-use a folder that all executors share.  Null payload is written as empty.
+use a folder that all executors share.  Null payload is written as empty.  A null in a
+pushed filter equals nothing.  Null ids are kept: such a record is named like any other,
+by an empty id.  Very long payloads are read in chunks.  Of equal payloads, ties and
+repeated rows, the largest id stays a response.  An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
