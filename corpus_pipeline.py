@@ -27,9 +27,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = pulearn.train(docs, labels, samples.remainder(F.col("doc_id"), 4) != 2)
-    rows = docs.select(docs["text"], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = pulearn.score(rows, model, ["row"]).where(F.col("score") >= pulearn.THRESHOLD)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return docs.where(pulearn.scores(docs["text"], model) >= pulearn.THRESHOLD)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

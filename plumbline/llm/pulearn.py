@@ -17,11 +17,13 @@ Null text is scored as empty.  Very long texts are read whole.  Repeated rows co
 as unlabelled text, and once as labelled.  Rows of one task are sorted by their statistics,
 so ties and the order of the input do not matter.  Without any positive, or any document,
 nothing can be learned and every score is 0.5; an empty table is scored as an empty one.
-Columns to keep travel as ``k_<name>``, so they may have any name.
+Scores are a function of the text column, so columns to keep stay where they are and may
+have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import samples
 from plumbline.llm.stats import FEATURES, counts
-from plumbline.llm.text import WordHashes, map_texts
+from plumbline.llm.text import WordHashes, give_back, map_texts, slices
 from plumbline.plans.durable import materialise
 
 #: Labelled documents that a model is fitted on, at most.
@@ -152,15 +154,18 @@ def averaged(rows: DataFrame, weights: list[np.ndarray], p: np.ndarray, mean, sc
     """One round: weights of all tasks, averaged by their documents."""
 
     def run(batches):
-        parts = [np.stack(b.column("features").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        parts = [b.column("features").flatten().to_numpy().reshape(b.num_rows, len(mean)) for b in batches if b.num_rows]
         if not parts:
             return
         u = scaled(np.concatenate(parts), mean, scale)
         u = u[np.lexsort(u.T)]
+        del parts
         found = improve(weights, p, u, prior, PASSES, [*seed, TaskContext.get().partitionId()])
-        flat = np.concatenate([w.ravel() for w in found])
+        n, flat = len(u), np.concatenate([w.ravel() for w in found])
+        del u
+        give_back()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), len(u), np.int64))], names=["place", "w", "n"]
+            [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), n, np.int64))], names=["place", "w", "n"]
         )
 
     each = rows.mapInArrow(run, "place int, w double, n bigint")
@@ -199,19 +204,26 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "qua
     return calibrate(Model(mean, scale, weights, 1.0, 0.0), x, (y == 1).astype(float))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``score`` of every text."""
-    given = docs.select(*[docs[c].alias(f"k_{c}") for c in keep], docs["text"].alias("_text"))
-    kinds = {f.name: f.dataType.simpleString() for f in given.schema}
+def scores(text: Column, model: Model | None) -> Column:
+    """Score of every text; only the texts go to Python, and only their scores come back."""
     hashes = WordHashes()
 
-    def run(batch) -> dict:
-        texts = batch.column("_text").to_pylist()
-        if model is None:
-            found = np.full(len(texts), 0.5)
-        else:
-            found = model.score(np.array([counts(t, hashes)[1] for t in texts]).reshape(len(texts), len(FEATURES)))
-        return {f"k_{c}": batch.column(f"k_{c}") for c in keep} | {"score": found}
-
-    schema = ", ".join([*(f"`k_{c}` {kinds[f'k_{c}']}" for c in keep), "score double"])
-    return map_texts(given, "_text", run, schema).withColumnsRenamed({f"k_{c}": c for c in keep})
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                found = [np.zeros(0)]
+                for piece in slices([pa.RecordBatch.from_arrays([batch], names=["_text"])], "_text"):
+                    texts = piece.column("_text").to_pylist()
+                    found.append(model.score(np.array([counts(t, hashes)[1] for t in texts])))
+                yield pa.array(np.concatenate(found))
+        finally:
+            batch = piece = texts = None
+            give_back()
+
+    return F.lit(0.5) if model is None else run(text.cast("binary"))
+
+
+def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``score`` of every text."""
+    return docs.select(*[docs[c] for c in keep], scores(docs["text"], model).alias("score"))

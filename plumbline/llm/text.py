@@ -7,6 +7,7 @@ travels to Python as UTF-8 bytes, so malformed text cannot crash a worker.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start, end - start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their task, and the next one may need far less."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
@@ -65,7 +74,7 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` with ``column`` as bytes, in batches of bounded size.
 
-    ``fn`` gets a record batch and returns columns by name.
+    ``fn`` gets a record batch and returns columns by name.  What it freed is given back when a task ends.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -73,9 +82,13 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict],
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column):
-            columns = fn(batch)
-            yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in slices(batches, column):
+                columns = fn(batch)
+                yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            batch = columns = None
+            give_back()
 
     return df.withColumn(column, F.col(column).cast("binary")).mapInArrow(run, schema)
 

@@ -1,5 +1,7 @@
 """The pipeline against plain Python built from the stages' definitions."""
 
+import re
+
 import numpy as np
 from llm_helpers import docs_of
 from test_simhash import slow_fingerprint, slow_groups
@@ -7,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import mixing, pulearn, samples, stats
-from plumbline.llm.text import WordHashes
+from plumbline.llm.text import WordHashes, map_texts
 from pyspark.sql import functions as F
 
 
@@ -67,3 +69,36 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark, read, tmp_path):
         last = corpus_pipeline.STAGES[-1][1](spark, now, read.sf_dir)
         assert last.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"]
         assert empty is False or last.collect() == []
+
+
+def test_quality_stage_sends_texts_once_and_gets_scores(spark, read):
+    """Whole rows, or a second copy of each text, in Python and back took an executor beyond its memory."""
+    out = corpus_pipeline.good_quality(spark, read("documents"), read.sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and re.findall(r"ArrowEvalPython \[run\((.*?)\)#", plan) and plan.count("ArrowEvalPython") == 1
+    assert re.search(r"ArrowEvalPython \[run\(cast\(text#\d+ as binary\)\)#\d+\], \[pythonUDF0#\d+\]", plan)
+
+
+def test_workers_give_back_what_a_task_freed(spark):
+    """Workers are used again by later stages, which then had the freed memory of earlier ones on top of their own."""
+
+    def held(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            found = re.search(r"\nAnonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([int(found[1]) // 1024])], names=["pid", "mb"])
+
+    def wasteful(batch):
+        import builtins
+
+        # Blocks below the size that is mapped alone, one of which outlives the task on top of the heap.
+        blocks = [np.ones(10_000) for _ in range(4000)]
+        builtins.kept_by_test = blocks[-1]
+        return {"pid": np.full(batch.num_rows, len(blocks))}
+
+    docs = docs_of(spark, [(i, "a b", "en", "s") for i in range(8)]).repartition(4).select(F.col("text").alias("_text"))
+    assert map_texts(docs, "_text", wasteful, "pid bigint").count() == 8
+    assert max(r["mb"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "pid bigint, mb bigint").collect()) < 200
