@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.contracts import Rule, evaluate_all
 from plumbline.operators.dictionary import dictionary, merge_dictionary
-from plumbline.operators.groups import MAX_GROUP_ROWS, SLICE_ROWS, Frames, apply_groups, combine_groups
+from plumbline.operators.groups import MAX_GROUP_ROWS, SLICE_ROWS, Apart, Frames, apply_groups, combine_groups
 from plumbline.plans.aggregates import union_all
 from plumbline.sources import io
 
@@ -59,10 +59,10 @@ class Workspace:
 
     def combine(
         self, name: str, by: list[str], partial: Frames, merge: Frames, finish: Frames, partial_schema: str, schema: str,
-        slice_rows: int = SLICE_ROWS,
+        slice_rows: int = SLICE_ROWS, apart: Apart | None = None,
     ) -> DataFrame:
         """Run pandas code over slices of each group of a table and merge what they give; groups may have any size."""
-        return combine_groups(self.table(name), by, partial, merge, finish, partial_schema, schema, slice_rows)
+        return combine_groups(self.table(name), by, partial, merge, finish, partial_schema, schema, slice_rows, apart)
 
     def tables(self) -> list[str]:
         return [t.name for t in self.spark.catalog.listTables()]

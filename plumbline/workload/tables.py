@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from plumbline.operators.groups import Apart
 from plumbline.operators.temporal import asof_join, band_join
 from plumbline.plans.durable import scratch_path
 from plumbline.sources import io
@@ -128,21 +129,29 @@ def python_groups_hot(read):
     """pandas code over slices of a few huge groups: moments, and the set of users."""
 
     def partial(rows):
-        per_user = rows.groupby("user_id")["value"]
-        found = pd.DataFrame({"n": per_user.count(), "total": per_user.sum(), "square": per_user.apply(lambda v: float((v * v).sum()))})
-        return found.reset_index()
+        per_user = rows.assign(square=rows["value"] * rows["value"]).groupby("user_id")
+        return per_user.agg(n=("value", "count"), total=("value", "sum"), square=("square", "sum")).reset_index()
 
     def merge(rows):
         return rows.groupby("user_id", as_index=False)[["n", "total", "square"]].sum()
 
+    def close(rows):
+        return add(rows.assign(users=1))
+
+    def add(rows):
+        return pd.DataFrame({c: [rows[c].sum()] for c in ("n", "total", "square", "users")})
+
     def finish(rows):
         n, total, square = rows["n"].sum(), rows["total"].sum(), rows["square"].sum()
         deviation = np.sqrt(max(square - total * total / n, 0.0) / (n - 1)) if n > 1 else None
-        return pd.DataFrame({"n": [n], "mean": [total / n], "deviation": [deviation], "users": [len(rows)]})
+        return pd.DataFrame({"n": [n], "mean": [total / n], "deviation": [deviation], "users": [rows["users"].sum()]})
 
     read("events").select("event_type", "user_id", "value").createOrReplaceTempView("events")
-    parts, out = "user_id bigint, n bigint, total double, square double", "n bigint, mean double, deviation double, users bigint"
-    found = run_python(read.spark, lambda ws: ws.combine("events", ["event_type"], partial, merge, finish, parts, out, 20_000))
+    moments, out = "n bigint, total double, square double", "n bigint, mean double, deviation double, users bigint"
+    parts, users = f"user_id bigint, {moments}", Apart(["user_id"], close, add, f"{moments}, users bigint")
+    found = run_python(
+        read.spark, lambda ws: ws.combine("events", ["event_type"], partial, merge, finish, parts, out, 20_000, users)
+    )
     return rounded(found, 4, "mean", "deviation")
 
 
